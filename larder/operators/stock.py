@@ -142,7 +142,8 @@ def search_items(inventory: DataFrame, query: str, limit: int | None = S.SEARCH_
     pattern = X.like_contains(query or "")
     p = F.lower(F.lit(pattern))
     df = inventory.filter(F.lit(bool(query))
-                          & (F.lower("name").like(p) | F.lower("category").like(p) | F.lower("location").like(p)))
+                          & (F.like(F.lower("name"), p) | F.like(F.lower("category"), p)
+                             | F.like(F.lower("location"), p)))
     df = df.select(
         F.concat(F.lit(S.SEARCH_ID_PREFIX), F.col("item_id").cast("string")).alias("search_id"),
         F.concat(F.col("name"), F.lit(" ("), F.col("quantity").cast("string"), F.lit(" "),

@@ -1,30 +1,230 @@
 """The registered queries: each reads the driver's tables at ``sf_dir`` through the
 adapters, runs one operator over the whole tables, and returns the response-edge
-projection (decimals as doubles, dates and timestamps as ISO text)."""
+projection (decimals as doubles, dates and timestamps as ISO text).
+
+Parameters are fixed per key (they are the test's arguments, not row caps): the
+stock reference date, the consumption and task periods, the search text.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.expressions import to_response
-from ..operators import stock
+from ..operators import audit, consumption, quality, stock, tasks
 from ..sources import adapters as A
 
-AS_OF = A.STOCK_AS_OF
-
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed test arguments.
+AS_OF = A.STOCK_AS_OF                      # stock reads
+TASK_AS_OF = dt.date(1998, 12, 31)         # task reads
+TASK_NOW = dt.datetime(1998, 12, 31)
+CONS_START, CONS_END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
+TASK_START, TASK_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
+SEARCH_TEXT = "ring"
+
+QUERIES: dict[str, Query] = {}
+
+
+def register(name: str):
+    def deco(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def inv(spark, d):
+    return A.inventory_from_part(A.read_table(spark, d, "part"))
+
+
+def cons(spark, d):
+    return A.consumption_from_lineitem(A.read_table(spark, d, "lineitem"))
+
+
+def tsk(spark, d):
+    return A.task_from_orders(A.read_table(spark, d, "orders"))
+
+
+def aud(spark, d):
+    return A.audit_from_events(A.read_table(spark, d, "events"))
+
+
+# --- stock ---------------------------------------------------------------------------
+
+@register("expiring_items")
+def q_expiring_items(spark, d):
+    """Items expiring within 3 days of the reference date (expired included)."""
+    return to_response(stock.expiring_items(inv(spark, d), AS_OF, days=3))
+
+
+@register("stock_list")
+def q_stock_list(spark, d):
+    """First page (50) of the stock list."""
+    return to_response(stock.list_stock(inv(spark, d), AS_OF))
+
+
+@register("stock_alerts")
+def q_stock_alerts(spark, d):
+    """Days left and alert of every item in stock (the list without its limit)."""
+    return to_response(stock.list_stock(inv(spark, d), AS_OF, limit=None)
+                       .select("item_id", "days_left", "alert"))
+
+
+@register("stock_filtered")
+def q_stock_filtered(spark, d):
+    """The stock list under all four optional filters, no limit."""
+    return to_response(stock.list_stock(inv(spark, d), AS_OF, category="LATTICINI", location="FRIGO",
+                                        expiring_days=10, min_quantity=5, limit=None))
+
+
+@register("stock_kpis")
+def q_stock_kpis(spark, d):
+    return to_response(stock.stock_kpis(inv(spark, d), AS_OF))
+
+
+@register("expiring_filtered")
+def q_expiring_filtered(spark, d):
+    return to_response(stock.expiring_items(inv(spark, d), AS_OF, days=7, category="LATTICINI",
+                                            location="FRIGO"))
+
+
+@register("expiring_bands")
+def q_expiring_bands(spark, d):
+    return to_response(stock.expiring_bands(inv(spark, d), AS_OF, days=3)
+                       .select("item_id", "days_left", "band"))
+
+
+@register("expiring_band_counts")
+def q_expiring_band_counts(spark, d):
+    return to_response(stock.expiring_band_counts(inv(spark, d), AS_OF, days=3))
+
+
+@register("items_per_category")
+def q_items_per_category(spark, d):
+    return stock.items_per_category(inv(spark, d))
+
+
+@register("item_search")
+def q_item_search(spark, d):
+    return stock.search_items(inv(spark, d), SEARCH_TEXT)
+
+
+def fetch_requests(lineitem: DataFrame) -> DataFrame:
+    """One fetch request per lineitem row: the item of the row, a missing item on
+    line 7, and a malformed id on line 6."""
+    ln = F.col("l_linenumber")
+    return lineitem.select(
+        F.when(ln == 6, F.concat(F.lit("item-"), F.col("l_partkey").cast("string")))
+        .when(ln == 7, F.concat(F.lit("alimento-"), (F.col("l_partkey") + 1000000000).cast("string")))
+        .otherwise(F.concat(F.lit("alimento-"), F.col("l_partkey").cast("string"))).alias("id"))
+
+
+@register("item_fetch")
+def q_item_fetch(spark, d):
+    return stock.fetch_items(inv(spark, d), fetch_requests(A.read_table(spark, d, "lineitem")))
+
+
+# --- consumption ---------------------------------------------------------------------
+
+@register("consumption_by_category")
+def q_cons_category(spark, d):
+    return to_response(consumption.consumption_stats(cons(spark, d), inv(spark, d), CONS_START, CONS_END,
+                                                     "categoria"))
+
+
+@register("consumption_by_reason")
+def q_cons_reason(spark, d):
+    return to_response(consumption.consumption_stats(cons(spark, d), inv(spark, d), CONS_START, CONS_END,
+                                                     "motivo"))
+
+
+@register("consumption_total")
+def q_cons_total(spark, d):
+    return to_response(consumption.consumption_stats(cons(spark, d), inv(spark, d), CONS_START, CONS_END,
+                                                     "totale"))
+
+
+@register("consumption_rollup")
+def q_cons_rollup(spark, d):
+    return to_response(consumption.consumption_rollup(cons(spark, d), inv(spark, d), CONS_START, CONS_END,
+                                                      "categoria"))
+
+
+# --- tasks and audit -----------------------------------------------------------------
+
+@register("task_list")
+def q_task_list(spark, d):
+    return to_response(tasks.list_tasks(tsk(spark, d), TASK_AS_OF))
+
+
+@register("task_alerts")
+def q_task_alerts(spark, d):
+    return to_response(tasks.list_tasks(tsk(spark, d), TASK_AS_OF, limit=None)
+                       .select("task_id", "days_left", "alert"))
+
+
+@register("task_filtered")
+def q_task_filtered(spark, d):
+    return to_response(tasks.list_tasks(tsk(spark, d), TASK_AS_OF, status="DA_FARE", priority="ALTA",
+                                        assignee="user_2", due_days=30, recurring=False, limit=None))
+
+
+@register("task_stats_status")
+def q_task_stats_status(spark, d):
+    return tasks.task_stats(tsk(spark, d), TASK_START, TASK_END, "stato")
+
+
+@register("task_stats_priority")
+def q_task_stats_priority(spark, d):
+    return tasks.task_stats(tsk(spark, d), TASK_START, TASK_END, "priorita")
+
+
+@register("task_stats_assignee")
+def q_task_stats_assignee(spark, d):
+    return tasks.task_stats(tsk(spark, d), TASK_START, TASK_END, "assegnatario")
+
+
+@register("tasks_done_last_week")
+def q_tasks_done_last_week(spark, d):
+    return tasks.tasks_done_last_week(tsk(spark, d), TASK_NOW)
+
+
+@register("audit_ops_by_type")
+def q_audit_ops_by_type(spark, d):
+    return audit.ops_by_type(aud(spark, d))
+
+
+# --- quality -------------------------------------------------------------------------
+
+@register("inventory_violations")
+def q_inventory_violations(spark, d):
+    return quality.inventory_violations(inv(spark, d))
+
+
+@register("task_violations")
+def q_task_violations(spark, d):
+    return quality.task_violations(tsk(spark, d))
+
 
-def _inv(spark, sf_dir):
-    return A.inventory_from_part(A.read_table(spark, sf_dir, "part"))
+@register("fk_orphans")
+def q_fk_orphans(spark, d):
+    return quality.fk_orphans(inv(spark, d), cons(spark, d), tsk(spark, d))
 
 
-def q_expiring_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_response(stock.expiring_items(_inv(spark, sf_dir), AS_OF, days=3))
+@register("duplicate_keys")
+def q_duplicate_keys(spark, d):
+    return quality.duplicate_keys({"inventory": inv(spark, d), "task": tsk(spark, d),
+                                   "consumption": cons(spark, d), "audit_log": aud(spark, d)})
 
 
-QUERIES: dict[str, Query] = {
-    "expiring_items": q_expiring_items,
-}
+@register("cascade_delete")
+def q_cascade_delete(spark, d):
+    """Delete the exhausted items; the consumption facts that survive the cascade."""
+    i = inv(spark, d)
+    _, facts = quality.cascade_delete(i, cons(spark, d), i.filter(F.col("quantity") == 0))
+    return to_response(facts)

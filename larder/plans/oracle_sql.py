@@ -4,6 +4,40 @@ from __future__ import annotations
 
 from . import oracle as O
 
+_DAYS = "datediff('day', DATE '2024-01-15', expiry_date)"
+_TDAYS = "datediff('day', DATE '1998-12-31', due_date)"
+
 ORACLE: dict[str, str] = {
     "expiring_items": O.q_expiring_items(3),
+    "stock_list": O.q_stock_list(),
+    "stock_alerts": O.q_stock_list(limit=None, cols="item_id, CAST(datediff('day', DATE '2024-01-15', expiry_date) AS BIGINT) AS days_left, alert"),
+    "stock_filtered": O.q_stock_list(
+        where="AND category = 'LATTICINI' AND location = 'FRIGO' AND quantity >= 5 "
+              "AND expiry_date IS NOT NULL AND expiry_date <= DATE '2024-01-15' + INTERVAL 10 DAY", limit=None),
+    "stock_kpis": O.q_stock_kpis(),
+    "expiring_filtered": O.q_expiring_filtered(),
+    "expiring_bands": O.q_expiring_bands(),
+    "expiring_band_counts": O.q_expiring_band_counts(),
+    "items_per_category": O.q_items_per_category(),
+    "item_search": O.q_item_search("ring"),
+    "item_fetch": O.q_item_fetch(),
+    "consumption_by_category": O.q_consumption("category"),
+    "consumption_by_reason": O.q_consumption("reason"),
+    "consumption_total": O.q_consumption("total"),
+    "consumption_rollup": O.q_consumption_rollup(),
+    "task_list": O.q_task_list(),
+    "task_alerts": O.q_task_list(limit=None, cols="task_id, CAST(days_left AS BIGINT) AS days_left, alert"),
+    "task_filtered": O.q_task_list(
+        where="AND status = 'DA_FARE' AND priority = 'ALTA' AND assignee = 'user_2' AND due_date IS NOT NULL "
+              "AND due_date <= DATE '1998-12-31' + INTERVAL 30 DAY AND recurring = false", limit=None),
+    "task_stats_status": O.q_task_stats("status"),
+    "task_stats_priority": O.q_task_stats("priority"),
+    "task_stats_assignee": O.q_task_stats("assignee"),
+    "tasks_done_last_week": O.q_tasks_done_last_week(),
+    "audit_ops_by_type": O.q_audit_ops_by_type(),
+    "inventory_violations": O.q_inventory_violations(),
+    "task_violations": O.q_task_violations(),
+    "fk_orphans": O.q_fk_orphans(),
+    "duplicate_keys": O.q_duplicate_keys(),
+    "cascade_delete": O.q_cascade_delete(),
 }
