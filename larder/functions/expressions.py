@@ -94,7 +94,7 @@ def strict_date(text: str | Column) -> Column:
     and day, four-digit year; impossible dates and other shapes give null."""
     c = F.col(text) if isinstance(text, str) else text
     shaped = c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$")
-    return F.when(shaped, F.try_to_date(c, F.lit("yyyy-M-d")))
+    return F.when(shaped, F.try_to_date(c, "yyyy-M-d"))
 
 
 def parse_decimal(text: str | Column, precision: int = 38, scale: int = 10) -> Column:

@@ -176,3 +176,31 @@ def fetch_items(inventory: DataFrame, requests: DataFrame, id_col: str = "id") -
     out = req.join(inv, "_key", "left")
     return out.select("request_id", F.col("name").isNotNull().alias("found"),
                       "name", "quantity", "category", "location", "expiry_date", "created", "modified")
+
+
+# Field names of a stock-list entry in the JSON answer, in order.
+JSON_FIELDS = (("id", "item_id"), ("nome", "name"), ("quantita", "quantity"), ("unita_misura", "unit"),
+               ("categoria", "category"), ("ubicazione", "location"), ("data_scadenza", "expiry_date"),
+               ("giorni_alla_scadenza", "days_left"), ("prezzo_acquisto", "price"),
+               ("fornitore", "supplier"), ("data_inserimento", "created_at"),
+               ("ultima_modifica", "updated_at"))
+
+
+def stock_list_json(listed: DataFrame) -> DataFrame:
+    """One JSON document per stock-list row (``item_id``, ``json``): decimals as
+    floats, dates and timestamps as ISO text, nulls written, and the ``alert``
+    key only when there is an alert. A sink writes it with ``write.text``."""
+    fields = []
+    for key, col in JSON_FIELDS:
+        c = F.col(col)
+        if col in ("quantity", "price"):
+            c = c.cast("double")
+        elif col == "expiry_date":
+            c = X.iso_date(c)
+        elif col in ("created_at", "updated_at"):
+            c = X.iso_timestamp(c)
+        fields.append(c.alias(key))
+    opts = {"ignoreNullFields": "false"}
+    plain = F.to_json(F.struct(*fields), opts)
+    alerted = F.to_json(F.struct(*fields, F.col("alert").alias("alert")), opts)
+    return listed.select("item_id", F.when(F.col("alert").isNull(), plain).otherwise(alerted).alias("json"))

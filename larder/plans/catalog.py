@@ -228,3 +228,128 @@ def q_cascade_delete(spark, d):
     i = inv(spark, d)
     _, facts = quality.cascade_delete(i, cons(spark, d), i.filter(F.col("quantity") == 0))
     return to_response(facts)
+
+
+# --- writes --------------------------------------------------------------------------
+
+from ..operators import commands as W  # noqa: E402
+from ..sources import commands as C  # noqa: E402
+
+
+def _orders(spark, d):
+    return A.read_table(spark, d, "orders")
+
+
+def _outcome_view(outcomes: DataFrame) -> DataFrame:
+    return outcomes.select("seq", "key", "ok", "code")
+
+
+def job_insert_items(spark, d):
+    return W.insert_items(inv(spark, d), C.insert_items_from_part(A.read_table(spark, d, "part")), C.INSERT_NOW)
+
+
+def job_update_items(spark, d):
+    return W.update_items(inv(spark, d), C.update_items_from_orders(_orders(spark, d)), C.INSERT_NOW)
+
+
+def job_insert_tasks(spark, d):
+    return W.insert_tasks(tsk(spark, d), C.insert_tasks_from_customer(A.read_table(spark, d, "customer")),
+                          C.TASK_NOW)
+
+
+def job_update_tasks(spark, d):
+    return W.update_tasks(tsk(spark, d), C.update_tasks_from_orders(_orders(spark, d)), C.TASK_NOW)
+
+
+def job_complete_tasks(spark, d):
+    return W.complete_tasks(tsk(spark, d), C.complete_tasks_from_orders(_orders(spark, d)), C.TASK_NOW)
+
+
+def job_cancel_tasks(spark, d):
+    return W.cancel_tasks(tsk(spark, d), C.cancel_tasks_from_orders(_orders(spark, d)), C.TASK_NOW)
+
+
+@register("item_insert")
+def q_item_insert(spark, d):
+    """Rows added by inserting one item per part (faults planted by key)."""
+    return to_response(job_insert_items(spark, d).added)
+
+
+@register("item_insert_rejects")
+def q_item_insert_rejects(spark, d):
+    return job_insert_items(spark, d).outcomes.filter(~F.col("ok")).select("seq", "code")
+
+
+@register("item_update")
+def q_item_update(spark, d):
+    """The stock table after one update call per order (several per item)."""
+    return to_response(job_update_items(spark, d).table)
+
+
+@register("item_update_outcomes")
+def q_item_update_outcomes(spark, d):
+    return _outcome_view(job_update_items(spark, d).outcomes)
+
+
+@register("task_insert")
+def q_task_insert(spark, d):
+    return to_response(job_insert_tasks(spark, d).added)
+
+
+@register("task_insert_rejects")
+def q_task_insert_rejects(spark, d):
+    return job_insert_tasks(spark, d).outcomes.filter(~F.col("ok")).select("seq", "code")
+
+
+@register("task_update")
+def q_task_update(spark, d):
+    return to_response(job_update_tasks(spark, d).table)
+
+
+@register("task_update_outcomes")
+def q_task_update_outcomes(spark, d):
+    return _outcome_view(job_update_tasks(spark, d).outcomes)
+
+
+@register("task_complete")
+def q_task_complete(spark, d):
+    """Outcome of each completion call (two per task, first wins)."""
+    return _outcome_view(job_complete_tasks(spark, d).outcomes)
+
+
+@register("task_respawn")
+def q_task_respawn(spark, d):
+    """Next occurrences of the recurring tasks completed by those calls."""
+    return to_response(job_complete_tasks(spark, d).added)
+
+
+@register("task_complete_table")
+def q_task_complete_table(spark, d):
+    return to_response(job_complete_tasks(spark, d).table)
+
+
+@register("task_cancel")
+def q_task_cancel(spark, d):
+    return to_response(job_cancel_tasks(spark, d).table.select("task_id", "status", "updated_by", "updated_at"))
+
+
+@register("task_cancel_outcomes")
+def q_task_cancel_outcomes(spark, d):
+    return _outcome_view(job_cancel_tasks(spark, d).outcomes)
+
+
+@register("audit_append")
+def q_audit_append(spark, d):
+    """The audit log with the rows of the item-update, task-update, completion and
+    cancel jobs of one batch appended (ids = max + call order)."""
+    rows = (job_update_items(spark, d).audit
+            .unionByName(job_update_tasks(spark, d).audit)
+            .unionByName(job_complete_tasks(spark, d).audit)
+            .unionByName(job_cancel_tasks(spark, d).audit))
+    return to_response(audit.append_audit(aud(spark, d), rows))
+
+
+@register("stock_list_json")
+def q_stock_list_json(spark, d):
+    """The stock list (no limit) as the JSON documents of the list answer."""
+    return stock.stock_list_json(stock.list_stock(inv(spark, d), AS_OF, limit=None))

@@ -41,3 +41,23 @@ ORACLE: dict[str, str] = {
     "duplicate_keys": O.q_duplicate_keys(),
     "cascade_delete": O.q_cascade_delete(),
 }
+
+from . import oracle_writes as OW  # noqa: E402
+
+ORACLE.update({
+    "item_insert": OW.q_item_insert(),
+    "item_insert_rejects": OW.q_item_insert_rejects(),
+    "item_update": OW.q_item_update(),
+    "item_update_outcomes": OW.q_item_update_outcomes(),
+    "task_insert": OW.q_task_insert(),
+    "task_insert_rejects": OW.q_task_insert_rejects(),
+    "task_update": OW.q_task_update(),
+    "task_update_outcomes": OW.q_task_update_outcomes(),
+    "task_complete": OW.q_task_complete(),
+    "task_respawn": OW.q_task_respawn(),
+    "task_complete_table": OW.q_task_complete_table(),
+    "task_cancel": OW.q_task_cancel(),
+    "task_cancel_outcomes": OW.q_task_cancel_outcomes(),
+    "audit_append": OW.q_audit_append(),
+    "stock_list_json": OW.q_stock_list_json(),
+})
