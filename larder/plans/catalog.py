@@ -353,3 +353,60 @@ def q_audit_append(spark, d):
 def q_stock_list_json(spark, d):
     """The stock list (no limit) as the JSON documents of the list answer."""
     return stock.stock_list_json(stock.list_stock(inv(spark, d), AS_OF, limit=None))
+
+
+# --- ledger --------------------------------------------------------------------------
+
+from ..operators import ledger as L  # noqa: E402
+
+LEDGER_NOW = dt.datetime(1998, 12, 31)
+_OUT_COLS = ("item_id", "l_orderkey", "l_linenumber", "l_suppkey", "qty", "forced", "ok", "code",
+             "balance_before", "balance_after")
+
+
+def _consume_cmds(spark, d):
+    return A.consume_commands_from_lineitem(A.read_table(spark, d, "lineitem"))
+
+
+def job_consume(spark, d):
+    return L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER)
+
+
+@register("consume_outcomes")
+def q_consume_outcomes(spark, d):
+    """Every lineitem row as a consume request, in ledger order per item."""
+    return to_response(job_consume(spark, d).outcomes.select(*_OUT_COLS))
+
+
+@register("consume_ledger")
+def q_consume_ledger(spark, d):
+    """Opening and closing balance, accepted and rejected requests per item."""
+    return to_response(L.ledger_balances(job_consume(spark, d).outcomes))
+
+
+@register("consume_stock_table")
+def q_consume_stock_table(spark, d):
+    """The inventory after the ledger: new balances, last actor, change time."""
+    return to_response(job_consume(spark, d).table.select("item_id", "quantity", "updated_by", "updated_at"))
+
+
+@register("consume_forced")
+def q_consume_forced(spark, d):
+    """The same requests all forced: two-level prefix sum chunked by day."""
+    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
+                           chunk=F.to_date("consumed_at"))
+    return to_response(out.select(*_OUT_COLS))
+
+
+def discard_commands(lineitem: DataFrame) -> DataFrame:
+    """Every lineitem row as a discard call (never forced). Its reason follows the
+    return flag: R → BUTTATO and N → SCADUTO are accepted reasons, A → CONSUMATO is
+    refused by a discard."""
+    return A.consume_commands_from_lineitem(lineitem).drop("force")
+
+
+@register("discard_ledger")
+def q_discard_ledger(spark, d):
+    out = L.discard(inv(spark, d), discard_commands(A.read_table(spark, d, "lineitem")), LEDGER_NOW,
+                    A.LINEITEM_LEDGER_ORDER).outcomes
+    return to_response(out.select(*_OUT_COLS))

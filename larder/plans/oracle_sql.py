@@ -61,3 +61,13 @@ ORACLE.update({
     "audit_append": OW.q_audit_append(),
     "stock_list_json": OW.q_stock_list_json(),
 })
+
+from . import oracle_ledger as OL  # noqa: E402
+
+ORACLE.update({
+    "consume_outcomes": OL.q_consume_outcomes(),
+    "consume_ledger": OL.q_consume_ledger(),
+    "consume_stock_table": OL.q_consume_stock_table(),
+    "consume_forced": OL.q_consume_forced(),
+    "discard_ledger": OL.q_discard_ledger(),
+})
