@@ -410,3 +410,53 @@ def q_discard_ledger(spark, d):
     out = L.discard(inv(spark, d), discard_commands(A.read_table(spark, d, "lineitem")), LEDGER_NOW,
                     A.LINEITEM_LEDGER_ORDER).outcomes
     return to_response(out.select(*_OUT_COLS))
+
+
+# --- streams -------------------------------------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..streaming import ledger_stream as ST  # noqa: E402
+
+# Arrival waves of the stream tests: calls arrive in three bursts split by call time.
+LEDGER_WAVES = (dt.datetime(1997, 1, 1), dt.datetime(1999, 1, 1))
+AUDIT_WAVES = (dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15))
+
+
+def _waves(df: DataFrame, col: str, cuts) -> list[DataFrame]:
+    c = F.col(col)
+    out, lo = [], None
+    for hi in list(cuts) + [None]:
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (c >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (c < F.lit(hi))
+        out.append(df.filter(cond))
+        lo = hi
+    return out
+
+
+@register("stream_ledger")
+def q_stream_ledger(spark, d):
+    """The lineitem consume calls arriving in three waves through the ledger stream
+    (state store balances, restart from checkpoint between waves); balances per item."""
+    base = scratch_path(spark, "stream-ledger")
+    src, out, ckpt = f"{base}/source", f"{base}/outcomes", f"{base}/checkpoint"
+    cmds = _consume_cmds(spark, d)
+    schema = cmds.schema
+    for wave in _waves(cmds, "consumed_at", LEDGER_WAVES):
+        wave.write.mode("append").parquet(src)
+        ST.ledger_stream(spark, inv(spark, d), src, schema, out, ckpt, A.LINEITEM_LEDGER_ORDER).awaitTermination()
+    return to_response(L.ledger_balances(ST.read_outcomes(spark, out)))
+
+
+@register("stream_audit")
+def q_stream_audit(spark, d):
+    """The audit rows arriving in three waves; operations per type, complete mode."""
+    base = scratch_path(spark, "stream-audit")
+    src, out, ckpt = f"{base}/source", f"{base}/counts", f"{base}/checkpoint"
+    rows = aud(spark, d)
+    for wave in _waves(rows, "ts", AUDIT_WAVES):
+        wave.write.mode("append").parquet(src)
+        ST.audit_count_stream(spark, src, rows.schema, out, ckpt).awaitTermination()
+    return spark.read.parquet(out)

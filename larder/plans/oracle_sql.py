@@ -71,3 +71,8 @@ ORACLE.update({
     "consume_forced": OL.q_consume_forced(),
     "discard_ledger": OL.q_discard_ledger(),
 })
+
+ORACLE.update({
+    "stream_ledger": OL.q_consume_ledger(),
+    "stream_audit": O.q_audit_ops_by_type(),
+})
