@@ -236,8 +236,10 @@ def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: S
         df = df.join(offsets, ["item_id", "_chunk"], "left")
         wi = Window.partitionBy("item_id", "_chunk").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
         df = df.withColumn("_s", F.col("_off") + F.sum("_v").over(wi))
-    after_k = F.greatest(F.lit(0), F.col("_open_k") - F.col("_s"))
-    before_k = F.greatest(F.lit(0), F.col("_open_k") - (F.col("_s") - F.col("_v")))
+    # greatest() skips nulls, so a missing item is kept null explicitly
+    known = F.col("_open_k").isNotNull()
+    after_k = F.when(known, F.greatest(F.lit(0), F.col("_open_k") - F.col("_s")))
+    before_k = F.when(known, F.greatest(F.lit(0), F.col("_open_k") - (F.col("_s") - F.col("_v"))))
     code = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
             .when(F.col("_iid").isNull(), F.lit("NOT_FOUND"))
             .when(~F.col("_reason_ok"), F.lit("INVALID_REASON"))
