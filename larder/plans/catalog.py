@@ -441,7 +441,7 @@ def q_stream_ledger(spark, d):
     """The lineitem consume calls arriving in three waves through the ledger stream
     (state store balances, restart from checkpoint between waves); balances per item."""
     base = scratch_path(spark, "stream-ledger")
-    src, out, ckpt = f"{base}/source", f"{base}/outcomes", f"{base}/checkpoint"
+    src, out, ckpt = f"{base}/source", f"{base}/ledger", f"{base}/checkpoint"
     cmds = _consume_cmds(spark, d)
     schema = cmds.schema
     for wave in _waves(cmds, "consumed_at", LEDGER_WAVES):

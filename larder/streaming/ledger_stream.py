@@ -1,101 +1,70 @@
 """Stream jobs: the stock ledger over a stream of consume calls, and operation
 counts over a stream of audit rows.
 
-The ledger stream keeps one balance per item in Spark's state store
-(``applyInPandasWithState``). An item's first appearance takes its opening
-balance from the inventory (a stream-static left join, pruned to two columns);
-afterwards the state is the balance. Calls
-are applied in arrival order: micro-batch by micro-batch, and inside a
-micro-batch by the ledger order columns. Outcomes go to an append-only parquet
-sink; sink metadata plus the checkpoint give exactly-once output across
-restarts.
+The ledger stream runs the batch ledger on each micro-batch (``foreachBatch``)
+against the balances left by the previous micro-batch, kept as one parquet
+snapshot per batch id. Calls are applied in arrival order: micro-batch by
+micro-batch, and inside a micro-batch by the ledger order columns. Writes are
+overwrites of batch-id folders, so a replay after a failure is idempotent
+(exactly-once together with the checkpoint).
+
+Why not ``applyInPandasWithState``: its per-item pandas call costs about a
+millisecond per item and micro-batch, which dominated (20,000 items: 2 minutes
+for three micro-batches at sf0.1); the Arrow fold pays per row only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
 from ..operators import ledger as L
 
-_STATE = "b long"
-
-
-def _fold_group(order_cols: Sequence[str], out_cols: Sequence[str]):
-    """Group function of ``applyInPandasWithState``: the rows of one item in one
-    micro-batch (bounded by the trigger size) folded in ledger order, starting from
-    the state, or from the inventory's balance on the item's first appearance; an
-    item in neither is NOT_FOUND."""
-    order_cols, out_cols = list(order_cols), list(out_cols)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order_cols, kind="stable")
-        if state.exists:
-            bal = int(state.get[0])
-        else:
-            opens = pdf["_open_k"].dropna()
-            bal = int(opens.iloc[0]) if len(opens) else None
-        ok, code, before, after = [], [], [], []
-        for q, force, pre, rok in zip(pdf["_q_k"].tolist(), pdf["_force"].tolist(),
-                                      pdf["_pre"].tolist(), pdf["_reason_ok"].tolist()):
-            if isinstance(pre, str):
-                ok.append(False), code.append(pre), before.append(bal), after.append(bal)
-            elif bal is None:
-                ok.append(False), code.append("NOT_FOUND"), before.append(None), after.append(None)
-            elif q > bal and not force:
-                ok.append(False), code.append("INSUFFICIENT"), before.append(bal), after.append(bal)
-            elif not rok:
-                ok.append(False), code.append("INVALID_REASON"), before.append(bal), after.append(bal)
-            else:
-                new = max(0, bal - int(q))
-                ok.append(True), code.append("EXHAUSTED" if new == 0 else "OK")
-                before.append(bal), after.append(new)
-                bal = new
-        if bal is not None:
-            state.update((bal,))
-        out = pdf[out_cols].copy()
-        out["ok"] = ok
-        out["code"] = code
-        out["balance_before_k"] = pd.array(before, dtype="Int64")
-        out["balance_after_k"] = pd.array(after, dtype="Int64")
-        yield out
-
-    return fn
-
-
 def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, command_schema: T.StructType,
                   out_dir: str, checkpoint: str, order_cols: Sequence[str] = ("seq",),
                   max_files_per_trigger: int | None = None):
     """Start the ledger stream over parquet command files in ``source_dir``; returns
-    the ``StreamingQuery`` (run with ``availableNow``: it stops when caught up)."""
+    the ``StreamingQuery`` (``availableNow``: it stops when caught up).
+
+    Micro-batch ``N`` folds its calls (the batch ledger's Arrow fold, one shuffle by
+    item) from the balances of snapshot ``N-1`` (the inventory for the first batch),
+    then writes ``outcomes/batch_id=N`` and ``state/batch_id=N`` by overwrite. A
+    replayed batch reads the same ``N-1`` and rewrites the same ``N``, so the output
+    is exactly-once; each batch reads its input from files, so lineage stays short."""
     reader = spark.readStream.schema(command_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     commands = reader.parquet(source_dir)
-    checked = L._checked(commands, order_cols, discard=False)
-    opening = inventory.select("item_id", L._k(F.col("quantity")).alias("_open_k"))
-    joined = checked.join(opening, "item_id", "left")
-    out_cols = list(command_schema.fieldNames())
-    out_schema = T.StructType(
-        [command_schema[c] for c in out_cols]
-        + [T.StructField("ok", T.BooleanType()), T.StructField("code", T.StringType()),
-           T.StructField("balance_before_k", T.LongType()), T.StructField("balance_after_k", T.LongType())])
-    outcomes = joined.groupBy("item_id").applyInPandasWithState(
-        _fold_group(order_cols, out_cols), out_schema, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return (outcomes.writeStream.format("parquet").option("path", out_dir)
-            .option("checkpointLocation", checkpoint).outputMode("append")
+    base = inventory.select("item_id", "quantity")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sess = batch.sparkSession
+        prev = base if batch_id == 0 else sess.read.parquet(f"{out_dir}/state/batch_id={batch_id - 1}")
+        checked = L._checked(batch, order_cols, discard=False)
+        folded = L._fold_outcomes(prev, checked, order_cols)
+        outcomes = folded.select(
+            *command_schema.fieldNames(), F.col("_ok").alias("ok"), F.col("_code").alias("code"),
+            F.col("_before_k").alias("balance_before_k"), F.col("_after_k").alias("balance_after_k"))
+        out_path = f"{out_dir}/outcomes/batch_id={batch_id}"
+        outcomes.write.mode("overwrite").parquet(out_path)
+        closing = (sess.read.parquet(out_path).filter(F.col("ok"))
+                   .groupBy("item_id").agg(F.min("balance_after_k").alias("_closing_k")))
+        state = prev.join(closing, "item_id", "left").select(
+            "item_id", F.coalesce((F.col("_closing_k").cast("decimal(20,0)") / 1000).cast(S.QTY),
+                                  F.col("quantity")).alias("quantity"))
+        state.write.mode("overwrite").parquet(f"{out_dir}/state/batch_id={batch_id}")
+
+    return (commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_outcomes(spark: SparkSession, out_dir: str) -> DataFrame:
     """The stream's outcomes with balances back as decimals."""
-    df = spark.read.parquet(out_dir)
+    df = spark.read.parquet(f"{out_dir}/outcomes")
     return df.select(
         *[c for c in df.columns if not c.endswith("_k")],
         (F.col("balance_before_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("balance_before"),
