@@ -13,7 +13,8 @@ def test_round_trip_and_partitioned_facts(spark, inventory, consumption):
     days = sorted(d for d in os.listdir(f"{root}/consumption") if d.startswith("day="))
     assert days[0] == "day=2024-01-01" and len(days) == 5
     inv = tables.read(spark, root, "inventory", "1")
-    assert inv.count() == 9 and inv.schema == inventory.schema
+    assert inv.count() == 9
+    assert [(f.name, f.dataType) for f in inv.schema] == [(f.name, f.dataType) for f in inventory.schema]
     facts = tables.read(spark, root, "consumption")
     assert facts.filter(facts.consumed_at >= dt.datetime(2024, 1, 10)).count() == 2
     out = f"{root}/stock_json"
