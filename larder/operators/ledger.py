@@ -96,7 +96,8 @@ def _fold(batches):
     """Fold one partition, sorted by (item, opening row first, call order).
 
     The balance is carried across rows and Arrow batches; it resets on a new item.
-    Opening rows (``_kind`` 0) set it and are dropped from the output."""
+    Opening rows (``_kind`` 0) set it and are dropped from the output; without
+    one, the first row's ``_start_k`` (if any) is the starting balance."""
     cur = object()
     bal = None
     for batch in batches:
@@ -107,11 +108,13 @@ def _fold(batches):
         forces = batch.column("_force").to_pylist()
         pres = batch.column("_pre").to_pylist()
         rok = batch.column("_reason_ok").to_pylist()
+        names = batch.schema.names
+        starts = batch.column("_start_k").to_pylist() if "_start_k" in names else [None] * len(items)
         keep, ok, code, before, after = [], [], [], [], []
         for i in range(len(items)):
             if items[i] != cur or kinds[i] == 0:
                 cur = items[i]
-                bal = opens[i] if kinds[i] == 0 else None
+                bal = opens[i] if kinds[i] == 0 else starts[i]
                 if kinds[i] == 0:
                     continue
             keep.append(i)
@@ -148,6 +151,71 @@ def _fold_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequenc
     return folded.drop("_kind", "_open_k")
 
 
+def _phased_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str],
+                     chunk: Column) -> DataFrame:
+    """The ledger fold, exact, with only the rows that need it folded in sequence.
+
+    With ``T_i`` the running sum of valid quantities (requests that can apply) and
+    ``F_i`` the running sum of valid *forced* quantities, per item in call order,
+    and ``B0`` the opening balance:
+
+    * phase 1, ``T_i <= B0``: every valid request so far fitted, so all were
+      accepted and the balance is ``B0 - T_i``;
+    * phase 3, ``F_{i-1} >= B0``: forced requests alone have used up the stock, so
+      the balance before request ``i`` is 0 and its outcome depends on the row only;
+    * phase 2, the rows in between: the sequential fold, starting from
+      ``B0 - T_{k-1}`` at the first such row ``k``.
+
+    ``T`` and ``F`` come from a two-level scan over ``(item, chunk)`` groups, so a
+    hot item is spread over its chunks; only phase-2 rows take the by-item shuffle
+    of the fold (typically a handful per item: until forced requests exhaust it).
+    """
+    valid = F.col("_pre").isNull() & F.col("_reason_ok")
+    rows = checked.withColumn("_chunk", chunk).select(
+        "*", F.when(valid, F.col("_q_k")).otherwise(F.lit(0)).alias("_v"),
+        F.when(valid & F.col("_force"), F.col("_q_k")).otherwise(F.lit(0)).alias("_fv"))
+    totals = rows.groupBy("item_id", "_chunk").agg(F.sum("_v").alias("_tv"), F.sum("_fv").alias("_tf"))
+    before = Window.partitionBy("item_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opening = inventory.select("item_id", _k(F.col("quantity")).alias("_b0"))
+    offsets = (totals.select("item_id", "_chunk",
+                             F.coalesce(F.sum("_tv").over(before), F.lit(0)).alias("_t_off"),
+                             F.coalesce(F.sum("_tf").over(before), F.lit(0)).alias("_f_off"))
+               .join(opening, "item_id", "left"))
+    inner = Window.partitionBy("item_id", "_chunk").orderBy(*[F.col(c) for c in order_cols]) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    scanned = (rows.join(offsets, ["item_id", "_chunk"], "left")
+               .withColumn("_t", F.col("_t_off") + F.sum("_v").over(inner))
+               .withColumn("_f", F.col("_f_off") + F.sum("_fv").over(inner)))
+    b0, t, f, v, fv = F.col("_b0"), F.col("_t"), F.col("_f"), F.col("_v"), F.col("_fv")
+    phase = (F.when(b0.isNull() | (t <= b0), F.lit(1))
+             .when(f - fv >= b0, F.lit(3)).otherwise(F.lit(2)))
+    scanned = scanned.withColumn("_phase", phase)
+
+    # phases 1 and 3: closed form
+    bal_before = F.when(F.col("_phase") == 1, b0 - (t - v)).otherwise(F.lit(0))
+    accepted = valid & ((F.col("_q_k") <= bal_before) | F.col("_force"))
+    bal_after = F.when(accepted, F.greatest(F.lit(0), bal_before - F.col("_q_k"))).otherwise(bal_before)
+    code = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
+            .when(b0.isNull(), F.lit("NOT_FOUND"))
+            .when((F.col("_q_k") > bal_before) & ~F.col("_force"), F.lit("INSUFFICIENT"))
+            .when(~F.col("_reason_ok"), F.lit("INVALID_REASON"))
+            .when(bal_after == 0, F.lit("EXHAUSTED")).otherwise(F.lit("OK")))
+    found = b0.isNotNull()
+    base_cols = [c for c in checked.columns]
+    closed = scanned.filter(F.col("_phase") != 2).select(
+        *base_cols, (found & accepted & F.col("_pre").isNull()).alias("_ok"), code.alias("_code"),
+        F.when(found, bal_before).alias("_before_k"), F.when(found, bal_after).alias("_after_k"))
+
+    # phase 2: the fold, from B0 - T_{k-1} at the item's first phase-2 row
+    middle = (scanned.filter(F.col("_phase") == 2)
+              .select(F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_open_k"),
+                      (b0 - (t - v)).alias("_start_k"), *base_cols))
+    ordered = middle.repartition("item_id").sortWithinPartitions("item_id", *order_cols)
+    schema = T.StructType(list(ordered.schema.fields) + [T.StructField(n, st) for n, _, st in _FOLD_OUT])
+    folded = ordered.mapInArrow(_fold, schema).select(*base_cols, "_ok", "_code", "_before_k", "_after_k")
+    return closed.unionByName(folded)
+
+
 def _finish(inventory: DataFrame, folded: DataFrame, commands: DataFrame, order_cols: Sequence[str],
             now, consumption: DataFrame | None) -> LedgerResult:
     cmd_cols = commands.columns
@@ -188,25 +256,51 @@ def _finish(inventory: DataFrame, folded: DataFrame, commands: DataFrame, order_
     return LedgerResult(outcomes, facts, table, audit)
 
 
+# Requests of one item above which the fold of that item would be a straggler
+# (about a second of single-task folding); above it the phased plan is used.
+SKEW_ROWS = 1_000_000
+
+
+def _plan(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str], chunk: Column | None,
+          skew_rows: int) -> DataFrame:
+    """Pick the ledger plan: the phased plan when a chunk is given and some item has
+    more than ``skew_rows`` requests (one scalar aggregate decides; ``skew_rows <=
+    0`` forces it), else one shuffle by item and the fold."""
+    if chunk is not None:
+        hot = skew_rows <= 0
+        if not hot:
+            top = checked.groupBy("item_id").count().agg(F.max("count")).first()[0]
+            hot = top is not None and top > skew_rows
+        if hot:
+            return _phased_outcomes(inventory, checked, order_cols, chunk)
+    return _fold_outcomes(inventory, checked, order_cols)
+
+
 def consume(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-            consumption: DataFrame | None = None) -> LedgerResult:
+            consumption: DataFrame | None = None, chunk: Column | None = None,
+            skew_rows: int = SKEW_ROWS) -> LedgerResult:
     """Apply consume requests (``item_id, qty`` and optional ``reason`` (default
     CONSUMATO), ``note``, ``force``, ``actor``, ``consumed_at``) in ``order_cols``
     order per item. Codes: OK, EXHAUSTED (accepted, balance now 0), INSUFFICIENT,
     NOT_FOUND, MISSING_FIELD, NON_POSITIVE_QUANTITY, INVALID_REASON. New fact ids
-    are ``max(consumption_id) + seq`` when the fact table and ``seq`` are given."""
+    are ``max(consumption_id) + seq`` when the fact table and ``seq`` are given.
+
+    With ``chunk`` (an expression non-decreasing in the call order) and an item
+    holding more than ``skew_rows`` requests, the skew-safe three-phase plan is
+    used (``_phased_outcomes``); otherwise one shuffle by item and the fold."""
     checked = _checked(commands, order_cols, discard=False)
-    return _finish(inventory, _fold_outcomes(inventory, checked, order_cols), commands, order_cols, now,
-                   consumption)
+    folded = _plan(inventory, checked, order_cols, chunk, skew_rows)
+    return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
 def discard(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-            consumption: DataFrame | None = None) -> LedgerResult:
+            consumption: DataFrame | None = None, chunk: Column | None = None,
+            skew_rows: int = SKEW_ROWS) -> LedgerResult:
     """Discard stock: a consume that is never forced and whose reason must be
     SCADUTO or BUTTATO (the declared behaviour, with the reason kept)."""
     checked = _checked(commands, order_cols, discard=True)
-    return _finish(inventory, _fold_outcomes(inventory, checked, order_cols), commands, order_cols, now,
-                   consumption)
+    folded = _plan(inventory, checked, order_cols, chunk, skew_rows)
+    return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
 def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),

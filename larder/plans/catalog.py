@@ -369,7 +369,8 @@ def _consume_cmds(spark, d):
 
 
 def job_consume(spark, d):
-    return L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER)
+    return L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
+                     chunk=A.lineitem_ledger_chunk())
 
 
 @register("consume_outcomes")
@@ -378,6 +379,14 @@ def q_consume_outcomes(spark, d):
     return to_response(job_consume(spark, d).outcomes.select(*_OUT_COLS))
 
 
+@register("consume_outcomes_phased")
+def q_consume_outcomes_phased(spark, d):
+    """The same ledger through the skew-safe phased plan (forced, whatever the skew)."""
+    res = L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
+                    chunk=A.lineitem_ledger_chunk(), skew_rows=0)
+    return to_response(res.outcomes.select(*_OUT_COLS))
+
+
 @register("consume_ledger")
 def q_consume_ledger(spark, d):
     """Opening and closing balance, accepted and rejected requests per item."""
@@ -394,7 +403,7 @@ def q_consume_stock_table(spark, d):
 def q_consume_forced(spark, d):
     """The same requests all forced: two-level prefix sum chunked by day."""
     out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
-                           chunk=F.to_date("consumed_at"))
+                           chunk=A.lineitem_ledger_chunk())
     return to_response(out.select(*_OUT_COLS))
 
 
@@ -408,7 +417,7 @@ def discard_commands(lineitem: DataFrame) -> DataFrame:
 @register("discard_ledger")
 def q_discard_ledger(spark, d):
     out = L.discard(inv(spark, d), discard_commands(A.read_table(spark, d, "lineitem")), LEDGER_NOW,
-                    A.LINEITEM_LEDGER_ORDER).outcomes
+                    A.LINEITEM_LEDGER_ORDER, chunk=A.lineitem_ledger_chunk()).outcomes
     return to_response(out.select(*_OUT_COLS))
 
 

@@ -66,6 +66,7 @@ from . import oracle_ledger as OL  # noqa: E402
 
 ORACLE.update({
     "consume_outcomes": OL.q_consume_outcomes(),
+    "consume_outcomes_phased": OL.q_consume_outcomes(),
     "consume_ledger": OL.q_consume_ledger(),
     "consume_stock_table": OL.q_consume_stock_table(),
     "consume_forced": OL.q_consume_forced(),

@@ -172,3 +172,11 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "task": task_from_orders(read_table(spark, sf_dir, "orders")),
         "audit_log": audit_from_events(read_table(spark, sf_dir, "events")),
     }
+
+
+def lineitem_ledger_chunk() -> Column:
+    """A chunk of the lineitem ledger order, non-decreasing in it: the call year
+    and a block of 2^20 order keys. At the test scales an item has a few chunks; at
+    100 TB (order keys up to ~6e11) a hot item holding a third of all rows is split
+    into ~4 million groups of ~50,000 rows."""
+    return F.struct(F.year("consumed_at").alias("y"), F.floor(F.col("l_orderkey") / 1048576).alias("b"))

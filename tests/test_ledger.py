@@ -101,3 +101,33 @@ def test_discard_refuses_other_reasons(spark):
     out = L.discard(inv_one(spark), cmds, NOW).outcomes.orderBy("seq").collect()
     assert [r.code for r in out] == ["INVALID_REASON", "OK"]
     assert [r.effective_reason for r in out] == ["CONSUMATO", "BUTTATO"]
+
+
+def test_phased_plan_equals_fold(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    created = dt.datetime(2024, 1, 1)
+    inv = spark.createDataFrame([(i, f"I{i}", Decimal(rnd.randint(0, 80)), "KG", None, None, "FRUTTA", "FRIGO",
+                                  None, None, None, created, created, "system") for i in range(1, 9)], S.INVENTORY)
+    # item 1 is hot: half of the calls
+    rows = [(s, "u", 1 if rnd.random() < 0.5 else rnd.randint(0, 10), Decimal(rnd.randint(-1, 12)),
+             rnd.choice([None, None, "SCADUTO", "PERSO"]), None, rnd.random() < 0.15) for s in range(1, 1501)]
+    cmds = spark.createDataFrame(rows, S.CONSUME_CMD)
+    want = {r.seq: tuple(r[c] for c in ("ok", "code", "balance_before", "balance_after"))
+            for r in L.consume(inv, cmds, NOW).outcomes.collect()}
+    for width in (1, 7, 100, 5000):
+        res = L.consume(inv, cmds, NOW, chunk=F.floor(F.col("seq") / width), skew_rows=0)
+        got = {r.seq: tuple(r[c] for c in ("ok", "code", "balance_before", "balance_after"))
+               for r in res.outcomes.collect()}
+        assert got == want, width
+
+
+def test_plan_choice_is_adaptive(spark):
+    from pyspark.sql import functions as F
+    cmds = spark.createDataFrame([(s, "u", 1, Decimal(1), None, None, False) for s in range(1, 31)], S.CONSUME_CMD)
+    checked = L._checked(cmds, ("seq",), discard=False)
+    inv = inv_one(spark)
+    chunk = F.floor(F.col("seq") / 8)
+    assert "MapInArrow" in L._plan(inv, checked, ("seq",), chunk, 100)._jdf.queryExecution().toString()
+    phased = L._plan(inv, checked, ("seq",), chunk, 10)._jdf.queryExecution().toString()
+    assert "Window" in phased
