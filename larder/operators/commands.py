@@ -17,8 +17,6 @@ database sequence); ``seq`` must be unique and positive within a batch.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +27,24 @@ from .audit import audit_rows, payload
 OK = "OK"
 
 
-@dataclass
 class JobResult:
-    table: DataFrame
-    outcomes: DataFrame
-    audit: DataFrame
-    added: DataFrame | None = None
+    """The frames a job returns. Each is built on first access, so a caller that
+    needs only the audit rows does not pay for planning the new table."""
+
+    def __init__(self, table, outcomes, audit, added=None):
+        self._makers = {"table": table, "outcomes": outcomes, "audit": audit, "added": added}
+        self._built: dict[str, DataFrame | None] = {}
+
+    def _get(self, name: str):
+        if name not in self._built:
+            maker = self._makers[name]
+            self._built[name] = maker() if callable(maker) else maker
+        return self._built[name]
+
+    table = property(lambda self: self._get("table"))
+    outcomes = property(lambda self: self._get("outcomes"))
+    audit = property(lambda self: self._get("audit"))
+    added = property(lambda self: self._get("added"))
 
 
 def first_failure(checks: list[tuple[str, Column]]) -> Column:
@@ -82,11 +92,10 @@ def insert_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
     future; then the table rules: quantity or price out of range, price < 0, text
     too long, opened date before the insert date. A price of 0 is stored as null."""
     today = F.to_date(X.ts_lit(now))
-    c = commands
-    q = X.parse_decimal("quantity")
-    price = X.parse_decimal("price")
-    exp = X.strict_date("expiry_date")
-    opened = X.strict_date("opened_date")
+    # parse once: the checks below refer to these columns many times
+    c = commands.select("*", X.parse_decimal("quantity").alias("_qn"), X.parse_decimal("price").alias("_pn"),
+                        X.strict_date("expiry_date").alias("_exp"), X.strict_date("opened_date").alias("_opened"))
+    q, price, exp, opened = F.col("_qn"), F.col("_pn"), F.col("_exp"), F.col("_opened")
     has_exp = _truthy_text(F.col("expiry_date"))
     has_opened = _truthy_text(F.col("opened_date"))
     has_price = _truthy_text(F.col("price"))
@@ -115,7 +124,7 @@ def insert_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
     ])
     base = _next_ids(inventory, "item_id")
     checked = c.select("*", code.alias("_code"), (base + F.col("seq")).alias("_new_id"),
-                       q3.alias("_q"), p2.alias("_p"), exp.alias("_exp"), opened.alias("_opened"))
+                       q3.alias("_q"), p2.alias("_p"))
     ts = X.ts_lit(now)
     ok = checked.filter(F.col("_code").isNull())
     added = ok.select(
@@ -132,8 +141,8 @@ def insert_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
         F.col("_new_id"),
         payload(nome=F.col("name"), quantita=F.col("_qd"), categoria=F.col("category"),
                   ubicazione=F.col("location")), now)
-    return JobResult(inventory.select(*added.columns).unionByName(added),
-                     _outcomes(checked, F.when(F.col("_code").isNull(), F.col("_new_id"))), audit, added)
+    return JobResult(lambda: inventory.select(*added.columns).unionByName(added),
+                     lambda: _outcomes(checked, F.when(F.col("_code").isNull(), F.col("_new_id"))), audit, added)
 
 
 # Argument names of the update calls, as the audit payload records them.
@@ -178,12 +187,12 @@ def update_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
     opened before the insert date). The rules are checked on the values a call
     sets; the rest of the row is assumed to satisfy them (see ``quality``)."""
     fields = S.UPDATE_ITEM_FIELDS
-    q = X.parse_decimal("quantity")
-    p = X.parse_decimal("price")
-    exp = X.strict_date("expiry_date")
-    opened = X.strict_date("opened_date")
+    parsed = commands.select("*", X.parse_decimal("quantity").alias("_qn"), X.parse_decimal("price").alias("_pn"),
+                             X.strict_date("expiry_date").alias("_exp"),
+                             X.strict_date("opened_date").alias("_opened"))
+    q, p, exp, opened = F.col("_qn"), F.col("_pn"), F.col("_exp"), F.col("_opened")
     inv = inventory.select(F.col("item_id").alias("_id"), F.to_date("created_at").alias("_created"))
-    joined = commands.join(inv, commands["item_id"] == inv["_id"], "left")
+    joined = parsed.join(inv, parsed["item_id"] == inv["_id"], "left")
     code = first_failure([
         ("MISSING_ID", F.col("item_id").isNull() | (F.col("item_id") == 0)),
         ("NOT_FOUND", F.col("_id").isNull()),
@@ -204,7 +213,7 @@ def update_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
         ("OPENED_BEFORE_INSERT", opened < F.col("_created")),
         ("PRICE_NEGATIVE", _rounded(p, 2) < 0),
     ])
-    checked = joined.select(*commands.columns, code.alias("_code"))
+    checked = joined.select(*commands.columns, "_qn", "_pn", "_exp", "_opened", code.alias("_code"))
     accepted = checked.filter(F.col("_code").isNull())
     typed = {
         "name": F.col("name"),
@@ -214,12 +223,12 @@ def update_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
         "price": _rounded(p, 2).cast(S.PRICE),
         "supplier": F.col("supplier"), "lot": F.col("lot"),
     }
-    table = _apply_changes(inventory, "item_id", accepted, typed, now)
     numeric = {"quantity": q.cast("double"), "price": p.cast("double")}
     details = F.to_json(F.struct(*[
         numeric.get(f, F.col(f)).alias(ITEM_ARG_NAMES[f]) for f in fields]))
-    audit = audit_rows(accepted, S.OP_UPDATE_ITEM, S.TABLE_ITEMS, F.col("item_id"), details, now)
-    return JobResult(table, _outcomes(checked, F.col("item_id")), audit)
+    return JobResult(lambda: _apply_changes(inventory, "item_id", accepted, typed, now),
+                     lambda: _outcomes(checked, F.col("item_id")),
+                     lambda: audit_rows(accepted, S.OP_UPDATE_ITEM, S.TABLE_ITEMS, F.col("item_id"), details, now))
 
 
 # --------------------------------------------------------------------------- tasks
@@ -229,7 +238,8 @@ def insert_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     frequency not in its enum; recurring without frequency; due date not
     ``YYYY-M-D``; text too long. Priority defaults to MEDIA (also when null), status
     is DA_FARE, and the frequency is kept only on a recurring task."""
-    due = X.strict_date("due_date")
+    commands = commands.select("*", X.strict_date("due_date").alias("_due"))
+    due = F.col("_due")
     rec = F.coalesce(F.col("recurring"), F.lit(False))
     code = first_failure([
         ("MISSING_TITLE", ~_truthy_text(F.col("title"))),
@@ -260,8 +270,8 @@ def insert_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
         ok.withColumn("_prio", F.coalesce(F.col("priority"), F.lit(S.DEFAULT_PRIORITY))),
         S.OP_INSERT_TASK, S.TABLE_TASKS, F.col("_new_id"),
         payload(titolo=F.col("title"), priorita=F.col("_prio")), now)
-    return JobResult(task.select(*added.columns).unionByName(added),
-                     _outcomes(checked, F.when(F.col("_code").isNull(), F.col("_new_id"))), audit, added)
+    return JobResult(lambda: task.select(*added.columns).unionByName(added),
+                     lambda: _outcomes(checked, F.when(F.col("_code").isNull(), F.col("_new_id"))), audit, added)
 
 
 def update_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
@@ -269,9 +279,10 @@ def update_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     null field keeps the old value and per field the last non-null value wins.
     Setting COMPLETATO here does not respawn a recurring task."""
     fields = S.UPDATE_TASK_FIELDS
-    due = X.strict_date("due_date")
+    parsed = commands.select("*", X.strict_date("due_date").alias("_due"))
+    due = F.col("_due")
     t = task.select(F.col("task_id").alias("_id"))
-    joined = commands.join(t, commands["task_id"] == t["_id"], "left")
+    joined = parsed.join(t, parsed["task_id"] == t["_id"], "left")
     code = first_failure([
         ("MISSING_ID", F.col("task_id").isNull() | (F.col("task_id") == 0)),
         ("NOT_FOUND", F.col("_id").isNull()),
@@ -283,13 +294,13 @@ def update_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
         ("ASSIGNEE_TOO_LONG", _too_long(F.col("assignee"), S.MAX_LEN["assignee"])),
         ("ACTOR_TOO_LONG", _too_long(F.col("actor"), S.MAX_LEN["updated_by"])),
     ])
-    checked = joined.select(*commands.columns, code.alias("_code"))
+    checked = joined.select(*commands.columns, "_due", code.alias("_code"))
     accepted = checked.filter(F.col("_code").isNull())
     typed = {f: (due if f == "due_date" else F.col(f)) for f in fields}
-    table = _apply_changes(task, "task_id", accepted, typed, now)
     details = F.to_json(F.struct(*[F.col(f).alias(TASK_ARG_NAMES[f]) for f in fields]))
-    audit = audit_rows(accepted, S.OP_UPDATE_TASK, S.TABLE_TASKS, F.col("task_id"), details, now)
-    return JobResult(table, _outcomes(checked, F.col("task_id")), audit)
+    return JobResult(lambda: _apply_changes(task, "task_id", accepted, typed, now),
+                     lambda: _outcomes(checked, F.col("task_id")),
+                     lambda: audit_rows(accepted, S.OP_UPDATE_TASK, S.TABLE_TASKS, F.col("task_id"), details, now))
 
 
 def respawn_due(due: Column, frequency: Column) -> Column:
@@ -326,32 +337,38 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     accepted = checked.filter(F.col("_code").isNull())
     ts = X.ts_lit(now)
     actor = F.coalesce(F.col("actor"), F.lit("unknown"))
-    done = accepted.select(F.col("task_id").alias("_cid"), actor.alias("_actor"))
-    table0 = task.join(done, task["task_id"] == done["_cid"], "left")
-    table0 = table0.select(*[
-        F.when(F.col("_cid").isNotNull(), F.lit(S.COMPLETED)).otherwise(F.col("status")).alias("status")
-        if c == "status" else
-        F.when(F.col("_cid").isNotNull(), ts).otherwise(F.col("updated_at")).alias("updated_at")
-        if c == "updated_at" else
-        F.when(F.col("_cid").isNotNull(), F.col("_actor")).otherwise(F.col("updated_by")).alias("updated_by")
-        if c == "updated_by" else F.col(c)
-        for c in task.columns])
-    src = task.select(*[F.col(c).alias(f"_o_{c}") for c in ("task_id", "title", "description", "priority",
-                                                                "due_date", "assignee", "frequency")])
-    spawn = accepted.filter(F.col("_rec")).join(src, F.col("task_id") == F.col("_o_task_id"))
-    added = spawn.select(
-        F.col("_new_id").alias("task_id"), F.col("_o_title").alias("title"),
-        F.col("_o_description").alias("description"), F.col("_o_priority").alias("priority"),
-        F.lit(S.DEFAULT_STATUS).alias("status"),
-        respawn_due(F.col("_o_due_date"), F.col("_o_frequency")).alias("due_date"),
-        F.col("_o_assignee").alias("assignee"), F.lit(True).alias("recurring"),
-        F.col("_o_frequency").alias("frequency"), actor.alias("created_by"), ts.alias("created_at"),
-        actor.alias("updated_by"), ts.alias("updated_at"), F.col("task_id").cast("bigint").alias("parent_task_id"),
-    )
-    audit = audit_rows(accepted, S.OP_COMPLETE_TASK, S.TABLE_TASKS, F.col("task_id"),
-                       payload(note_completamento=F.col("note"), ricorrente=F.col("_rec"),
-                                 nuovo_task_id=F.col("_new_id")), now)
-    return JobResult(table0.unionByName(added), _outcomes(checked, F.col("task_id")), audit, added)
+    def build_added() -> DataFrame:
+        src = task.select(*[F.col(c).alias(f"_o_{c}") for c in ("task_id", "title", "description", "priority",
+                                                                    "due_date", "assignee", "frequency")])
+        spawn = accepted.filter(F.col("_rec")).join(src, F.col("task_id") == F.col("_o_task_id"))
+        return spawn.select(
+            F.col("_new_id").alias("task_id"), F.col("_o_title").alias("title"),
+            F.col("_o_description").alias("description"), F.col("_o_priority").alias("priority"),
+            F.lit(S.DEFAULT_STATUS).alias("status"),
+            respawn_due(F.col("_o_due_date"), F.col("_o_frequency")).alias("due_date"),
+            F.col("_o_assignee").alias("assignee"), F.lit(True).alias("recurring"),
+            F.col("_o_frequency").alias("frequency"), actor.alias("created_by"), ts.alias("created_at"),
+            actor.alias("updated_by"), ts.alias("updated_at"),
+            F.col("task_id").cast("bigint").alias("parent_task_id"),
+        )
+
+    def build_table() -> DataFrame:
+        done = accepted.select(F.col("task_id").alias("_cid"), actor.alias("_actor"))
+        joined = task.join(done, task["task_id"] == done["_cid"], "left")
+        hit = F.col("_cid").isNotNull()
+        new = {"status": F.when(hit, F.lit(S.COMPLETED)).otherwise(F.col("status")),
+               "updated_at": F.when(hit, ts).otherwise(F.col("updated_at")),
+               "updated_by": F.when(hit, F.col("_actor")).otherwise(F.col("updated_by"))}
+        current = joined.select(*[new.get(c, F.col(c)).alias(c) for c in task.columns])
+        return current.unionByName(result.added)
+
+    result = JobResult(
+        build_table, lambda: _outcomes(checked, F.col("task_id")),
+        lambda: audit_rows(accepted, S.OP_COMPLETE_TASK, S.TABLE_TASKS, F.col("task_id"),
+                           payload(note_completamento=F.col("note"), ricorrente=F.col("_rec"),
+                                   nuovo_task_id=F.col("_new_id")), now),
+        build_added)
+    return result
 
 
 def cancel_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
@@ -366,7 +383,7 @@ def cancel_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     checked = joined.select(*commands.columns, code.alias("_code"))
     accepted = checked.filter(F.col("_code").isNull())
     typed = {"status": F.lit(S.CANCELLED)}
-    table = _apply_changes(task, "task_id", accepted, typed, now)
-    audit = audit_rows(accepted, S.OP_CANCEL_TASK, S.TABLE_TASKS, F.col("task_id"),
-                       payload(motivo=F.col("reason")), now)
-    return JobResult(table, _outcomes(checked, F.col("task_id")), audit)
+    return JobResult(lambda: _apply_changes(task, "task_id", accepted, typed, now),
+                     lambda: _outcomes(checked, F.col("task_id")),
+                     lambda: audit_rows(accepted, S.OP_CANCEL_TASK, S.TABLE_TASKS, F.col("task_id"),
+                                        payload(motivo=F.col("reason")), now))

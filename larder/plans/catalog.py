@@ -38,20 +38,34 @@ def register(name: str):
     return deco
 
 
+_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def view(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A canonical view over the driver tables, built once per session and folder
+    (the equivalent of a registered temp view; it holds no data)."""
+    key = (id(spark), d, name)
+    df = _VIEWS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = build()
+        _VIEWS[key] = df
+    return df
+
+
 def inv(spark, d):
-    return A.inventory_from_part(A.read_table(spark, d, "part"))
+    return view(spark, d, "inventory", lambda: A.inventory_from_part(A.read_table(spark, d, "part")))
 
 
 def cons(spark, d):
-    return A.consumption_from_lineitem(A.read_table(spark, d, "lineitem"))
+    return view(spark, d, "consumption", lambda: A.consumption_from_lineitem(A.read_table(spark, d, "lineitem")))
 
 
 def tsk(spark, d):
-    return A.task_from_orders(A.read_table(spark, d, "orders"))
+    return view(spark, d, "task", lambda: A.task_from_orders(A.read_table(spark, d, "orders")))
 
 
 def aud(spark, d):
-    return A.audit_from_events(A.read_table(spark, d, "events"))
+    return view(spark, d, "audit_log", lambda: A.audit_from_events(A.read_table(spark, d, "events")))
 
 
 # --- stock ---------------------------------------------------------------------------
@@ -244,29 +258,38 @@ def _outcome_view(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("seq", "key", "ok", "code")
 
 
+def _cmd(spark, d, name, build):
+    return view(spark, d, f"commands:{name}", build)
+
+
 def job_insert_items(spark, d):
-    return W.insert_items(inv(spark, d), C.insert_items_from_part(A.read_table(spark, d, "part")), C.INSERT_NOW)
+    cmds = _cmd(spark, d, "insert_items", lambda: C.insert_items_from_part(A.read_table(spark, d, "part")))
+    return W.insert_items(inv(spark, d), cmds, C.INSERT_NOW)
 
 
 def job_update_items(spark, d):
-    return W.update_items(inv(spark, d), C.update_items_from_orders(_orders(spark, d)), C.INSERT_NOW)
+    cmds = _cmd(spark, d, "update_items", lambda: C.update_items_from_orders(_orders(spark, d)))
+    return W.update_items(inv(spark, d), cmds, C.INSERT_NOW)
 
 
 def job_insert_tasks(spark, d):
-    return W.insert_tasks(tsk(spark, d), C.insert_tasks_from_customer(A.read_table(spark, d, "customer")),
-                          C.TASK_NOW)
+    cmds = _cmd(spark, d, "insert_tasks", lambda: C.insert_tasks_from_customer(A.read_table(spark, d, "customer")))
+    return W.insert_tasks(tsk(spark, d), cmds, C.TASK_NOW)
 
 
 def job_update_tasks(spark, d):
-    return W.update_tasks(tsk(spark, d), C.update_tasks_from_orders(_orders(spark, d)), C.TASK_NOW)
+    cmds = _cmd(spark, d, "update_tasks", lambda: C.update_tasks_from_orders(_orders(spark, d)))
+    return W.update_tasks(tsk(spark, d), cmds, C.TASK_NOW)
 
 
 def job_complete_tasks(spark, d):
-    return W.complete_tasks(tsk(spark, d), C.complete_tasks_from_orders(_orders(spark, d)), C.TASK_NOW)
+    cmds = _cmd(spark, d, "complete_tasks", lambda: C.complete_tasks_from_orders(_orders(spark, d)))
+    return W.complete_tasks(tsk(spark, d), cmds, C.TASK_NOW)
 
 
 def job_cancel_tasks(spark, d):
-    return W.cancel_tasks(tsk(spark, d), C.cancel_tasks_from_orders(_orders(spark, d)), C.TASK_NOW)
+    cmds = _cmd(spark, d, "cancel_tasks", lambda: C.cancel_tasks_from_orders(_orders(spark, d)))
+    return W.cancel_tasks(tsk(spark, d), cmds, C.TASK_NOW)
 
 
 @register("item_insert")
@@ -365,7 +388,7 @@ _OUT_COLS = ("item_id", "l_orderkey", "l_linenumber", "l_suppkey", "qty", "force
 
 
 def _consume_cmds(spark, d):
-    return A.consume_commands_from_lineitem(A.read_table(spark, d, "lineitem"))
+    return _cmd(spark, d, "consume", lambda: A.consume_commands_from_lineitem(A.read_table(spark, d, "lineitem")))
 
 
 def job_consume(spark, d):
@@ -455,7 +478,8 @@ def q_stream_ledger(spark, d):
     schema = cmds.schema
     for wave in _waves(cmds, "consumed_at", LEDGER_WAVES):
         wave.write.mode("append").parquet(src)
-        ST.ledger_stream(spark, inv(spark, d), src, schema, out, ckpt, A.LINEITEM_LEDGER_ORDER).awaitTermination()
+        ST.ledger_stream(spark, inv(spark, d), src, schema, out, ckpt, A.LINEITEM_LEDGER_ORDER,
+                         chunk=A.lineitem_ledger_chunk()).awaitTermination()
     return to_response(L.ledger_balances(ST.read_outcomes(spark, out)))
 
 

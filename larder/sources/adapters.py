@@ -21,8 +21,20 @@ OPENED_BASE = dt.date(2023, 12, 30)
 SYSTEM_USER = "system"
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver table ``name`` as a DataFrame: one per session and path, like a
+    catalog table reference (listing and footer reads happen once; the data is
+    read again by every query that runs)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def _case(col: Column, mapping: dict, default) -> Column:

@@ -8,6 +8,10 @@ micro-batch, and inside a micro-batch by the ledger order columns. Writes are
 overwrites of batch-id folders, so a replay after a failure is idempotent
 (exactly-once together with the checkpoint).
 
+The balance snapshot is rewritten once per micro-batch (two columns per item),
+so size triggers (``maxFilesPerTrigger``) to make each micro-batch large against
+the inventory.
+
 Why not ``applyInPandasWithState``: its per-item pandas call costs about a
 millisecond per item and micro-batch, which dominated (20,000 items: 2 minutes
 for three micro-batches at sf0.1); the Arrow fold pays per row only.
@@ -26,12 +30,13 @@ from ..operators import ledger as L
 
 def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, command_schema: T.StructType,
                   out_dir: str, checkpoint: str, order_cols: Sequence[str] = ("seq",),
-                  max_files_per_trigger: int | None = None):
+                  max_files_per_trigger: int | None = None, chunk=None, skew_rows: int = L.SKEW_ROWS):
     """Start the ledger stream over parquet command files in ``source_dir``; returns
     the ``StreamingQuery`` (``availableNow``: it stops when caught up).
 
     Micro-batch ``N`` folds its calls (the batch ledger's Arrow fold, one shuffle by
-    item) from the balances of snapshot ``N-1`` (the inventory for the first batch),
+    item, or the phased plan when a chunk is given and an item is hot) from the
+    balances of snapshot ``N-1`` (the inventory for the first batch),
     then writes ``outcomes/batch_id=N`` and ``state/batch_id=N`` by overwrite. A
     replayed batch reads the same ``N-1`` and rewrites the same ``N``, so the output
     is exactly-once; each batch reads its input from files, so lineage stays short."""
@@ -45,7 +50,7 @@ def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, co
         sess = batch.sparkSession
         prev = base if batch_id == 0 else sess.read.parquet(f"{out_dir}/state/batch_id={batch_id - 1}")
         checked = L._checked(batch, order_cols, discard=False)
-        folded = L._fold_outcomes(prev, checked, order_cols)
+        folded = L._plan(prev, checked, order_cols, chunk, skew_rows)
         outcomes = folded.select(
             *command_schema.fieldNames(), F.col("_ok").alias("ok"), F.col("_code").alias("code"),
             F.col("_before_k").alias("balance_before_k"), F.col("_after_k").alias("balance_after_k"))
