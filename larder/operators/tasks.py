@@ -82,3 +82,18 @@ def tasks_done_last_week(task: DataFrame, now) -> DataFrame:
     since = X.ts_lit(now) - F.expr("INTERVAL 7 DAYS")
     return (task.filter((F.col("status") == S.COMPLETED) & (F.col("updated_at") >= since))
             .agg(F.count(F.lit(1)).alias("completed")))
+
+
+def task_stats_rollup(task: DataFrame, start, end, group_by: str = "stato") -> DataFrame:
+    """The groups of ``task_stats`` plus the grand total over them (``is_total``
+    true, null group) in one ``rollup``. The rollup runs on the raw column, so by
+    assignee the null group and a person named NON_ASSEGNATO stay two rows."""
+    if group_by not in GROUPS:
+        raise ValueError(f"invalid grouping: {group_by!r}")
+    kind = GROUPS[group_by]
+    df = in_period(task, "created_at", start, end)
+    out = df.rollup(kind).agg(F.count(F.lit(1)).alias("total"), F.grouping(kind).alias("_g"))
+    total = F.col("_g") == 1
+    label = F.coalesce(F.col(kind), F.lit(S.UNASSIGNED)) if kind == "assignee" else F.col(kind)
+    return out.select(F.when(~total, label).alias("group_name"), F.col("total").cast("bigint").alias("total"),
+                      total.alias("is_total"))

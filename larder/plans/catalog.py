@@ -203,6 +203,12 @@ def q_task_stats_assignee(spark, d):
     return tasks.task_stats(tsk(spark, d), TASK_START, TASK_END, "assegnatario")
 
 
+@register("task_stats_rollup")
+def q_task_stats_rollup(spark, d):
+    """Tasks per status plus the total over the statuses."""
+    return tasks.task_stats_rollup(tsk(spark, d), TASK_START, TASK_END, "stato")
+
+
 @register("tasks_done_last_week")
 def q_tasks_done_last_week(spark, d):
     return tasks.tasks_done_last_week(tsk(spark, d), TASK_NOW)

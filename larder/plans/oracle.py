@@ -298,3 +298,12 @@ def q_cascade_delete() -> str:
     return with_views(INVENTORY, CONSUMPTION) + f"""
 SELECT consumption_id, item_id, CAST(qty AS DOUBLE) AS qty, {iso_ts('consumed_at')} AS consumed_at, reason, note
 FROM consumption c WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.item_id = c.item_id AND i.quantity = 0)"""
+
+
+def q_task_stats_rollup() -> str:
+    period = "CAST(created_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
+    return with_views(TASK) + f"""
+, g AS (SELECT status AS group_name, COUNT(*) AS total FROM task WHERE {period} GROUP BY status)
+SELECT group_name, CAST(total AS BIGINT) AS total, false AS is_total FROM g
+UNION ALL
+SELECT NULL, CAST(COALESCE(SUM(total), 0) AS BIGINT), true FROM g"""

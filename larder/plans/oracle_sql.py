@@ -33,6 +33,7 @@ ORACLE: dict[str, str] = {
     "task_stats_status": O.q_task_stats("status"),
     "task_stats_priority": O.q_task_stats("priority"),
     "task_stats_assignee": O.q_task_stats("assignee"),
+    "task_stats_rollup": O.q_task_stats_rollup(),
     "tasks_done_last_week": O.q_tasks_done_last_week(),
     "audit_ops_by_type": O.q_audit_ops_by_type(),
     "inventory_violations": O.q_inventory_violations(),

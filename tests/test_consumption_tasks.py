@@ -65,3 +65,10 @@ def test_stats_by_assignee_keeps_two_unassigned_rows(tasks):
 def test_done_last_week(tasks):
     assert T.tasks_done_last_week(tasks, dt.datetime(2024, 1, 8)).collect()[0].completed == 1
     assert T.tasks_done_last_week(tasks, dt.datetime(2024, 1, 20)).collect()[0].completed == 0
+
+
+def test_stats_rollup_keeps_label_collisions_apart(tasks):
+    rows = sorted(((r.group_name or ""), r.total, r.is_total) for r in
+                  T.task_stats_rollup(tasks, dt.date(2024, 1, 1), dt.date(2024, 1, 31), "assegnatario").collect())
+    assert rows == [("", 7, True), ("NON_ASSEGNATO", 1, False), ("NON_ASSEGNATO", 2, False), ("anna", 3, False),
+                    ("luca", 1, False)]
