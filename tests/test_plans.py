@@ -81,3 +81,13 @@ def test_column_pruning_on_lookups(spark):
     """The existence lookup of the update job reads only the key of the inventory."""
     p = plan(spark, "item_update_outcomes")
     assert any(re.search(r"ReadSchema: struct<p_partkey:bigint>", s) for s in scans(p, "part"))
+
+
+def test_single_partition_only_after_partial_aggregate(spark):
+    """A global exchange only ever receives one partial row per task (scalar
+    aggregates such as ``max(id)`` or KPI totals), never the rows themselves."""
+    for name in BATCH:
+        lines = plan(spark, name).splitlines()
+        for i, ln in enumerate(lines):
+            if "Exchange SinglePartition" in ln:
+                assert re.search(r"HashAggregate\(keys=\[\], functions=\[partial_", lines[i + 1]), (name, lines[i + 1])
