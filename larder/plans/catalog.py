@@ -477,7 +477,8 @@ def _waves(df: DataFrame, col: str, cuts) -> list[DataFrame]:
 @register("stream_ledger")
 def q_stream_ledger(spark, d):
     """The lineitem consume calls arriving in three waves through the ledger stream
-    (state store balances, restart from checkpoint between waves); balances per item."""
+    (balance snapshots per micro-batch, restart from checkpoint between waves); balances
+    per item."""
     base = scratch_path(spark, "stream-ledger")
     src, out, ckpt = f"{base}/source", f"{base}/ledger", f"{base}/checkpoint"
     cmds = _consume_cmds(spark, d)
