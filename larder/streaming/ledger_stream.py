@@ -28,22 +28,16 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..operators import ledger as L
 
-def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, command_schema: T.StructType,
-                  out_dir: str, checkpoint: str, order_cols: Sequence[str] = ("seq",),
-                  max_files_per_trigger: int | None = None, chunk=None, skew_rows: int = L.SKEW_ROWS):
-    """Start the ledger stream over parquet command files in ``source_dir``; returns
-    the ``StreamingQuery`` (``availableNow``: it stops when caught up).
+def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: str,
+                 order_cols: Sequence[str] = ("seq",), chunk=None, skew_rows: int = L.SKEW_ROWS):
+    """The ``foreachBatch`` function of the ledger stream.
 
     Micro-batch ``N`` folds its calls (the batch ledger's Arrow fold, one shuffle by
     item, or the phased plan when a chunk is given and an item is hot) from the
-    balances of snapshot ``N-1`` (the inventory for the first batch),
-    then writes ``outcomes/batch_id=N`` and ``state/batch_id=N`` by overwrite. A
-    replayed batch reads the same ``N-1`` and rewrites the same ``N``, so the output
-    is exactly-once; each batch reads its input from files, so lineage stays short."""
-    reader = spark.readStream.schema(command_schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    commands = reader.parquet(source_dir)
+    balances of snapshot ``N-1`` (the inventory for the first batch), then writes
+    ``outcomes/batch_id=N`` and ``state/batch_id=N`` by overwrite. A replayed batch
+    reads the same ``N-1`` and rewrites the same ``N``, so a crash anywhere inside a
+    batch (before, between or during the two writes) is repaired by the replay."""
     base = inventory.select("item_id", "quantity")
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -63,6 +57,25 @@ def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, co
                                   F.col("quantity")).alias("quantity"))
         state.write.mode("overwrite").parquet(f"{out_dir}/state/batch_id={batch_id}")
 
+    return run
+
+
+def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, command_schema: T.StructType,
+                  out_dir: str, checkpoint: str, order_cols: Sequence[str] = ("seq",),
+                  max_files_per_trigger: int | None = None, chunk=None, skew_rows: int = L.SKEW_ROWS,
+                  batch_fn=None):
+    """Start the ledger stream over parquet command files in ``source_dir``; returns
+    the ``StreamingQuery`` (``availableNow``: it stops when caught up).
+
+    Each micro-batch runs ``batch_fn`` (default: ``ledger_batch`` over the same
+    arguments; a caller may wrap it, e.g. for metrics). Each batch reads its input
+    from files and its balances from the previous snapshot, so lineage stays short;
+    with the checkpoint the output is exactly-once."""
+    reader = spark.readStream.schema(command_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    commands = reader.parquet(source_dir)
+    run = batch_fn or ledger_batch(inventory, command_schema, out_dir, order_cols, chunk, skew_rows)
     return (commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
