@@ -32,13 +32,13 @@ def balances(outcomes):
     return sorted(tuple(r) for r in L.ledger_balances(outcomes).collect())
 
 
-def run_waves(spark, inv, cmds, crash=None):
+def run_waves(spark, inv, cmds, crash=None, compact_every=ST.COMPACT_EVERY):
     """Write the calls in three waves and run the stream after each; ``crash``
     (``before`` or ``partial``) makes the second micro-batch fail once, after which
     the stream is restarted from its checkpoint."""
     base = scratch_path(spark, "test-stream")
     src, out, ckpt = f"{base}/source", f"{base}/ledger", f"{base}/checkpoint"
-    fn = ST.ledger_batch(inv, cmds.schema, out)
+    fn = ST.ledger_batch(inv, cmds.schema, out, compact_every=compact_every)
     crashed = []
 
     def crashing(batch, batch_id):
@@ -46,10 +46,11 @@ def run_waves(spark, inv, cmds, crash=None):
             crashed.append(batch_id)
             if crash == "partial":
                 fn(batch, batch_id)
-                # a half-written snapshot: every balance wrong
-                spark.read.parquet(f"{out}/state/batch_id=0").select("item_id", F.lit(Decimal("999.000"))
-                                                                     .cast(S.QTY).alias("quantity")) \
-                    .write.mode("overwrite").parquet(f"{out}/state/batch_id=1")
+                # a half-written delta (and snapshot, when one is due): every balance wrong
+                wrong = inv.select("item_id", F.lit(Decimal("999.000")).cast(S.QTY).alias("quantity"))
+                wrong.write.mode("overwrite").parquet(f"{out}/delta/batch_id=1")
+                if (batch_id + 1) % compact_every == 0:
+                    wrong.write.mode("overwrite").parquet(f"{out}/snapshot/batch_id=1")
             raise RuntimeError("executor lost")
         fn(batch, batch_id)
 
@@ -61,20 +62,29 @@ def run_waves(spark, inv, cmds, crash=None):
                 q.awaitTermination()
             q = ST.ledger_stream(spark, inv, src, cmds.schema, out, ckpt, batch_fn=fn)
         q.awaitTermination()
-    return ST.read_outcomes(spark, out)
+    return ST.read_outcomes(spark, out), ST.stream_balances(spark, inv, out)
 
 
-def test_stream_equals_batch_ledger(spark):
+def table(df):
+    return sorted((r.item_id, r.quantity) for r in df.select("item_id", "quantity").collect())
+
+
+@pytest.mark.parametrize("compact_every", [1, 2, 50])
+def test_stream_equals_batch_ledger(spark, compact_every):
     inv, cmds = data(spark)
-    streamed = run_waves(spark, inv, cmds)
+    streamed, bal = run_waves(spark, inv, cmds, compact_every=compact_every)
+    batch = L.consume(inv, cmds, NOW)
     assert streamed.count() == 600
-    assert balances(streamed) == balances(L.consume(inv, cmds, NOW).outcomes)
+    assert balances(streamed) == balances(batch.outcomes)
+    assert table(bal) == table(batch.table)
 
 
-@pytest.mark.parametrize("crash", ["before", "partial"])
-def test_stream_replays_a_crashed_batch_exactly(spark, crash):
+@pytest.mark.parametrize("crash,compact_every", [("before", 50), ("partial", 50), ("partial", 2), ("partial", 3)])
+def test_stream_replays_a_crashed_batch_exactly(spark, crash, compact_every):
     inv, cmds = data(spark)
-    streamed = run_waves(spark, inv, cmds, crash=crash)
+    streamed, bal = run_waves(spark, inv, cmds, crash=crash, compact_every=compact_every)
+    batch = L.consume(inv, cmds, NOW)
     assert streamed.count() == 600
     assert streamed.select("seq").distinct().count() == 600
-    assert balances(streamed) == balances(L.consume(inv, cmds, NOW).outcomes)
+    assert balances(streamed) == balances(batch.outcomes)
+    assert table(bal) == table(batch.table)
