@@ -7,6 +7,9 @@
 * ``inventory`` and ``task`` are rewritten as a new snapshot (a new folder per
   version): Spark cannot overwrite a path it is reading, and a failed job leaves
   the previous version intact.
+* Every file is sorted by its key inside its task (facts by day, then item), a
+  sort with no shuffle: parquet row groups then cover narrow key ranges, and a
+  lookup by id skips the row groups whose min/max exclude it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 FACT_DAY = {"consumption": "consumed_at", "audit_log": "ts"}
+SORT_KEY = {"inventory": ("item_id",), "task": ("task_id",), "consumption": ("day", "item_id"),
+            "audit_log": ("day", "log_id")}
 
 
 def read(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
@@ -32,6 +37,7 @@ def append_facts(df: DataFrame, root: str, name: str) -> None:
         raise ValueError(f"{name} is not a fact table")
     cols = S.TABLES[name].fieldNames()
     (df.select(*cols, F.to_date(FACT_DAY[name]).alias("day"))
+     .sortWithinPartitions(*SORT_KEY[name])
      .write.mode("append").partitionBy("day").parquet(f"{root}/{name}"))
 
 
@@ -40,7 +46,8 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: str) -> str:
     if name in FACT_DAY:
         raise ValueError(f"{name} is append-only")
     path = f"{root}/{name}/version={version}"
-    df.select(*S.TABLES[name].fieldNames()).write.mode("errorifexists").parquet(path)
+    (df.select(*S.TABLES[name].fieldNames()).sortWithinPartitions(*SORT_KEY[name])
+     .write.mode("errorifexists").parquet(path))
     return path
 
 

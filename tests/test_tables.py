@@ -21,3 +21,17 @@ def test_round_trip_and_partitioned_facts(spark, inventory, consumption):
     tables.write_json_lines(stock.stock_list_json(stock.list_stock(inventory, dt.date(2024, 1, 15), limit=None)), out)
     lines = spark.read.text(out).collect()
     assert len(lines) == 8 and all(line.value.startswith('{"id":') for line in lines)
+
+
+def test_snapshot_files_sorted_by_key_and_lookup_pushed(spark, inventory):
+    from pyspark.sql import functions as F
+    root = tempfile.mkdtemp(prefix="larder-tables-")
+    tables.write_snapshot(inventory.repartition(3), root, "inventory", "1")
+    inv = tables.read(spark, root, "inventory", "1")
+    per_file = inv.select(F.input_file_name().alias("f"), "item_id").collect()
+    files = {}
+    for r in per_file:
+        files.setdefault(r.f, []).append(r.item_id)
+    assert all(ids == sorted(ids) for ids in files.values())
+    plan = inv.filter(F.col("item_id") == 4)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(item_id,4)" in plan
