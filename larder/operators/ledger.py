@@ -320,16 +320,19 @@ def discard(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence
 
 
 def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-                   chunk: Column | None = None) -> DataFrame:
+                   chunk: Column | None = None, skew_rows: int = SKEW_ROWS) -> DataFrame:
     """Outcomes when every request is forced: ``balance_after = max(0, b0 - S_i)``.
 
     ``chunk`` is an expression non-decreasing in the call order (for example the
-    day of the call). With it, the running sum is a two-level scan: totals per
-    (item, chunk), offsets by a window over each item's chunk totals, then a
-    window inside each (item, chunk); a hot item is spread over its chunks.
-    Without it, one window per item."""
+    day of the call). With it and an item holding more than ``skew_rows``
+    requests (the sampled probe of ``consume``; ``skew_rows <= 0`` forces it), the
+    running sum is a two-level scan: totals per (item, chunk), offsets by a window
+    over each item's chunk totals, then a window inside each (item, chunk); a hot
+    item is spread over its chunks. Otherwise one window per item."""
     checked = _checked(commands.withColumn("force", F.lit(True)) if "force" in commands.columns
                        else commands, order_cols, discard=False).withColumn("_force", F.lit(True))
+    if chunk is not None and skew_rows > 0 and not _has_hot_item(checked, skew_rows):
+        chunk = None
     inv = inventory.select(F.col("item_id").alias("_iid"), _k(F.col("quantity")).alias("_open_k"))
     df = checked.join(inv, checked["item_id"] == inv["_iid"], "left")
     valid = F.col("_pre").isNull() & F.col("_iid").isNotNull() & F.col("_reason_ok")

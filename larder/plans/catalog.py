@@ -430,12 +430,22 @@ def q_consume_stock_table(spark, d):
 
 @register("consume_forced")
 def q_consume_forced(spark, d):
-    """The same requests all forced: two-level prefix sum chunked by day."""
+    """The same requests all forced: a running sum per item (two-level when an
+    item is hot)."""
     out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
                            chunk=A.lineitem_ledger_chunk())
     return to_response(out.select(*_OUT_COLS))
 
 
+@register("consume_forced_chunked")
+def q_consume_forced_chunked(spark, d):
+    """The same forced ledger through the two-level scan over the lineitem chunks,
+    whatever the skew."""
+    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
+                           chunk=A.lineitem_ledger_chunk(), skew_rows=0)
+    return to_response(out.select(*_OUT_COLS))
+
+
 def discard_commands(lineitem: DataFrame) -> DataFrame:
     """Every lineitem row as a discard call (never forced). Its reason follows the
     return flag: R → BUTTATO and N → SCADUTO are accepted reasons, A → CONSUMATO is

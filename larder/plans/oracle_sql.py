@@ -71,6 +71,7 @@ ORACLE.update({
     "consume_ledger": OL.q_consume_ledger(),
     "consume_stock_table": OL.q_consume_stock_table(),
     "consume_forced": OL.q_consume_forced(),
+    "consume_forced_chunked": OL.q_consume_forced(),
     "discard_ledger": OL.q_discard_ledger(),
 })
 

@@ -187,8 +187,11 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def lineitem_ledger_chunk() -> Column:
-    """A chunk of the lineitem ledger order, non-decreasing in it: the call year
-    and a block of 2^20 order keys. At the test scales an item has a few chunks; at
-    100 TB (order keys up to ~6e11) a hot item holding a third of all rows is split
-    into ~4 million groups of ~50,000 rows."""
-    return F.struct(F.year("consumed_at").alias("y"), F.floor(F.col("l_orderkey") / 1048576).alias("b"))
+    """A chunk of the lineitem ledger order (``LINEITEM_LEDGER_ORDER``), non-decreasing
+    in it: the call time and a block of 2^30 order keys. Calls at one time are
+    ordered by order key, so the block never goes down inside a call time (a block
+    across call times would: a later day can carry a smaller order key). At 100 TB
+    (order keys up to ~6e11, ~2,500 call days) a hot item holding a third of all
+    rows is split into ~1.4 million chunks of ~140,000 rows; at the test scales a
+    chunk is a call day of one item."""
+    return F.struct(F.col("consumed_at"), F.floor(F.col("l_orderkey") / F.lit(1 << 30)).alias("b"))

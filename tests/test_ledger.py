@@ -73,7 +73,7 @@ def test_forced_form_equals_fold(spark):
     from pyspark.sql import functions as F
     for chunk in (None, F.floor(F.col("seq") / 37)):
         forced = {r.seq: (r.ok, r.code, r.balance_before, r.balance_after)
-                  for r in L.consume_forced(inv, cmds, NOW, chunk=chunk).collect()}
+                  for r in L.consume_forced(inv, cmds, NOW, chunk=chunk, skew_rows=0).collect()}
         assert forced == fold
 
 
@@ -140,3 +140,33 @@ def test_sampled_probe_finds_a_hot_item(spark):
     assert L._has_hot_item(checked, 20_000)       # sampled (1 in 20)
     assert not L._has_hot_item(checked, 60_000)   # sampled (1 in 60)
     assert L._has_hot_item(checked, 1_000) and not L._has_hot_item(checked, 40_000 * 2)
+
+
+def test_lineitem_chunk_follows_the_ledger_order(spark):
+    """The chunk must be non-decreasing in the ledger order, also when order keys
+    exceed any block size and are unrelated to the call day (as at large scale)."""
+    from pyspark.sql import functions as F
+    from larder.sources import adapters as A
+    rnd = random.Random(3)
+    created = dt.datetime(2024, 1, 1)
+    inv = spark.createDataFrame([(i, f"I{i}", Decimal(rnd.randint(0, 60)), "KG", None, None, "FRUTTA", "FRIGO",
+                                  None, None, None, created, created, "system") for i in range(1, 6)], S.INVENTORY)
+    rows = [(rnd.randint(1, 50_000_000), rnd.randint(1, 5), rnd.randint(1, 100), ln, Decimal(rnd.randint(1, 9)),
+             Decimal("1.00"), rnd.choice("ANR"), dt.date(1995, 1, 1) + dt.timedelta(days=rnd.randint(0, 1500)))
+            for ln in range(1, 2001)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                                     "l_quantity decimal(15,2), l_extendedprice decimal(15,2), "
+                                     "l_returnflag string, l_shipdate date")
+    cmds = A.consume_commands_from_lineitem(li)
+    order = A.LINEITEM_LEDGER_ORDER
+    key = ("l_orderkey", "l_linenumber")
+    cols = ("ok", "code", "balance_before", "balance_after")
+    want = {tuple(r[k] for k in key): tuple(r[c] for c in cols)
+            for r in L.consume(inv, cmds, NOW, order).outcomes.collect()}
+    phased = L.consume(inv, cmds, NOW, order, chunk=A.lineitem_ledger_chunk(), skew_rows=0).outcomes
+    assert {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in phased.collect()} == want
+    forced_cmds = cmds.withColumn("force", F.lit(True))
+    want_f = {tuple(r[k] for k in key): tuple(r[c] for c in cols)
+              for r in L.consume(inv, forced_cmds, NOW, order).outcomes.collect()}
+    got_f = L.consume_forced(inv, forced_cmds, NOW, order, chunk=A.lineitem_ledger_chunk(), skew_rows=0)
+    assert {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in got_f.collect()} == want_f
