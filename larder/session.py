@@ -9,14 +9,19 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "larder") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "larder",
+                  event_log_dir: str | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench expect.
 
     On a cluster the session comes from the launcher; only the SQL settings
-    below matter there and are set by ``configure``.
+    below matter there and are set by ``configure``. ``event_log_dir`` turns on
+    Spark's event log there (stage and task times, read offline; no UI).
     """
+    builder = SparkSession.builder
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
