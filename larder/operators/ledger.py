@@ -64,7 +64,7 @@ def _from_k(col: str) -> Column:
     return (F.col(col).cast("decimal(20,0)") / F.lit(1000)).cast(S.QTY)
 
 
-def _checked(commands: DataFrame, order_cols: Sequence[str], discard: bool) -> DataFrame:
+def check_requests(commands: DataFrame, order_cols: Sequence[str], discard: bool) -> DataFrame:
     """Balance-independent checks. For a discard the reason must be SCADUTO or
     BUTTATO up front; for a consume an invalid reason only shows after the balance
     test (the fact insert is what fails), so it is carried as a flag."""
@@ -261,7 +261,7 @@ def _finish(inventory: DataFrame, folded: DataFrame, commands: DataFrame, order_
 SKEW_ROWS = 1_000_000
 
 
-def _plan(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str], chunk: Column | None,
+def plan_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str], chunk: Column | None,
           skew_rows: int) -> DataFrame:
     """Pick the ledger plan: the phased plan when a chunk is given and some item has
     more than ``skew_rows`` requests (a sampled probe decides, ``_has_hot_item``;
@@ -304,8 +304,8 @@ def consume(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence
     With ``chunk`` (an expression non-decreasing in the call order) and an item
     holding more than ``skew_rows`` requests, the skew-safe three-phase plan is
     used (``_phased_outcomes``); otherwise one shuffle by item and the fold."""
-    checked = _checked(commands, order_cols, discard=False)
-    folded = _plan(inventory, checked, order_cols, chunk, skew_rows)
+    checked = check_requests(commands, order_cols, discard=False)
+    folded = plan_outcomes(inventory, checked, order_cols, chunk, skew_rows)
     return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
@@ -314,8 +314,8 @@ def discard(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence
             skew_rows: int = SKEW_ROWS) -> LedgerResult:
     """Discard stock: a consume that is never forced and whose reason must be
     SCADUTO or BUTTATO (the declared behaviour, with the reason kept)."""
-    checked = _checked(commands, order_cols, discard=True)
-    folded = _plan(inventory, checked, order_cols, chunk, skew_rows)
+    checked = check_requests(commands, order_cols, discard=True)
+    folded = plan_outcomes(inventory, checked, order_cols, chunk, skew_rows)
     return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
@@ -329,7 +329,7 @@ def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: S
     running sum is a two-level scan: totals per (item, chunk), offsets by a window
     over each item's chunk totals, then a window inside each (item, chunk); a hot
     item is spread over its chunks. Otherwise one window per item."""
-    checked = _checked(commands.withColumn("force", F.lit(True)) if "force" in commands.columns
+    checked = check_requests(commands.withColumn("force", F.lit(True)) if "force" in commands.columns
                        else commands, order_cols, discard=False).withColumn("_force", F.lit(True))
     if chunk is not None and skew_rows > 0 and not _has_hot_item(checked, skew_rows):
         chunk = None

@@ -64,7 +64,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
 
     def run(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        checked = L._checked(batch, order_cols, discard=False)
+        checked = L.check_requests(batch, order_cols, discard=False)
         items = checked.select("item_id").distinct()
         snap_id = (batch_id // compact_every) * compact_every - 1
         base = inv_bal if snap_id < 0 else sess.read.parquet(f"{out_dir}/snapshot/batch_id={snap_id}")
@@ -75,7 +75,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
         opening = base.join(items, "item_id", "left_semi")
         if deltas is not None:
             opening = _latest(opening, deltas.join(items, "item_id", "left_semi"))
-        folded = L._plan(opening, checked, order_cols, chunk, skew_rows)
+        folded = L.plan_outcomes(opening, checked, order_cols, chunk, skew_rows)
         outcomes = folded.select(
             *command_schema.fieldNames(), F.col("_ok").alias("ok"), F.col("_code").alias("code"),
             F.col("_before_k").alias("balance_before_k"), F.col("_after_k").alias("balance_after_k"))

@@ -125,17 +125,17 @@ def test_phased_plan_equals_fold(spark):
 def test_plan_choice_is_adaptive(spark):
     from pyspark.sql import functions as F
     cmds = spark.createDataFrame([(s, "u", 1, Decimal(1), None, None, False) for s in range(1, 31)], S.CONSUME_CMD)
-    checked = L._checked(cmds, ("seq",), discard=False)
+    checked = L.check_requests(cmds, ("seq",), discard=False)
     inv = inv_one(spark)
     chunk = F.floor(F.col("seq") / 8)
-    assert "MapInArrow" in L._plan(inv, checked, ("seq",), chunk, 100)._jdf.queryExecution().toString()
-    phased = L._plan(inv, checked, ("seq",), chunk, 10)._jdf.queryExecution().toString()
+    assert "MapInArrow" in L.plan_outcomes(inv, checked, ("seq",), chunk, 100)._jdf.queryExecution().toString()
+    phased = L.plan_outcomes(inv, checked, ("seq",), chunk, 10)._jdf.queryExecution().toString()
     assert "Window" in phased
 
 
 def test_sampled_probe_finds_a_hot_item(spark):
     rows = [(s, "u", 1 if s % 3 else 2 + s, Decimal(1), None, None, False) for s in range(1, 60001)]
-    checked = L._checked(spark.createDataFrame(rows, S.CONSUME_CMD), ("seq",), discard=False)
+    checked = L.check_requests(spark.createDataFrame(rows, S.CONSUME_CMD), ("seq",), discard=False)
     # item 1 holds 40,000 requests, every other item one
     assert L._has_hot_item(checked, 20_000)       # sampled (1 in 20)
     assert not L._has_hot_item(checked, 60_000)   # sampled (1 in 60)
