@@ -11,7 +11,8 @@ CMD = """cmd AS (
   {force} AS force,
   CASE l_returnflag WHEN 'A' THEN 'CONSUMATO' WHEN 'N' THEN 'SCADUTO' ELSE 'BUTTATO' END AS reason,
   row_number() OVER (PARTITION BY l_partkey
-   ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS DECIMAL(10,3)), l_extendedprice) AS rn
+   ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS DECIMAL(10,3)), l_extendedprice,
+    CASE l_returnflag WHEN 'A' THEN 'CONSUMATO' WHEN 'N' THEN 'SCADUTO' ELSE 'BUTTATO' END) AS rn
  FROM lineitem)"""
 
 

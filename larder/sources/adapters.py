@@ -110,9 +110,13 @@ def consumption_from_lineitem(lineitem: DataFrame, with_order_keys: bool = False
     return lineitem.select(*cols)
 
 
-# Ledger order of the lineitem-derived consumption commands. Rows equal in all of
-# these columns are identical requests, hence interchangeable.
-LINEITEM_LEDGER_ORDER = ("consumed_at", "l_orderkey", "l_linenumber", "l_suppkey", "qty", "l_extendedprice")
+# Ledger order of the lineitem-derived consumption commands (lineitem has no unique
+# key). The last column, the reason, is the only other field of a request that can
+# change an outcome (a discard refuses CONSUMATO), so rows equal in all of these
+# are identical requests, interchangeable, and the order is the same on every task
+# attempt.
+LINEITEM_LEDGER_ORDER = ("consumed_at", "l_orderkey", "l_linenumber", "l_suppkey", "qty", "l_extendedprice",
+                         "reason")
 
 
 def consume_commands_from_lineitem(lineitem: DataFrame) -> DataFrame:
