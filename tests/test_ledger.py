@@ -170,3 +170,28 @@ def test_lineitem_chunk_follows_the_ledger_order(spark):
               for r in L.consume(inv, forced_cmds, NOW, order).outcomes.collect()}
     got_f = L.consume_forced(inv, forced_cmds, NOW, order, chunk=A.lineitem_ledger_chunk(), skew_rows=0)
     assert {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in got_f.collect()} == want_f
+
+
+def test_lineitem_ties_are_ordered_by_reason(spark):
+    """Two calls equal in every other order column but with different reasons: a
+    discard refuses one of them, so their order decides the balances reported.
+    The reason ends the order, so every partitioning gives the same outcomes."""
+    from larder.sources import adapters as A
+    from larder.plans.catalog import discard_commands
+    inv = inv_one(spark, "5.000")
+    row = (7, 1, 3, 1, Decimal("2"), Decimal("1.00"), None, dt.date(1996, 3, 1))
+    rows = [row[:6] + ("A",) + row[7:], row[:6] + ("R",) + row[7:], row[:6] + ("N",) + row[7:]]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                                     "l_quantity decimal(15,2), l_extendedprice decimal(15,2), "
+                                     "l_returnflag string, l_shipdate date")
+    seen = set()
+    for parts, rev in ((1, False), (3, False), (3, True)):
+        src = li.orderBy(li.l_returnflag.desc() if rev else li.l_returnflag).repartition(parts)
+        out = L.discard(inv, discard_commands(src), NOW, A.LINEITEM_LEDGER_ORDER).outcomes
+        seen.add(tuple(sorted((r.effective_reason, r.code, str(r.balance_before), str(r.balance_after))
+                              for r in out.collect())))
+    assert len(seen) == 1
+    # BUTTATO (R) sorts first and is accepted, CONSUMATO (A) is refused, SCADUTO (N) takes two more
+    assert sorted(seen.pop()) == sorted([("BUTTATO", "OK", "5.000", "3.000"),
+                                         ("CONSUMATO", "INVALID_REASON", "3.000", "3.000"),
+                                         ("SCADUTO", "OK", "3.000", "1.000")])
