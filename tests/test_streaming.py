@@ -88,3 +88,16 @@ def test_stream_replays_a_crashed_batch_exactly(spark, crash, compact_every):
     assert streamed.select("seq").distinct().count() == 600
     assert balances(streamed) == balances(batch.outcomes)
     assert table(bal) == table(batch.table)
+
+
+def test_batch_with_no_accepted_call(spark):
+    """A micro-batch whose calls are all refused writes an empty delta; later
+    batches still read the log (compaction due or not)."""
+    inv, cmds = data(spark)
+    refused = cmds.withColumn("qty", F.when((F.col("seq") > 200) & (F.col("seq") <= 400), F.lit(Decimal("0")))
+                              .otherwise(F.col("qty")).cast(S.QTY))
+    for k in (2, 50):
+        streamed, bal = run_waves(spark, inv, refused, compact_every=k)
+        batch = L.consume(inv, refused, NOW)
+        assert balances(streamed) == balances(batch.outcomes)
+        assert table(bal) == table(batch.table)
