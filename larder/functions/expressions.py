@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 
 
-def as_column(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def date_lit(value: dt.date | str) -> Column:
     if isinstance(value, str):
         value = dt.date.fromisoformat(value)
