@@ -93,8 +93,10 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
 
 
 def stream_balances(spark: SparkSession, inventory: DataFrame, out_dir: str) -> DataFrame:
-    """All balances after the stream's last committed batch: the inventory
-    overridden by the newest delta per item (one aggregate over the delta log)."""
+    """All balances after the stream's last batch: the inventory overridden by the
+    newest delta per item (one aggregate over the delta log). Read it once the
+    stream has stopped cleanly: a batch that failed before its commit may have left
+    a delta that its replay will rewrite."""
     return _latest(inventory.select("item_id", "quantity"), spark.read.parquet(f"{out_dir}/delta"))
 
 
@@ -107,8 +109,8 @@ def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, co
 
     Each micro-batch runs ``batch_fn`` (default: ``ledger_batch`` over the same
     arguments; a caller may wrap it, e.g. for metrics). Each batch reads its input
-    from files and its balances from the written snapshot and deltas, so lineage stays short;
-    with the checkpoint the output is exactly-once."""
+    from files and its balances from the written snapshot and deltas, so lineage
+    stays short; with the checkpoint the output is exactly-once."""
     reader = spark.readStream.schema(command_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
