@@ -42,12 +42,14 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
     """The ``foreachBatch`` function of the ledger stream.
 
     Balances live as a log: ``delta/batch_id=N`` holds only the items batch ``N``
-    changed, and after every ``compact_every`` batches (``N + 1`` a multiple of
-    it) ``snapshot/batch_id=N`` holds all balances after batch ``N``. Batch ``N``:
+    changed, and at batch 0 and every ``compact_every`` batches after it
+    ``snapshot/batch_id=N`` holds all balances after batch ``N``. Only batch 0
+    reads the inventory, so a replay never depends on it having stayed the same.
+    Batch ``N``:
 
     1. opening balances of *its own items only*: the last snapshot before ``N``
-       (the inventory before the first one) and the deltas after it, each
-       semi-joined to the batch's distinct items, newest per item;
+       (the inventory for batch 0) and the deltas after it, each semi-joined to
+       the batch's distinct items, newest per item;
     2. the fold of its calls (the batch ledger's plan: one shuffle by item, or the
        phased plan when a chunk is given and an item is hot);
     3. writes ``outcomes/batch_id=N``, ``delta/batch_id=N`` and, when due, the
@@ -66,7 +68,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
         sess = batch.sparkSession
         checked = L.check_requests(batch, order_cols, discard=False)
         items = checked.select("item_id").distinct()
-        snap_id = (batch_id // compact_every) * compact_every - 1
+        snap_id = -1 if batch_id == 0 else ((batch_id - 1) // compact_every) * compact_every
         base = inv_bal if snap_id < 0 else sess.read.parquet(f"{out_dir}/snapshot/batch_id={snap_id}")
         deltas = None
         if batch_id - 1 > snap_id:
@@ -84,7 +86,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
         delta = (sess.read.parquet(out_path).filter(F.col("ok")).groupBy("item_id")
                  .agg((F.min("balance_after_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("quantity")))
         delta.write.mode("overwrite").parquet(f"{out_dir}/delta/batch_id={batch_id}")
-        if (batch_id + 1) % compact_every == 0:
+        if batch_id % compact_every == 0:
             since = (sess.read.parquet(f"{out_dir}/delta")
                      .filter((F.col("batch_id") > snap_id) & (F.col("batch_id") <= batch_id)))
             _latest(base, since).write.mode("overwrite").parquet(f"{out_dir}/snapshot/batch_id={batch_id}")
