@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 
@@ -27,7 +28,11 @@ SORT_KEY = {"inventory": ("item_id",), "task": ("task_id",), "consumption": ("da
 def read(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
     """A canonical table under ``root`` (a snapshot version for the entity tables)."""
     path = f"{root}/{name}" + (f"/version={version}" if version else "")
-    df = spark.read.schema(S.TABLES[name].add("day", "date") if name in FACT_DAY else S.TABLES[name]).parquet(path)
+    schema = S.TABLES[name]
+    if name in FACT_DAY:
+        # a new StructType: ``StructType.add`` would change the shared one in place
+        schema = T.StructType(schema.fields + [T.StructField("day", T.DateType())])
+    df = spark.read.schema(schema).parquet(path)
     return df.drop("day") if name in FACT_DAY else df
 
 

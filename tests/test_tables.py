@@ -35,3 +35,23 @@ def test_snapshot_files_sorted_by_key_and_lookup_pushed(spark, inventory):
     assert all(ids == sorted(ids) for ids in files.values())
     plan = inv.filter(F.col("item_id") == 4)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(item_id,4)" in plan
+
+
+def test_fact_files_sorted_by_item_within_day(spark, consumption):
+    from pyspark.sql import functions as F
+    root = tempfile.mkdtemp(prefix="larder-tables-")
+    tables.append_facts(consumption.repartition(2), root, "consumption")
+    rows = tables.read(spark, root, "consumption").select(F.input_file_name().alias("f"), "item_id").collect()
+    files = {}
+    for r in rows:
+        files.setdefault(r.f, []).append(r.item_id)
+    assert len(files) >= 5 and all(ids == sorted(ids) for ids in files.values())
+
+
+def test_reading_facts_leaves_the_shared_schema_alone(spark, consumption):
+    from larder import schemas as S
+    root = tempfile.mkdtemp(prefix="larder-tables-")
+    tables.append_facts(consumption, root, "consumption")
+    before = S.TABLES["consumption"].fieldNames()
+    tables.read(spark, root, "consumption").count()
+    assert S.TABLES["consumption"].fieldNames() == before and "day" not in before
