@@ -4,28 +4,33 @@ A request for ``qty`` of an item with balance ``b`` is rejected (INSUFFICIENT)
 when ``qty > b`` and it is not forced; otherwise it is accepted, a consumption
 fact records the *requested* quantity, and the balance becomes
 ``max(0, b - qty)`` (EXHAUSTED when that is 0). A rejected request leaves the
-balance alone, so each decision depends on the one before: an order-dependent
-fold per item, which no associative aggregate expresses.
-
-Forms:
-
-* ``consume`` (per-request outcomes, the general form). One shuffle: the
-  inventory's opening-balance rows and the requests are unioned and
-  hash-partitioned by item, sorted by (item, opening row first, call order) inside
-  each partition, and folded by ``mapInArrow`` with the balance carried from row
-  to row and across Arrow batches. Memory is constant per task whatever the
-  number of requests per item; nothing is gathered into one value.
-* ``consume_forced`` (every request forced). Then the balance after request *i*
-  is ``max(0, b0 - S_i)`` with ``S_i`` the running sum of accepted quantities: a
-  prefix sum, computed exactly and in parallel as a two-level scan (per-chunk
-  totals, chunk offsets, running sum inside a chunk), so a hot item is split over
-  many tasks.
-* ``ledger_balances``: opening and closing balance and counts per item, an
-  aggregate over the outcomes (the balance never rises, so the closing balance
-  is the minimum).
-
-Quantities travel through Python as integer thousandths (``decimal(10,3)``
-scale), so the fold is exact.
+balance alone, so each decision depends on the one before.
+
+This greedy fill is computed by halving levels, exactly. With balance ``U`` at the
+start of a level, forced requests and unforced ones with ``2q <= U`` are sure to be
+accepted while the balance stays at ``U/2`` or above, so the balance is ``U`` minus
+a running sum. The level ends at the first request that takes the balance below
+``U/2``, or that is unforced, has ``2q > U`` and still fits; it is accepted, every
+other large request before it is INSUFFICIENT, and the next level starts below
+``U/2``. At balance 0 the rest is closed form. ``decimal(10,3)`` allows at most 34
+levels.
+
+Every item takes the same levels. Items whose requests fit a task (``rows_per_task``
+rows) are settled side by side in numpy after one shuffle by item; the requests of
+heavier items are range-partitioned by call order into chunks, and each level is a
+two-level scan (totals per chunk, offsets over an item's chunks, running sum inside
+a chunk) over the rows still open, so no task holds more than a chunk of any item.
+Both work on the same opening balances and the same rules, and tests hold both
+against a sequential fold, on unclean stock too.
+
+Opening balances: one row per item. Null or negative stock counts as 0; of several
+stock rows with one id the least counts.
+
+``ledger_balances``: opening and closing balance and counts per item, an aggregate
+over the outcomes (the balance never rises, so the closing balance is the minimum).
+
+Quantities are integer thousandths (``decimal(10,3)`` scale) inside, so all sums are
+exact.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +46,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import expressions as X
+from ..session import stored
 from .audit import audit_rows, payload
 from .commands import first_failure
 
@@ -50,9 +57,24 @@ DISCARD_REASONS = ("SCADUTO", "BUTTATO")
 @dataclass
 class LedgerResult:
     outcomes: DataFrame      # one row per request: command columns + ok, code, balance_before/after
-    facts: DataFrame         # consumption rows of the accepted requests
     table: DataFrame         # the inventory with the new balances
-    audit: DataFrame         # SCARICO_ALIMENTO rows of the accepted requests
+    _facts: DataFrame | None
+    _audit: DataFrame | None
+
+    @property
+    def facts(self) -> DataFrame:
+        """Consumption rows of the accepted requests."""
+        return self._numbered(self._facts)
+
+    @property
+    def audit(self) -> DataFrame:
+        """SCARICO_ALIMENTO rows of the accepted requests."""
+        return self._numbered(self._audit)
+
+    def _numbered(self, rows: DataFrame | None) -> DataFrame:
+        if rows is None:
+            raise ValueError("facts and audit rows take their ids from a unique call number: the commands need a seq column")
+        return rows
 
 
 def _k(col: Column) -> Column:
@@ -88,132 +110,158 @@ def check_requests(commands: DataFrame, order_cols: Sequence[str], discard: bool
     )
 
 
-_FOLD_OUT = [("_ok", pa.bool_(), T.BooleanType()), ("_code", pa.string(), T.StringType()),
-             ("_before_k", pa.int64(), T.LongType()), ("_after_k", pa.int64(), T.LongType())]
-
-
-def _fold(batches):
-    """Fold one partition, sorted by (item, opening row first, call order).
-
-    The balance is carried across rows and Arrow batches; it resets on a new item.
-    Opening rows (``_kind`` 0) set it and are dropped from the output; without
-    one, the first row's ``_start_k`` (if any) is the starting balance."""
-    cur = object()
-    bal = None
+# Requests of one item that a task settles on its own; the requests of an item with more
+# are cut into chunks of the call order.
+ROWS_PER_TASK = 1_000_000
+
+
+def opening_balances(inventory: DataFrame) -> DataFrame:
+    """(item_id, _open_k): one row per item. Null or negative stock counts as 0, of
+    several rows with one id the least counts."""
+    k = F.greatest(F.coalesce(_k(F.col("quantity")), F.lit(0)), F.lit(0))
+    return inventory.select("item_id", k.alias("_open_k")).groupBy("item_id").agg(F.min("_open_k").alias("_open_k"))
+
+
+def settle(segment: np.ndarray, opening: np.ndarray, q: np.ndarray, force: np.ndarray,
+           valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Balances before and after each request. Rows are in call order inside their
+    segment (one item); ``opening`` has one balance per segment."""
+    before, after = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+    balance = opening.astype(np.int64)
+    rows = np.flatnonzero(balance[segment] > 0)   # at balance 0 nothing changes any more
+    while len(rows):
+        seg, qr = segment[rows], q[rows]
+        u = balance[seg]
+        small = valid[rows] & (force[rows] | (2 * qr <= u))
+        taken = np.where(small, qr, 0)
+        total = np.cumsum(taken)
+        head = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+        start = np.repeat(total[head] - taken[head], np.diff(np.r_[head, len(rows)]))
+        left = u - (total - start)                # the balance after the row, inside the level
+        here = left + taken
+        end = np.flatnonzero((small & (2 * left < u)) | (valid[rows] & ~small & (qr <= here)))
+        last = np.full(len(balance), len(rows), np.int64)
+        np.minimum.at(last, seg[end], end)
+        at = np.arange(len(rows))
+        done = at <= last[seg]
+        before[rows[done]], after[rows[done]] = here[done], left[done]
+        stop = last[seg[head]]
+        stop = stop[stop < len(rows)]             # the rows that end a level
+        after[rows[stop]] = balance[seg[stop]] = np.maximum(0, here[stop] - qr[stop])
+        rows = rows[~done]
+        rows = rows[balance[segment[rows]] > 0]
+    return before, after
+
+
+def _settle_batches(batches):
+    """Settle one partition, sorted by (item, opening row first, call order). The last
+    item's balance is carried to the next Arrow batch; opening rows are dropped."""
+    item = object()
+    balance = None
     for batch in batches:
-        items = batch.column("item_id").to_pylist()
-        kinds = batch.column("_kind").to_pylist()
+        ids = batch.column("item_id").to_pylist()
+        is_open = batch.column("_kind").to_numpy() == 0
         opens = batch.column("_open_k").to_pylist()
-        qs = batch.column("_q_k").to_pylist()
-        forces = batch.column("_force").to_pylist()
-        pres = batch.column("_pre").to_pylist()
-        rok = batch.column("_reason_ok").to_pylist()
-        names = batch.schema.names
-        starts = batch.column("_start_k").to_pylist() if "_start_k" in names else [None] * len(items)
-        keep, ok, code, before, after = [], [], [], [], []
-        for i in range(len(items)):
-            if items[i] != cur or kinds[i] == 0:
-                cur = items[i]
-                bal = opens[i] if kinds[i] == 0 else starts[i]
-                if kinds[i] == 0:
-                    continue
-            keep.append(i)
-            if pres[i] is not None:
-                ok.append(False), code.append(pres[i]), before.append(bal), after.append(bal)
-            elif bal is None:
-                ok.append(False), code.append("NOT_FOUND"), before.append(None), after.append(None)
-            elif qs[i] > bal and not forces[i]:
-                ok.append(False), code.append("INSUFFICIENT"), before.append(bal), after.append(bal)
-            elif not rok[i]:
-                ok.append(False), code.append("INVALID_REASON"), before.append(bal), after.append(bal)
-            else:
-                new = bal - qs[i]
-                new = 0 if new < 0 else new
-                ok.append(True), code.append("EXHAUSTED" if new == 0 else "OK")
-                before.append(bal), after.append(new)
-                bal = new
-        out = batch.take(pa.array(keep, type=pa.int64())) if len(keep) != len(items) else batch
-        for (name, typ, _), values in zip(_FOLD_OUT, (ok, code, before, after)):
-            out = out.append_column(name, pa.array(values, type=typ))
-        yield out
-
-
-def _fold_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    spark_cols = checked.columns
-    req = checked.select(F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_open_k"), *spark_cols)
-    opening = inventory.select(F.lit(0).alias("_kind"), _k(F.col("quantity")).alias("_open_k"),
-                               F.col("item_id"))
-    both = req.unionByName(opening, allowMissingColumns=True)
-    ordered = (both.repartition("item_id")
-               .sortWithinPartitions("item_id", "_kind", *order_cols))
-    schema = T.StructType(list(ordered.schema.fields) + [T.StructField(n, s) for n, _, s in _FOLD_OUT])
-    folded = ordered.mapInArrow(_fold, schema)
-    return folded.drop("_kind", "_open_k")
-
-
-def _phased_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str],
-                     chunk: Column) -> DataFrame:
-    """The ledger fold, exact, with only the rows that need it folded in sequence.
-
-    With ``T_i`` the running sum of valid quantities (requests that can apply) and
-    ``F_i`` the running sum of valid *forced* quantities, per item in call order,
-    and ``B0`` the opening balance:
-
-    * phase 1, ``T_i <= B0``: every valid request so far fitted, so all were
-      accepted and the balance is ``B0 - T_i``;
-    * phase 3, ``F_{i-1} >= B0``: forced requests alone have used up the stock, so
-      the balance before request ``i`` is 0 and its outcome depends on the row only;
-    * phase 2, the rows in between: the sequential fold, starting from
-      ``B0 - T_{k-1}`` at the first such row ``k``.
-
-    ``T`` and ``F`` come from a two-level scan over ``(item, chunk)`` groups, so a
-    hot item is spread over its chunks; only phase-2 rows take the by-item shuffle
-    of the fold (typically a handful per item: until forced requests exhaust it).
-    """
+        n = len(ids)
+        new = np.fromiter((i == 0 or ids[i] != ids[i - 1] for i in range(n)), bool, n)
+        segment = np.cumsum(new) - 1
+        starts = np.flatnonzero(new).tolist()
+        known = [opens[i] if is_open[i] else balance if i == 0 and ids[0] == item else None for i in starts]
+        keep = np.flatnonzero(~is_open)
+        part = batch.take(pa.array(keep))
+        before, after = settle(
+            segment[keep], np.array([0 if b is None else b for b in known], np.int64),
+            part.column("_q_k").fill_null(0).to_numpy(), part.column("_force").to_numpy(zero_copy_only=False),
+            part.column("_pre").is_null().to_numpy(zero_copy_only=False) & part.column("_reason_ok").to_numpy(zero_copy_only=False))
+        missing = np.array([b is None for b in known], bool)[segment[keep]]
+        item, balance = ids[-1], known[-1]
+        if len(keep) and segment[keep[-1]] == segment[-1] and balance is not None:
+            balance = int(after[-1])
+        for name, values in (("_before_k", before), ("_after_k", after)):
+            part = part.append_column(name, pa.array(values, pa.int64(), mask=missing))
+        yield part
+
+
+_BALANCES = [T.StructField("_before_k", T.LongType()), T.StructField("_after_k", T.LongType())]
+
+
+def _by_item(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+    """The requests with their balances, settled item by item after one shuffle."""
+    req = checked.select(F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_open_k"), "*")
+    both = req.unionByName(opening.select(F.lit(0).alias("_kind"), "_open_k", "item_id"), allowMissingColumns=True)
+    ordered = both.repartition("item_id").sortWithinPartitions("item_id", "_kind", *order_cols)
+    return ordered.mapInArrow(_settle_batches, T.StructType([*ordered.schema.fields, *_BALANCES])).drop("_kind", "_open_k")
+
+
+def _by_level(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+    """The requests with their balances, one level of all items at a time over chunks
+    of the call order. Settled rows of a level go to the shared folder; the next level
+    reads only the rows that are still open."""
+    columns = checked.columns
+    placed = (checked.repartitionByRange("item_id", *order_cols).sortWithinPartitions("item_id", *order_cols)
+              .withColumn("_chunk", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
+    placed = stored(placed, "ledger-placed")
+    level = placed.join(opening.withColumnRenamed("_open_k", "_u"), "item_id", "left")
+    settled: list[DataFrame] = []
     valid = F.col("_pre").isNull() & F.col("_reason_ok")
-    rows = checked.withColumn("_chunk", chunk).select(
-        "*", F.when(valid, F.col("_q_k")).otherwise(F.lit(0)).alias("_v"),
-        F.when(valid & F.col("_force"), F.col("_q_k")).otherwise(F.lit(0)).alias("_fv"))
-    totals = rows.groupBy("item_id", "_chunk").agg(F.sum("_v").alias("_tv"), F.sum("_fv").alias("_tf"))
-    before = Window.partitionBy("item_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    opening = inventory.select("item_id", _k(F.col("quantity")).alias("_b0"))
-    offsets = (totals.select("item_id", "_chunk",
-                             F.coalesce(F.sum("_tv").over(before), F.lit(0)).alias("_t_off"),
-                             F.coalesce(F.sum("_tf").over(before), F.lit(0)).alias("_f_off"))
-               .join(opening, "item_id", "left"))
-    inner = Window.partitionBy("item_id", "_chunk").orderBy(*[F.col(c) for c in order_cols]) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    scanned = (rows.join(offsets, ["item_id", "_chunk"], "left")
-               .withColumn("_t", F.col("_t_off") + F.sum("_v").over(inner))
-               .withColumn("_f", F.col("_f_off") + F.sum("_fv").over(inner)))
-    b0, t, f, v, fv = F.col("_b0"), F.col("_t"), F.col("_f"), F.col("_v"), F.col("_fv")
-    phase = (F.when(b0.isNull() | (t <= b0), F.lit(1))
-             .when(f - fv >= b0, F.lit(3)).otherwise(F.lit(2)))
-    scanned = scanned.withColumn("_phase", phase)
-
-    # phases 1 and 3: closed form
-    bal_before = F.when(F.col("_phase") == 1, b0 - (t - v)).otherwise(F.lit(0))
-    accepted = valid & ((F.col("_q_k") <= bal_before) | F.col("_force"))
-    bal_after = F.when(accepted, F.greatest(F.lit(0), bal_before - F.col("_q_k"))).otherwise(bal_before)
+    u, q, here, left = F.col("_u"), F.col("_q_k"), F.col("_here"), F.col("_left")
+    small = valid & (F.col("_force") | (2 * q <= u))
+    inside = Window.partitionBy("item_id", "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    chunks_before = Window.partitionBy("item_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        # an unknown item (null) and an empty one need no running sum
+        rows = level.withColumn("_taken", F.when(small & (u > 0), q).otherwise(F.lit(0)))
+        totals = rows.groupBy("item_id", "_chunk").agg(F.sum("_taken").alias("_t"))
+        offsets = totals.select("item_id", "_chunk", F.coalesce(F.sum("_t").over(chunks_before), F.lit(0)).alias("_offset"))
+        scanned = (rows.join(offsets, ["item_id", "_chunk"])
+                   .withColumn("_left", u - F.col("_offset") - F.sum("_taken").over(inside))
+                   .withColumn("_here", F.col("_left") + F.col("_taken")))
+        ends = (u > 0) & ((small & (2 * left < u)) | (valid & ~small & (q <= here)))
+        first = (scanned.filter(ends).groupBy("item_id")
+                 .agg(F.min(F.struct("_pos", F.greatest(F.lit(0), here - q).alias("after"))).alias("_end")))
+        step = stored(scanned.join(first, "item_id", "left").drop("_taken", "_offset"), "ledger-level")
+        stop = F.col("_end._pos")
+        now = step.filter(stop.isNull() | (F.col("_pos") <= stop))
+        settled.append(now.select(*columns, here.alias("_before_k"),
+                                  F.when(F.col("_pos") == stop, F.col("_end.after")).otherwise(left).alias("_after_k")))
+        level = step.filter(F.col("_pos") > stop).withColumn("_u", F.col("_end.after")).drop("_here", "_left", "_end")
+        if level.isEmpty():
+            break
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def decided(balances: DataFrame) -> DataFrame:
+    """``_ok`` and ``_code`` from the balance before each request."""
+    q, before = F.col("_q_k"), F.col("_before_k")
     code = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-            .when(b0.isNull(), F.lit("NOT_FOUND"))
-            .when((F.col("_q_k") > bal_before) & ~F.col("_force"), F.lit("INSUFFICIENT"))
+            .when(before.isNull(), F.lit("NOT_FOUND"))
+            .when((q > before) & ~F.col("_force"), F.lit("INSUFFICIENT"))
             .when(~F.col("_reason_ok"), F.lit("INVALID_REASON"))
-            .when(bal_after == 0, F.lit("EXHAUSTED")).otherwise(F.lit("OK")))
-    found = b0.isNotNull()
-    base_cols = [c for c in checked.columns]
-    closed = scanned.filter(F.col("_phase") != 2).select(
-        *base_cols, (found & accepted & F.col("_pre").isNull()).alias("_ok"), code.alias("_code"),
-        F.when(found, bal_before).alias("_before_k"), F.when(found, bal_after).alias("_after_k"))
-
-    # phase 2: the fold, from B0 - T_{k-1} at the item's first phase-2 row
-    middle = (scanned.filter(F.col("_phase") == 2)
-              .select(F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_open_k"),
-                      (b0 - (t - v)).alias("_start_k"), *base_cols))
-    ordered = middle.repartition("item_id").sortWithinPartitions("item_id", *order_cols)
-    schema = T.StructType(list(ordered.schema.fields) + [T.StructField(n, st) for n, _, st in _FOLD_OUT])
-    folded = ordered.mapInArrow(_fold, schema).select(*base_cols, "_ok", "_code", "_before_k", "_after_k")
-    return closed.unionByName(folded)
+            .when(F.col("_after_k") == 0, F.lit("EXHAUSTED")).otherwise(F.lit("OK")))
+    return balances.withColumn("_code", code).withColumn("_ok", F.col("_code").isin("EXHAUSTED", "OK"))
+
+
+def plan_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str],
+                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Every request with ``_before_k``, ``_after_k``, ``_ok`` and ``_code``. Which items
+    exceed a task is counted over all requests (one partial row per item and task)."""
+    opening = opening_balances(inventory)
+    # calls without an item have no balance; however many, they need no shuffle
+    nameless = checked.filter(F.col("item_id").isNull()).select(
+        "*", *[F.lit(None).cast("bigint").alias(f.name) for f in _BALANCES])
+    checked = checked.filter(F.col("item_id").isNotNull())
+    heavy = checked.groupBy("item_id").count().filter(F.col("count") > rows_per_task).select("item_id")
+    heavy = stored(heavy, "ledger-heavy")
+    if heavy.isEmpty():
+        return decided(_by_item(opening, checked, order_cols).unionByName(nameless))
+    heavy_rows = checked.join(heavy, "item_id", "left_semi")
+    rest = checked.join(heavy, "item_id", "left_anti")
+    by_level = _by_level(opening.join(heavy, "item_id", "left_semi"), heavy_rows, order_cols)
+    by_item = _by_item(opening.join(heavy, "item_id", "left_anti"), rest, order_cols)
+    return decided(by_item.unionByName(by_level).unionByName(nameless))
 
 
 def _finish(inventory: DataFrame, folded: DataFrame, commands: DataFrame, order_cols: Sequence[str],
@@ -224,144 +272,74 @@ def _finish(inventory: DataFrame, folded: DataFrame, commands: DataFrame, order_
         F.col("_ok").alias("ok"), F.col("_code").alias("code"),
         _from_k("_before_k").alias("balance_before"), _from_k("_after_k").alias("balance_after"))
     accepted = outcomes.filter(F.col("ok"))
-    has_seq = "seq" in cmd_cols
     ts = X.ts_lit(now)
     when_col = F.coalesce(F.col("consumed_at"), ts) if "consumed_at" in cmd_cols else ts
     note = F.col("note") if "note" in cmd_cols else F.lit(None).cast("string")
     next_id = (F.coalesce(consumption.select(F.max("consumption_id")).scalar(), F.lit(0))
                if consumption is not None else F.lit(0))
+    if "seq" not in cmd_cols:
+        return LedgerResult(outcomes, _new_stock(inventory, accepted, order_cols, ts), None, None)
     facts = accepted.select(
-        ((next_id + F.col("seq")) if has_seq else F.lit(None).cast("bigint")).alias("consumption_id"),
+        (next_id + F.col("seq")).alias("consumption_id"),
         "item_id", F.col("qty").cast(S.QTY).alias("qty"), when_col.alias("consumed_at"),
         F.col("effective_reason").alias("reason"), note.alias("note"))
+    src = accepted if "actor" in cmd_cols else accepted.withColumn("actor", F.lit(None).cast("string"))
+    audit = audit_rows(src, S.OP_CONSUME_ITEM, S.TABLE_ITEMS, F.col("item_id"), payload(
+        quantita_prima=F.col("balance_before").cast("double"), quantita_consumata=F.col("qty").cast("double"),
+        quantita_dopo=F.col("balance_after").cast("double"), motivo=F.col("effective_reason"),
+        forzato=F.col("forced")), now)
+    return LedgerResult(outcomes, _new_stock(inventory, accepted, order_cols, ts), facts, audit)
+
+
+def _new_stock(inventory: DataFrame, accepted: DataFrame, order_cols: Sequence[str], ts: Column) -> DataFrame:
+    """The inventory with the closing balances of the accepted requests."""
     order = F.struct(*[F.col(c) for c in order_cols])
-    actor = F.col("actor") if "actor" in cmd_cols else F.lit(None).cast("string")
+    actor = F.col("actor") if "actor" in accepted.columns else F.lit(None).cast("string")
     closing = (accepted.select("item_id", "balance_after", order.alias("_o"), actor.alias("_actor"))
                .groupBy("item_id")
                .agg(F.min("balance_after").alias("_closing"), F.max_by("_actor", "_o").alias("_last_actor")))
-    table = inventory.join(closing, "item_id", "left").select(*[
+    return inventory.join(closing, "item_id", "left").select(*[
         F.coalesce(F.col("_closing"), F.col("quantity")).cast(S.QTY).alias("quantity") if c == "quantity" else
         F.when(F.col("_closing").isNotNull(), ts).otherwise(F.col("updated_at")).alias("updated_at")
         if c == "updated_at" else
         F.when(F.col("_closing").isNotNull(), F.coalesce(F.col("_last_actor"), F.lit("unknown")))
         .otherwise(F.col("updated_by")).alias("updated_by") if c == "updated_by" else F.col(c)
         for c in inventory.columns])
-    src = accepted if has_seq else accepted.withColumn("seq", F.lit(None).cast("bigint"))
-    if "actor" not in cmd_cols:
-        src = src.withColumn("actor", F.lit(None).cast("string"))
-    audit = audit_rows(src, S.OP_CONSUME_ITEM, S.TABLE_ITEMS, F.col("item_id"), payload(
-        quantita_prima=F.col("balance_before").cast("double"), quantita_consumata=F.col("qty").cast("double"),
-        quantita_dopo=F.col("balance_after").cast("double"), motivo=F.col("effective_reason"),
-        forzato=F.col("forced")), now)
-    return LedgerResult(outcomes, facts, table, audit)
-
-
-# Requests of one item above which the fold of that item would be a straggler
-# (about a second of single-task folding); above it the phased plan is used.
-SKEW_ROWS = 1_000_000
-
-
-def plan_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str], chunk: Column | None,
-          skew_rows: int) -> DataFrame:
-    """Pick the ledger plan: the phased plan when a chunk is given and some item has
-    more than ``skew_rows`` requests (a sampled probe decides, ``_has_hot_item``;
-    ``skew_rows <= 0`` forces it), else one shuffle by item and the fold."""
-    if chunk is not None and (skew_rows <= 0 or _has_hot_item(checked, skew_rows)):
-        return _phased_outcomes(inventory, checked, order_cols, chunk)
-    return _fold_outcomes(inventory, checked, order_cols)
-
-
-# Sampled requests the skew probe expects from an item at the threshold.
-PROBE_SAMPLE = 1000
-
-
-def _has_hot_item(checked: DataFrame, skew_rows: int) -> bool:
-    """Whether some item may hold more than ``skew_rows`` requests.
-
-    The answer only chooses between two exact plans, so it is taken from a
-    Bernoulli sample of the item column (fixed seed, about ``PROBE_SAMPLE`` rows
-    for an item at the threshold): with many items spread over the requests an
-    exact count would shuffle one partial row per request, the sample shuffles a
-    thousandth of them. Near the threshold it leans to the skew-safe plan (80%).
-    Thresholds up to ``PROBE_SAMPLE`` are counted exactly."""
-    frac = min(1.0, PROBE_SAMPLE / skew_rows)
-    ids = checked.select("item_id")
-    if frac < 1.0:
-        ids = ids.sample(fraction=frac, seed=17)
-    top = ids.groupBy("item_id").count().agg(F.max("count")).first()[0]
-    return top is not None and top > (skew_rows if frac >= 1.0 else 0.8 * frac * skew_rows)
 
 
 def consume(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-            consumption: DataFrame | None = None, chunk: Column | None = None,
-            skew_rows: int = SKEW_ROWS) -> LedgerResult:
+            consumption: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK, store: bool = False) -> LedgerResult:
     """Apply consume requests (``item_id, qty`` and optional ``reason`` (default
     CONSUMATO), ``note``, ``force``, ``actor``, ``consumed_at``) in ``order_cols``
     order per item. Codes: OK, EXHAUSTED (accepted, balance now 0), INSUFFICIENT,
     NOT_FOUND, MISSING_FIELD, NON_POSITIVE_QUANTITY, INVALID_REASON. New fact ids
-    are ``max(consumption_id) + seq`` when the fact table and ``seq`` are given.
-
-    With ``chunk`` (an expression non-decreasing in the call order) and an item
-    holding more than ``skew_rows`` requests, the skew-safe three-phase plan is
-    used (``_phased_outcomes``); otherwise one shuffle by item and the fold."""
+    are ``max(consumption_id) + seq``; facts and audit rows need a unique ``seq``. With
+    ``store=True`` the decisions go to the shared folder once and every frame of the
+    result reads them there."""
     checked = check_requests(commands, order_cols, discard=False)
-    folded = plan_outcomes(inventory, checked, order_cols, chunk, skew_rows)
+    folded = plan_outcomes(inventory, checked, order_cols, rows_per_task)
+    folded = stored(folded, "ledger") if store else folded
     return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
 def discard(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-            consumption: DataFrame | None = None, chunk: Column | None = None,
-            skew_rows: int = SKEW_ROWS) -> LedgerResult:
+            consumption: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK, store: bool = False) -> LedgerResult:
     """Discard stock: a consume that is never forced and whose reason must be
     SCADUTO or BUTTATO (the declared behaviour, with the reason kept)."""
     checked = check_requests(commands, order_cols, discard=True)
-    folded = plan_outcomes(inventory, checked, order_cols, chunk, skew_rows)
+    folded = plan_outcomes(inventory, checked, order_cols, rows_per_task)
+    folded = stored(folded, "ledger") if store else folded
     return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
 def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-                   chunk: Column | None = None, skew_rows: int = SKEW_ROWS) -> DataFrame:
-    """Outcomes when every request is forced: ``balance_after = max(0, b0 - S_i)``.
-
-    ``chunk`` is an expression non-decreasing in the call order (for example the
-    day of the call). With it and an item holding more than ``skew_rows``
-    requests (the sampled probe of ``consume``; ``skew_rows <= 0`` forces it), the
-    running sum is a two-level scan: totals per (item, chunk), offsets by a window
-    over each item's chunk totals, then a window inside each (item, chunk); a hot
-    item is spread over its chunks. Otherwise one window per item."""
-    checked = check_requests(commands.withColumn("force", F.lit(True)) if "force" in commands.columns
-                       else commands, order_cols, discard=False).withColumn("_force", F.lit(True))
-    if chunk is not None and skew_rows > 0 and not _has_hot_item(checked, skew_rows):
-        chunk = None
-    inv = inventory.select(F.col("item_id").alias("_iid"), _k(F.col("quantity")).alias("_open_k"))
-    df = checked.join(inv, checked["item_id"] == inv["_iid"], "left")
-    valid = F.col("_pre").isNull() & F.col("_iid").isNotNull() & F.col("_reason_ok")
-    df = df.withColumn("_v", F.when(valid, F.col("_q_k")).otherwise(F.lit(0)))
-    ordered = [F.col(c) for c in order_cols]
-    if chunk is None:
-        w = Window.partitionBy("item_id").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("_s", F.sum("_v").over(w))
-    else:
-        df = df.withColumn("_chunk", chunk)
-        totals = df.groupBy("item_id", "_chunk").agg(F.sum("_v").alias("_ct"))
-        wo = Window.partitionBy("item_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select("item_id", "_chunk", F.coalesce(F.sum("_ct").over(wo), F.lit(0)).alias("_off"))
-        df = df.join(offsets, ["item_id", "_chunk"], "left")
-        wi = Window.partitionBy("item_id", "_chunk").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("_s", F.col("_off") + F.sum("_v").over(wi))
-    # greatest() skips nulls, so a missing item is kept null explicitly
-    known = F.col("_open_k").isNotNull()
-    after_k = F.when(known, F.greatest(F.lit(0), F.col("_open_k") - F.col("_s")))
-    before_k = F.when(known, F.greatest(F.lit(0), F.col("_open_k") - (F.col("_s") - F.col("_v"))))
-    code = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-            .when(F.col("_iid").isNull(), F.lit("NOT_FOUND"))
-            .when(~F.col("_reason_ok"), F.lit("INVALID_REASON"))
-            .when(after_k == 0, F.lit("EXHAUSTED")).otherwise(F.lit("OK")))
-    return df.select(
-        *commands.columns, F.col("_reason").alias("effective_reason"), F.lit(True).alias("forced"),
-        valid.alias("ok"), code.alias("code"),
-        (before_k.cast("decimal(20,0)") / 1000).cast(S.QTY).alias("balance_before"),
-        (after_k.cast("decimal(20,0)") / 1000).cast(S.QTY).alias("balance_after"))
+                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Outcomes when every request is forced: ``balance_after = max(0, b0 - S_i)`` with
+    ``S_i`` the running sum; the levels of an all-forced ledger."""
+    return consume(inventory, commands.withColumn("force", F.lit(True)), now, order_cols,
+                   rows_per_task=rows_per_task).outcomes.select(
+        *[F.col(c) if c != "force" else F.lit(True).alias("force") for c in commands.columns],
+        "effective_reason", "forced", "ok", "code", "balance_before", "balance_after")
 
 
 def ledger_balances(outcomes: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@ checkpoint folder of the cluster."""
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "larder",
@@ -44,31 +45,35 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # split a skewed join also where an aggregate or a second join on the same key follows
+    # (at the price of one more shuffle there)
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a fresh folder under the
-    system temp directory created and recorded in the session, so later calls
-    agree.
-    """
+    Only a session in one process (``local[...]``: tests, the bench) may lack it; it
+    gets a fresh folder under the system temp directory, recorded in the session. On a
+    cluster a missing folder is an error: executors do not share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="larder-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-ckpt-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:") or "://" not in base:
-        local = base[5:] if base.startswith("file:") else base
-        os.makedirs(local, exist_ok=True)
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
-    import uuid
+    """A new, unique folder name below the shared checkpoint folder; writers create it."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage, so a lost
+    executor costs a read and not the work before it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

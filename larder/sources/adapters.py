@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import stored
 
 # Fixed parameters of the mapping (test-data conventions, not business rules).
 STOCK_AS_OF = dt.date(2024, 1, 15)
@@ -21,20 +22,9 @@ OPENED_BASE = dt.date(2023, 12, 30)
 SYSTEM_USER = "system"
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver table ``name`` as a DataFrame: one per session and path, like a
-    catalog table reference (listing and footer reads happen once; the data is
-    read again by every query that runs)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+    """The driver table ``name``, listed anew for every query that is built."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _case(col: Column, mapping: dict, default) -> Column:
@@ -190,12 +180,15 @@ def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def lineitem_ledger_chunk() -> Column:
-    """A chunk of the lineitem ledger order (``LINEITEM_LEDGER_ORDER``), non-decreasing
-    in it: the call time and a block of 2^30 order keys. Calls at one time are
-    ordered by order key, so the block never goes down inside a call time (a block
-    across call times would: a later day can carry a smaller order key). At 100 TB
-    (order keys up to ~6e11, ~2,500 call days) a hot item holding a third of all
-    rows is split into ~1.4 million chunks of ~140,000 rows; at the test scales a
-    chunk is a call day of one item."""
-    return F.struct(F.col("consumed_at"), F.floor(F.col("l_orderkey") / F.lit(1 << 30)).alias("b"))
+def numbered(commands: DataFrame, order_cols, start: int = 1) -> DataFrame:
+    """``commands`` with ``seq``, the rank of each call in the call order from ``start``
+    on. Two levels: ranges of the order are sorted in parallel and counted, and the
+    counts before each range (one row per range) are added; nothing is sorted in one
+    task."""
+    placed = stored(commands.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                    .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # one row per range
+    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_part").withColumn(
+        "seq", F.col("_before") + F.col("_at") - F.col("_first") + start).drop("_part", "_at", "_first", "_before")

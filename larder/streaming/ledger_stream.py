@@ -36,8 +36,19 @@ def _latest(base: DataFrame, deltas: DataFrame) -> DataFrame:
     return rows.groupBy("item_id").agg(F.max_by("quantity", "batch_id").alias("quantity"))
 
 
+_DELTA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("quantity", S.QTY),
+                       T.StructField("batch_id", T.IntegerType())])
+
+
+def _deltas(spark: SparkSession, out_dir: str, first: int, stop: int) -> DataFrame:
+    """The deltas of batches ``first`` to ``stop - 1``, by their paths: batch ids are
+    consecutive, so at most ``compact_every`` folders are opened and none is listed."""
+    paths = [f"{out_dir}/delta/batch_id={k}" for k in range(max(0, first), stop)]
+    return spark.read.schema(_DELTA).option("basePath", f"{out_dir}/delta").parquet(*paths)
+
+
 def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: str,
-                 order_cols: Sequence[str] = ("seq",), chunk=None, skew_rows: int = L.SKEW_ROWS,
+                 order_cols: Sequence[str] = ("seq",), rows_per_task: int = L.ROWS_PER_TASK,
                  compact_every: int = COMPACT_EVERY):
     """The ``foreachBatch`` function of the ledger stream.
 
@@ -50,8 +61,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
     1. opening balances of *its own items only*: the last snapshot before ``N``
        (the inventory for batch 0) and the deltas after it, each semi-joined to
        the batch's distinct items, newest per item;
-    2. the fold of its calls (the batch ledger's plan: one shuffle by item, or the
-       phased plan when a chunk is given and an item is hot);
+    2. its calls settled by the batch ledger;
     3. writes ``outcomes/batch_id=N``, ``delta/batch_id=N`` and, when due, the
        snapshot, all by overwrite.
 
@@ -72,12 +82,11 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
         base = inv_bal if snap_id < 0 else sess.read.parquet(f"{out_dir}/snapshot/batch_id={snap_id}")
         deltas = None
         if batch_id - 1 > snap_id:
-            deltas = (sess.read.parquet(f"{out_dir}/delta")
-                      .filter((F.col("batch_id") > snap_id) & (F.col("batch_id") < batch_id)))
+            deltas = _deltas(sess, out_dir, snap_id + 1, batch_id)
         opening = base.join(items, "item_id", "left_semi")
         if deltas is not None:
             opening = _latest(opening, deltas.join(items, "item_id", "left_semi"))
-        folded = L.plan_outcomes(opening, checked, order_cols, chunk, skew_rows)
+        folded = L.plan_outcomes(opening, checked, order_cols, rows_per_task)
         outcomes = folded.select(
             *command_schema.fieldNames(), F.col("_ok").alias("ok"), F.col("_code").alias("code"),
             F.col("_before_k").alias("balance_before_k"), F.col("_after_k").alias("balance_after_k"))
@@ -87,9 +96,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
                  .agg((F.min("balance_after_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("quantity")))
         delta.write.mode("overwrite").parquet(f"{out_dir}/delta/batch_id={batch_id}")
         if batch_id % compact_every == 0:
-            since = (sess.read.parquet(f"{out_dir}/delta")
-                     .filter((F.col("batch_id") > snap_id) & (F.col("batch_id") <= batch_id)))
-            _latest(base, since).write.mode("overwrite").parquet(f"{out_dir}/snapshot/batch_id={batch_id}")
+            _latest(base, _deltas(sess, out_dir, snap_id + 1, batch_id + 1)).write.mode("overwrite").parquet(f"{out_dir}/snapshot/batch_id={batch_id}")
 
     return run
 
@@ -104,7 +111,7 @@ def stream_balances(spark: SparkSession, inventory: DataFrame, out_dir: str) ->
 
 def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, command_schema: T.StructType,
                   out_dir: str, checkpoint: str, order_cols: Sequence[str] = ("seq",),
-                  max_files_per_trigger: int | None = None, chunk=None, skew_rows: int = L.SKEW_ROWS,
+                  max_files_per_trigger: int | None = None, rows_per_task: int = L.ROWS_PER_TASK,
                   compact_every: int = COMPACT_EVERY, batch_fn=None):
     """Start the ledger stream over parquet command files in ``source_dir``; returns
     the ``StreamingQuery`` (``availableNow``: it stops when caught up).
@@ -117,7 +124,7 @@ def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, co
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     commands = reader.parquet(source_dir)
-    run = batch_fn or ledger_batch(inventory, command_schema, out_dir, order_cols, chunk, skew_rows, compact_every)
+    run = batch_fn or ledger_batch(inventory, command_schema, out_dir, order_cols, rows_per_task, compact_every)
     return (commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
@@ -133,14 +140,23 @@ def read_outcomes(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def audit_count_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str,
                        checkpoint: str):
-    """Operations per type over an append-only stream of audit rows, complete
-    mode; each micro-batch overwrites ``out_dir`` with the full counts (idempotent,
-    so a replayed batch writes the same table)."""
+    """Operations per type over an append-only stream of audit rows, complete mode. Each
+    micro-batch writes the full counts to a folder of its own (``batch_id=N``; a replay
+    rewrites the same one), so a reader of the newest finished folder never sees a table
+    that is being replaced: ``read_audit_counts``."""
     counts = (spark.readStream.schema(schema).parquet(source_dir)
               .groupBy("op_type").agg(F.count(F.lit(1)).alias("operations")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     return (counts.writeStream.outputMode("complete").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_audit_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The counts of the newest micro-batch; earlier folders are pruned by the partition
+    filter before any file is read."""
+    rows = spark.read.parquet(out_dir)
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    return rows.filter(F.col("batch_id") == newest).drop("batch_id")

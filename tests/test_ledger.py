@@ -2,8 +2,12 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder import schemas as S
 from larder.operators import ledger as L
@@ -61,20 +65,123 @@ def test_fold_matches_brute_force(spark, reqs, opening):
     assert all(a >= 0 for _, _, a in got)
 
 
-def test_forced_form_equals_fold(spark):
-    rnd = random.Random(7)
+def fold(stock, calls):
+    """The ledger as a plain loop over calls (item, thousandths, force, reason valid) in
+    order: (code, before, after) of each."""
+    opening = {}
+    for item, k in stock:
+        k = max(0, k or 0)
+        opening[item] = min(k, opening.get(item, k))
+    out = []
+    for item, q, force, valid in calls:
+        b = opening.get(item)
+        after = b
+        if not item or not q:
+            code = "MISSING_FIELD"
+        elif q < 0:
+            code = "NON_POSITIVE_QUANTITY"
+        elif b is None:
+            code = "NOT_FOUND"
+        elif q > b and not force:
+            code = "INSUFFICIENT"
+        elif not valid:
+            code = "INVALID_REASON"
+        else:
+            after = opening[item] = max(0, b - q)
+            code = "EXHAUSTED" if after == 0 else "OK"
+        out.append((code, b, after))
+    return out
+
+
+def unclean_stock(rnd, items):
+    """Stock rows (item, thousandths) with null, negative and duplicate entries."""
+    rows = [(i, rnd.choice([None, -5000, 0, rnd.randint(1, 90_000), rnd.randint(1, 9_000_000)])) for i in items]
+    return rows + [(i, rnd.randint(0, 50_000)) for i in items[::3]]
+
+
+def stock_frame(spark, rows):
     created = dt.datetime(2024, 1, 1)
-    inv = spark.createDataFrame([(i, f"I{i}", Decimal(rnd.randint(0, 50)), "KG", None, None, "FRUTTA", "FRIGO",
-                                  None, None, None, created, created, "system") for i in range(1, 21)], S.INVENTORY)
-    rows = [(s, "u", rnd.randint(1, 22), Decimal(rnd.randint(1, 9)), None, None, True) for s in range(1, 401)]
-    cmds = spark.createDataFrame(rows, S.CONSUME_CMD)
-    fold = {r.seq: (r.ok, r.code, r.balance_before, r.balance_after)
-            for r in L.consume(inv, cmds, NOW).outcomes.collect()}
-    from pyspark.sql import functions as F
-    for chunk in (None, F.floor(F.col("seq") / 37)):
-        forced = {r.seq: (r.ok, r.code, r.balance_before, r.balance_after)
-                  for r in L.consume_forced(inv, cmds, NOW, chunk=chunk, skew_rows=0).collect()}
-        assert forced == fold
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in S.INVENTORY.fields])
+    return spark.createDataFrame([(i, f"I{i}", None if k is None else Decimal(k) / 1000, "KG", None, None, "FRUTTA", "FRIGO", None,
+                                   None, None, created, created, "system") for i, k in rows], schema)
+
+
+def outcome_tuples(df):
+    k = lambda x: None if x is None else int(x * 1000)
+    return {r.seq: (r.code, k(r.balance_before), k(r.balance_after)) for r in df.collect()}
+
+
+def random_calls(rnd, n, items, hot=None):
+    calls = []
+    for _ in range(n):
+        item = hot if hot and rnd.random() < 0.4 else rnd.choice(items + [0, 999])
+        calls.append((item, rnd.choice([0, -1000] + [rnd.randint(1, 20_000)] * 20), rnd.random() < 0.1, rnd.random() < 0.9))
+    return calls
+
+
+def call_frame(spark, calls):
+    return spark.createDataFrame([(s, "u", i, Decimal(q) / 1000, None if ok else "PERSO", None, f)
+                                  for s, (i, q, f, ok) in enumerate(calls, 1)], S.CONSUME_CMD)
+
+
+@pytest.mark.parametrize("rows_per_task", [L.ROWS_PER_TASK, 100, 0])
+def test_levels_equal_the_fold_on_unclean_stock(spark, rows_per_task):
+    """The same answer whether an item is settled in one task or by scans over chunks."""
+    rnd = random.Random(17)
+    items = list(range(1, 12))
+    stock, calls = unclean_stock(rnd, items), random_calls(rnd, 1500, items, hot=4)
+    inv, cmds = stock_frame(spark, stock), call_frame(spark, calls)
+    want = dict(enumerate(fold(stock, calls), 1))
+    assert outcome_tuples(L.consume(inv, cmds, NOW, rows_per_task=rows_per_task).outcomes) == want
+    forced = [(i, q, True, ok) for i, q, _, ok in calls]
+    assert outcome_tuples(L.consume_forced(inv, cmds, NOW, rows_per_task=rows_per_task)) == dict(enumerate(fold(stock, forced), 1))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 200), min_size=1, max_size=4),
+       st.lists(st.tuples(st.integers(0, 3), st.integers(1, 60), st.booleans(), st.booleans()), max_size=60))
+def test_settle_equals_the_fold(opening, calls):
+    calls = sorted((c for c in calls if c[0] < len(opening)), key=lambda c: c[0])
+    seg, q, force, valid = (np.array([c[k] for c in calls], t) for k, t in enumerate((np.int64, np.int64, bool, bool)))
+    before, after = L.settle(seg, np.array(opening, np.int64), q, force, valid)
+    want = fold(list(enumerate(opening, 1)), [(i + 1, x, f, v) for i, x, f, v in calls])
+    assert list(zip(before.tolist(), after.tolist())) == [(b, a) for _, b, a in want]
+
+
+def test_hot_item_is_spread_over_tasks(spark):
+    """One item holds a third of all rows, none forced: the chunks that its levels scan
+    hold no more than their share, and the answer is the fold's."""
+    rnd = random.Random(3)
+    calls = [(1 if s % 3 == 0 else 2 + s, rnd.randint(1, 900), False, True) for s in range(12_000)]
+    stock = [(1, 1_000_000)] + [(2 + s, 500) for s in range(0, 12_000, 2)]
+    inv, cmds = stock_frame(spark, stock), call_frame(spark, calls)
+    checked = L.check_requests(cmds, ("seq",), discard=False).filter("item_id = 1")
+    placed = checked.repartitionByRange("item_id", "seq").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r[1] for r in placed) <= 2 * 4000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = outcome_tuples(L.consume(inv, cmds, NOW, rows_per_task=1000).outcomes)
+    assert got == dict(enumerate(fold(stock, calls), 1))
+
+
+def test_carry_over_arrow_batches(spark):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(9)
+        stock, calls = unclean_stock(rnd, [1, 2, 3]), random_calls(rnd, 300, [1, 2, 3])
+        got = outcome_tuples(L.consume(stock_frame(spark, stock), call_frame(spark, calls), NOW).outcomes)
+        assert got == dict(enumerate(fold(stock, calls), 1))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_facts_and_audit_need_call_numbers(spark):
+    cmds = call_frame(spark, [(1, 4000, False, True), (1, 7000, False, True), (None, 1000, False, True)])
+    without = L.consume(inv_one(spark), cmds, NOW, order_cols=("qty",)).outcomes.drop("seq")
+    assert without.count() == 3
+    res = L.consume(inv_one(spark), cmds.drop("seq"), NOW, order_cols=("qty",))
+    for frame in ("facts", "audit"):
+        with pytest.raises(ValueError):
+            getattr(res, frame)
 
 
 def test_properties_on_random_batch(spark):
@@ -103,73 +210,12 @@ def test_discard_refuses_other_reasons(spark):
     assert [r.effective_reason for r in out] == ["CONSUMATO", "BUTTATO"]
 
 
-def test_phased_plan_equals_fold(spark):
-    from pyspark.sql import functions as F
-    rnd = random.Random(5)
-    created = dt.datetime(2024, 1, 1)
-    inv = spark.createDataFrame([(i, f"I{i}", Decimal(rnd.randint(0, 80)), "KG", None, None, "FRUTTA", "FRIGO",
-                                  None, None, None, created, created, "system") for i in range(1, 9)], S.INVENTORY)
-    # item 1 is hot: half of the calls
-    rows = [(s, "u", 1 if rnd.random() < 0.5 else rnd.randint(0, 10), Decimal(rnd.randint(-1, 12)),
-             rnd.choice([None, None, "SCADUTO", "PERSO"]), None, rnd.random() < 0.15) for s in range(1, 1501)]
-    cmds = spark.createDataFrame(rows, S.CONSUME_CMD)
-    want = {r.seq: tuple(r[c] for c in ("ok", "code", "balance_before", "balance_after"))
-            for r in L.consume(inv, cmds, NOW).outcomes.collect()}
-    for width in (1, 7, 100, 5000):
-        res = L.consume(inv, cmds, NOW, chunk=F.floor(F.col("seq") / width), skew_rows=0)
-        got = {r.seq: tuple(r[c] for c in ("ok", "code", "balance_before", "balance_after"))
-               for r in res.outcomes.collect()}
-        assert got == want, width
-
-
-def test_plan_choice_is_adaptive(spark):
-    from pyspark.sql import functions as F
-    cmds = spark.createDataFrame([(s, "u", 1, Decimal(1), None, None, False) for s in range(1, 31)], S.CONSUME_CMD)
-    checked = L.check_requests(cmds, ("seq",), discard=False)
-    inv = inv_one(spark)
-    chunk = F.floor(F.col("seq") / 8)
-    assert "MapInArrow" in L.plan_outcomes(inv, checked, ("seq",), chunk, 100)._jdf.queryExecution().toString()
-    phased = L.plan_outcomes(inv, checked, ("seq",), chunk, 10)._jdf.queryExecution().toString()
-    assert "Window" in phased
-
-
-def test_sampled_probe_finds_a_hot_item(spark):
-    rows = [(s, "u", 1 if s % 3 else 2 + s, Decimal(1), None, None, False) for s in range(1, 60001)]
-    checked = L.check_requests(spark.createDataFrame(rows, S.CONSUME_CMD), ("seq",), discard=False)
-    # item 1 holds 40,000 requests, every other item one
-    assert L._has_hot_item(checked, 20_000)       # sampled (1 in 20)
-    assert not L._has_hot_item(checked, 60_000)   # sampled (1 in 60)
-    assert L._has_hot_item(checked, 1_000) and not L._has_hot_item(checked, 40_000 * 2)
-
-
-def test_lineitem_chunk_follows_the_ledger_order(spark):
-    """The chunk must be non-decreasing in the ledger order, also when order keys
-    exceed any block size and are unrelated to the call day (as at large scale)."""
-    from pyspark.sql import functions as F
+def test_numbered_calls_are_ranked(spark):
     from larder.sources import adapters as A
-    rnd = random.Random(3)
-    created = dt.datetime(2024, 1, 1)
-    inv = spark.createDataFrame([(i, f"I{i}", Decimal(rnd.randint(0, 60)), "KG", None, None, "FRUTTA", "FRIGO",
-                                  None, None, None, created, created, "system") for i in range(1, 6)], S.INVENTORY)
-    rows = [(rnd.randint(1, 50_000_000), rnd.randint(1, 5), rnd.randint(1, 100), ln, Decimal(rnd.randint(1, 9)),
-             Decimal("1.00"), rnd.choice("ANR"), dt.date(1995, 1, 1) + dt.timedelta(days=rnd.randint(0, 1500)))
-            for ln in range(1, 2001)]
-    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
-                                     "l_quantity decimal(15,2), l_extendedprice decimal(15,2), "
-                                     "l_returnflag string, l_shipdate date")
-    cmds = A.consume_commands_from_lineitem(li)
-    order = A.LINEITEM_LEDGER_ORDER
-    key = ("l_orderkey", "l_linenumber")
-    cols = ("ok", "code", "balance_before", "balance_after")
-    want = {tuple(r[k] for k in key): tuple(r[c] for c in cols)
-            for r in L.consume(inv, cmds, NOW, order).outcomes.collect()}
-    phased = L.consume(inv, cmds, NOW, order, chunk=A.lineitem_ledger_chunk(), skew_rows=0).outcomes
-    assert {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in phased.collect()} == want
-    forced_cmds = cmds.withColumn("force", F.lit(True))
-    want_f = {tuple(r[k] for k in key): tuple(r[c] for c in cols)
-              for r in L.consume(inv, forced_cmds, NOW, order).outcomes.collect()}
-    got_f = L.consume_forced(inv, forced_cmds, NOW, order, chunk=A.lineitem_ledger_chunk(), skew_rows=0)
-    assert {tuple(r[k] for k in key): tuple(r[c] for c in cols) for r in got_f.collect()} == want_f
+    rows = [(random.Random(s).randint(1, 500), s) for s in range(2000)]
+    out = A.numbered(spark.createDataFrame(rows, "a long, b long").repartition(5), ("a", "b")).collect()
+    assert [(r.a, r.b) for r in sorted(out, key=lambda r: r.seq)] == sorted(rows)
+    assert sorted(r.seq for r in out) == list(range(1, 2001))
 
 
 def test_lineitem_ties_are_ordered_by_reason(spark):
