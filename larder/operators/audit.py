@@ -29,14 +29,17 @@ def audit_rows(df: DataFrame, op_type: str, table_name: str, record_id: Column,
     )
 
 
-def append_audit(audit_log: DataFrame, rows: DataFrame) -> DataFrame:
-    """The audit log with ``rows`` appended. New ids are ``max(log_id) + seq``, where
-    ``seq`` is the call order within the batch: unique, increasing, no sort or
-    shuffle needed (gaps are allowed, as with a database sequence)."""
+def numbered_audit(audit_log: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with their ids in the log: ``max(log_id) + seq``, where ``seq`` is the call
+    order within the batch: unique, increasing, no sort or shuffle needed (gaps are
+    allowed, as with a database sequence)."""
     base = audit_log.select(F.coalesce(F.max("log_id"), F.lit(0))).scalar()
-    new = rows.select(
-        (base + F.col("seq")).alias("log_id"),
-        "op_type", "table_name", "record_id", "details", "actor", "ts")
+    return rows.select((base + F.col("seq")).alias("log_id"), "op_type", "table_name", "record_id", "details", "actor", "ts")
+
+
+def append_audit(audit_log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The audit log with ``rows`` appended."""
+    new = numbered_audit(audit_log, rows)
     return audit_log.select(*new.columns).unionByName(new)
 
 

@@ -13,6 +13,9 @@ collapsed before any shuffle of the table. The new table is one left join of the
 table with that per-key change set. New ids are ``max(id) + seq``: unique,
 increasing in call order, computed without a sort (gaps are allowed, as with a
 database sequence); ``seq`` must be unique and positive within a batch.
+
+With ``store=True`` the checked calls are written to the shared folder once, and every
+frame of the result is derived from that table (see ``apply``).
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expressions as X
+from ..session import stored
 from .audit import audit_rows, payload
 
 OK = "OK"
@@ -85,7 +89,7 @@ def _outcomes(df: DataFrame, key: Column) -> DataFrame:
 
 # --------------------------------------------------------------------------- items
 
-def insert_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
+def insert_items(inventory: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Insert stock items (one command per call). Checks, first failure wins:
     missing field; unit, category, location not in their enums; quantity not a
     number or not > 0; expiry or opened date not ``YYYY-M-D``; opened date in the
@@ -125,6 +129,7 @@ def insert_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
     base = _next_ids(inventory, "item_id")
     checked = c.select("*", code.alias("_code"), (base + F.col("seq")).alias("_new_id"),
                        q3.alias("_q"), p2.alias("_p"))
+    checked = stored(checked, "job") if store else checked
     ts = X.ts_lit(now)
     ok = checked.filter(F.col("_code").isNull())
     added = ok.select(
@@ -178,7 +183,7 @@ def _apply_changes(table: DataFrame, key: str, accepted: DataFrame, typed: dict[
     return joined.select(*cols)
 
 
-def update_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
+def update_items(inventory: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Update stock items: any of 9 fields (not the unit); a null field keeps the
     old value, 0 is a value. Several calls on one item apply in ``seq`` order, so
     per field the last non-null value wins. Rejections: missing id, not found,
@@ -214,6 +219,7 @@ def update_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
         ("PRICE_NEGATIVE", _rounded(p, 2) < 0),
     ])
     checked = joined.select(*commands.columns, "_qn", "_pn", "_exp", "_opened", code.alias("_code"))
+    checked = stored(checked, "job") if store else checked
     accepted = checked.filter(F.col("_code").isNull())
     typed = {
         "name": F.col("name"),
@@ -233,7 +239,7 @@ def update_items(inventory: DataFrame, commands: DataFrame, now) -> JobResult:
 
 # --------------------------------------------------------------------------- tasks
 
-def insert_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
+def insert_tasks(task: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Insert tasks. Checks, first failure wins: title missing or empty; priority or
     frequency not in its enum; recurring without frequency; due date not
     ``YYYY-M-D``; text too long. Priority defaults to MEDIA (also when null), status
@@ -253,6 +259,7 @@ def insert_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     ])
     base = _next_ids(task, "task_id")
     checked = commands.select("*", code.alias("_code"), (base + F.col("seq")).alias("_new_id"))
+    checked = stored(checked, "job") if store else checked
     ok = checked.filter(F.col("_code").isNull())
     ts = X.ts_lit(now)
     actor = F.coalesce(F.col("actor"), F.lit("unknown"))
@@ -274,7 +281,7 @@ def insert_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
                      lambda: _outcomes(checked, F.when(F.col("_code").isNull(), F.col("_new_id"))), audit, added)
 
 
-def update_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
+def update_tasks(task: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Update tasks: title, description, priority, status, due date, assignee; a
     null field keeps the old value and per field the last non-null value wins.
     Setting COMPLETATO here does not respawn a recurring task."""
@@ -295,6 +302,7 @@ def update_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
         ("ACTOR_TOO_LONG", _too_long(F.col("actor"), S.MAX_LEN["updated_by"])),
     ])
     checked = joined.select(*commands.columns, "_due", code.alias("_code"))
+    checked = stored(checked, "job") if store else checked
     accepted = checked.filter(F.col("_code").isNull())
     typed = {f: (due if f == "due_date" else F.col(f)) for f in fields}
     details = F.to_json(F.struct(*[F.col(f).alias(TASK_ARG_NAMES[f]) for f in fields]))
@@ -311,7 +319,7 @@ def respawn_due(due: Column, frequency: Column) -> Column:
     return F.date_add(due, days)
 
 
-def complete_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
+def complete_tasks(task: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Complete tasks. The first call on a task that is not already COMPLETATO
     wins; later calls, and calls on completed tasks, get ALREADY_COMPLETED. A
     cancelled task can be completed. Completing a recurring task adds its next
@@ -334,6 +342,7 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     base = _next_ids(task, "task_id")
     checked = joined.select(*commands.columns, "_rec", code.alias("_code"),
                             F.when(code.isNull() & F.col("_rec"), base + F.col("seq")).alias("_new_id"))
+    checked = stored(checked, "job") if store else checked
     accepted = checked.filter(F.col("_code").isNull())
     ts = X.ts_lit(now)
     actor = F.coalesce(F.col("actor"), F.lit("unknown"))
@@ -371,7 +380,7 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
     return result
 
 
-def cancel_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
+def cancel_tasks(task: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Cancel tasks (soft delete): status ANNULLATO from any status, repeatable;
     a missing task is NOT_FOUND."""
     t = task.select(F.col("task_id").alias("_id"))
@@ -381,6 +390,7 @@ def cancel_tasks(task: DataFrame, commands: DataFrame, now) -> JobResult:
         ("NOT_FOUND", F.col("_id").isNull()),
     ])
     checked = joined.select(*commands.columns, code.alias("_code"))
+    checked = stored(checked, "job") if store else checked
     accepted = checked.filter(F.col("_code").isNull())
     typed = {"status": F.lit(S.CANCELLED)}
     return JobResult(lambda: _apply_changes(task, "task_id", accepted, typed, now),

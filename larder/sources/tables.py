@@ -32,27 +32,31 @@ def read(spark: SparkSession, root: str, name: str, version: str | None = None)
     if name in FACT_DAY:
         # a new StructType: ``StructType.add`` would change the shared one in place
         schema = T.StructType(schema.fields + [T.StructField("day", T.DateType())])
-    df = spark.read.schema(schema).parquet(path)
-    return df.drop("day") if name in FACT_DAY else df
+    return spark.read.schema(schema).parquet(path).select(*S.TABLES[name].fieldNames())
 
 
-def append_facts(df: DataFrame, root: str, name: str) -> None:
-    """Append rows to a fact table, one folder per day."""
+def append_facts(df: DataFrame, root: str, name: str, batch: str | None = None) -> None:
+    """Append rows to a fact table, one folder per day; with ``batch``, below a folder of
+    that batch, which a rerun of the batch replaces (a table is written either way, not
+    both). Rows are first rebalanced by day
+    (AQE splits big days and merges small ones), so the number of files follows the days
+    and the bytes, not tasks times days."""
     if name not in FACT_DAY:
         raise ValueError(f"{name} is not a fact table")
     cols = S.TABLES[name].fieldNames()
-    (df.select(*cols, F.to_date(FACT_DAY[name]).alias("day"))
+    (df.select(*cols, F.to_date(FACT_DAY[name]).alias("day")).hint("rebalance", "day")
      .sortWithinPartitions(*SORT_KEY[name])
-     .write.mode("append").partitionBy("day").parquet(f"{root}/{name}"))
+     .write.mode("append" if batch is None else "overwrite").partitionBy("day")
+     .parquet(f"{root}/{name}" + (f"/batch={batch}" if batch is not None else "")))
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, version: str) -> str:
-    """Write a new version of an entity table; returns its path."""
+    """Write a version of an entity table (a rerun replaces it); returns its path."""
     if name in FACT_DAY:
         raise ValueError(f"{name} is append-only")
     path = f"{root}/{name}/version={version}"
     (df.select(*S.TABLES[name].fieldNames()).sortWithinPartitions(*SORT_KEY[name])
-     .write.mode("errorifexists").parquet(path))
+     .write.mode("overwrite").parquet(path))
     return path
 
 
