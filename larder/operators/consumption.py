@@ -26,10 +26,14 @@ def _as_date(d) -> dt.date:
     return dt.date.fromisoformat(d) if isinstance(d, str) else d
 
 
-def default_period(as_of) -> tuple[dt.date, dt.date]:
-    """Thirty days back to ``as_of``, both ends included (31 calendar days)."""
-    end = _as_date(as_of)
-    return end - dt.timedelta(days=30), end
+def period(start, end, as_of) -> tuple[dt.date, dt.date]:
+    """The period asked for: the end is ``as_of`` unless given, the start thirty days
+    before the end unless given (both included, 31 calendar days). Nothing reads the
+    clock: one of ``end`` and ``as_of`` is needed."""
+    if end is None and as_of is None:
+        raise ValueError("give the end of the period or the reference date")
+    end = _as_date(as_of if end is None else end)
+    return (end - dt.timedelta(days=30) if start is None else _as_date(start)), end
 
 
 def in_period(df: DataFrame, col: str, start, end) -> DataFrame:
@@ -58,10 +62,8 @@ def consumption_stats(consumption: DataFrame, inventory: DataFrame, start=None,
     if group_by not in GROUPS:
         raise ValueError(f"invalid grouping: {group_by!r}")
     kind = GROUPS[group_by]
-    if start is None or end is None:
-        d_start, d_end = default_period(as_of or dt.date.today())
-        start, end = start or d_start, end or d_end
-    days = (_as_date(end) - _as_date(start)).days + 1
+    start, end = period(start, end, as_of)
+    days = (end - start).days + 1
     facts = in_period(consumption, "consumed_at", start, end)
     if kind == "category":
         per_item = facts.groupBy("item_id").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
@@ -78,11 +80,11 @@ def consumption_stats(consumption: DataFrame, inventory: DataFrame, start=None,
     return out.orderBy(F.col("total_qty").desc(), F.col("group_name")) if sort else out
 
 
-def consumption_rollup(consumption: DataFrame, inventory: DataFrame, start, end,
-                       group_by: str = "categoria") -> DataFrame:
+def consumption_rollup(consumption: DataFrame, inventory: DataFrame, start=None, end=None,
+                       group_by: str = "categoria", as_of=None) -> DataFrame:
     """The groups of ``consumption_stats`` plus the grand total over them, in one
     aggregation (``rollup``); the total row has ``is_total`` true and a null group."""
-    stats = consumption_stats(consumption, inventory, start, end, group_by, sort=False)
+    stats = consumption_stats(consumption, inventory, start, end, group_by, as_of, sort=False)
     return (stats.rollup("group_name")
             .agg(F.sum("total_qty").alias("total_qty"), F.sum("operations").alias("operations"),
                  F.grouping("group_name").alias("_g"))

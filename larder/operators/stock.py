@@ -43,8 +43,9 @@ def in_stock(inventory: DataFrame, as_of, category=None, location=None,
 
 
 def list_stock(inventory: DataFrame, as_of, category=None, location=None, expiring_days=None,
-               min_quantity=None, limit: int | None = S.DEFAULT_LIMIT) -> DataFrame:
-    """Stock list: soonest expiry first (no expiry last), then name, then id.
+               min_quantity=None, limit: int | None = S.DEFAULT_LIMIT, sort: bool = True) -> DataFrame:
+    """Stock list: soonest expiry first (no expiry last), then name, then id (in any
+    order without ``sort``, for readers of all rows).
 
     A price of 0 is shown as null; ``days_left`` is whole days to expiry and
     ``alert`` is SCADUTO (past) or IN_SCADENZA (0 to 3 days)."""
@@ -57,7 +58,8 @@ def list_stock(inventory: DataFrame, as_of, category=None, location=None, expiri
         "supplier", "created_at", "updated_at",
         X.stock_alert(days).alias("alert"),
     )
-    df = df.orderBy(F.col("expiry_date").asc_nulls_last(), F.col("name").asc(), F.col("item_id").asc())
+    if sort:
+        df = df.orderBy(F.col("expiry_date").asc_nulls_last(), F.col("name").asc(), F.col("item_id").asc())
     return df.limit(int(limit)) if limit is not None else df
 
 
@@ -67,21 +69,30 @@ def stock_kpis(inventory: DataFrame, as_of, category=None, location=None, expiri
     (as_of, as_of + 3], distinct categories and locations, all under the list's
     filters but without its limit. Over zero rows the two sums are null.
 
-    Two exact distinct counts: Catalyst expands each row once per distinct
-    column and aggregates partially before the single shuffle."""
+    Rows are first aggregated by category and location (a few dozen groups), so the two
+    distinct counts run over the groups and no row is copied for them."""
     df = in_stock(inventory, as_of, category, location, expiring_days, min_quantity)
     today = X.date_lit(as_of)
     exp = F.col("expiry_date")
-    return df.agg(
-        F.count(F.lit(1)).alias("total_products"),
-        F.sum(F.when(exp.isNotNull() & (exp <= today), 1).otherwise(0)).cast("bigint").alias("expired"),
-        F.sum(F.when(exp.isNotNull() & (exp <= F.date_add(today, 3)) & (exp > today), 1).otherwise(0))
-        .cast("bigint").alias("expiring_3_days"),
+    groups = df.groupBy("category", "location").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(exp.isNotNull() & (exp <= today), 1).otherwise(0)).alias("expired"),
+        F.sum(F.when(exp.isNotNull() & (exp <= F.date_add(today, 3)) & (exp > today), 1).otherwise(0)).alias("expiring"))
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_products"),
+        F.sum("expired").cast("bigint").alias("expired"),
+        F.sum("expiring").cast("bigint").alias("expiring_3_days"),
         F.count_distinct("category").alias("distinct_categories"),
         F.count_distinct("location").alias("distinct_locations"),
     )
 
 
+def list_counts(filtered: DataFrame, limit: int | None = S.DEFAULT_LIMIT) -> DataFrame:
+    """One row: the rows under a list's filters, and how many of them its page shows."""
+    total = F.count(F.lit(1))
+    return filtered.agg(total.alias("total"), (total if limit is None else F.least(total, F.lit(int(limit)))).alias("shown"))
+
+
 def expiring_items(inventory: DataFrame, as_of, days: int = 3, category=None, location=None,
                    sort: bool = True) -> DataFrame:
     """Items in stock whose expiry is known and at most ``days`` days after
@@ -161,8 +172,9 @@ def fetch_items(inventory: DataFrame, requests: DataFrame, id_col: str = "id") -
         X.iso_timestamp("created_at", sep=" ").alias("created"),
         X.iso_timestamp("updated_at", sep=" ").alias("modified"),
     )
+    inv = inv.withColumn("_found", F.lit(True))
     out = req.join(inv, "_key", "left")
-    return out.select("request_id", F.col("name").isNotNull().alias("found"),
+    return out.select("request_id", F.coalesce("_found", F.lit(False)).alias("found"),
                       "name", "quantity", "category", "location", "expiry_date", "created", "modified")
 
 
@@ -192,3 +204,18 @@ def stock_list_json(listed: DataFrame) -> DataFrame:
     plain = F.to_json(F.struct(*fields), opts)
     alerted = F.to_json(F.struct(*fields, F.col("alert").alias("alert")), opts)
     return listed.select("item_id", F.when(F.col("alert").isNull(), plain).otherwise(alerted).alias("json"))
+
+
+# Field names of an expiring item in the JSON answer, in order.
+EXPIRING_FIELDS = (("id", "item_id"), ("nome", "name"), ("quantita", "quantity"), ("unita_misura", "unit"),
+                   ("data_scadenza", "expiry_date"), ("giorni_alla_scadenza", "days_left"), ("categoria", "category"),
+                   ("ubicazione", "location"), ("priorita", "band"))
+
+
+def expiring_json(banded: DataFrame) -> DataFrame:
+    """One JSON document per expiring item (``item_id``, ``json``), its band a field, so
+    that no band's items are gathered into one value."""
+    fields = [F.col(c).cast("double") if c == "quantity" else X.iso_date(F.col(c)) if c == "expiry_date" else F.col(c)
+              for _, c in EXPIRING_FIELDS]
+    document = F.struct(*[v.alias(k) for v, (k, _) in zip(fields, EXPIRING_FIELDS)])
+    return banded.select("item_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import expressions as X
-from .consumption import default_period, in_period
+from .consumption import in_period, period
 
 # The grouping names of the task statistics (and English aliases).
 GROUPS = {"stato": "status", "priorita": "priority", "assegnatario": "assignee",
@@ -44,7 +42,7 @@ def filter_tasks(task: DataFrame, as_of, status=None, priority=None, assignee=No
 
 
 def list_tasks(task: DataFrame, as_of, status=None, priority=None, assignee=None, due_days=None,
-               recurring: bool | None = None, limit: int | None = S.DEFAULT_LIMIT) -> DataFrame:
+               recurring: bool | None = None, limit: int | None = S.DEFAULT_LIMIT, sort: bool = True) -> DataFrame:
     """Tasks by due date (none last), then priority in *descending enum order*
     (BASSA, MEDIA, ALTA), then newest first, then id; with days left and alert."""
     df = filter_tasks(task, as_of, status, priority, assignee, due_days, recurring)
@@ -52,9 +50,10 @@ def list_tasks(task: DataFrame, as_of, status=None, priority=None, assignee=None
     df = df.select(
         "task_id", "title", "description", "priority", "status", "due_date",
         days.alias("days_left"), "assignee", "recurring", "frequency", "created_by",
-        "created_at", "updated_at", X.task_alert(days).alias("alert"),
-    ).orderBy(F.col("due_date").asc_nulls_last(), X.ordinal("priority", S.PRIORITIES).desc(),
-              F.col("created_at").desc(), F.col("task_id").asc())
+        "created_at", "updated_at", X.task_alert(days).alias("alert"))
+    if sort:
+        df = df.orderBy(F.col("due_date").asc_nulls_last(), X.ordinal("priority", S.PRIORITIES).desc(),
+                        F.col("created_at").desc(), F.col("task_id").asc())
     return df.limit(int(limit)) if limit is not None else df
 
 
@@ -67,10 +66,7 @@ def task_stats(task: DataFrame, start=None, end=None, group_by: str = "stato", a
     if group_by not in GROUPS:
         raise ValueError(f"invalid grouping: {group_by!r}")
     kind = GROUPS[group_by]
-    if start is None or end is None:
-        d_start, d_end = default_period(as_of or dt.date.today())
-        start, end = start or d_start, end or d_end
-    df = in_period(task, "created_at", start, end)
+    df = in_period(task, "created_at", *period(start, end, as_of))
     out = df.groupBy(kind).agg(F.count(F.lit(1)).alias("total"))
     label = F.coalesce(F.col(kind), F.lit(S.UNASSIGNED)) if kind == "assignee" else F.col(kind)
     out = out.select(label.alias("group_name"), "total")
@@ -84,16 +80,34 @@ def tasks_done_last_week(task: DataFrame, now) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("completed")))
 
 
-def task_stats_rollup(task: DataFrame, start, end, group_by: str = "stato") -> DataFrame:
+def task_stats_rollup(task: DataFrame, start=None, end=None, group_by: str = "stato", as_of=None) -> DataFrame:
     """The groups of ``task_stats`` plus the grand total over them (``is_total``
     true, null group) in one ``rollup``. The rollup runs on the raw column, so by
     assignee the null group and a person named NON_ASSEGNATO stay two rows."""
     if group_by not in GROUPS:
         raise ValueError(f"invalid grouping: {group_by!r}")
     kind = GROUPS[group_by]
-    df = in_period(task, "created_at", start, end)
+    df = in_period(task, "created_at", *period(start, end, as_of))
     out = df.rollup(kind).agg(F.count(F.lit(1)).alias("total"), F.grouping(kind).alias("_g"))
     total = F.col("_g") == 1
     label = F.coalesce(F.col(kind), F.lit(S.UNASSIGNED)) if kind == "assignee" else F.col(kind)
     return out.select(F.when(~total, label).alias("group_name"), F.col("total").cast("bigint").alias("total"),
                       total.alias("is_total"))
+
+
+# Field names of a task in the JSON answer, in order.
+JSON_FIELDS = (("id", "task_id"), ("titolo", "title"), ("descrizione", "description"), ("priorita", "priority"),
+               ("stato", "status"), ("data_scadenza", "due_date"), ("giorni_alla_scadenza", "days_left"),
+               ("assegnatario", "assignee"), ("task_ricorrente", "recurring"), ("frequenza_ricorrenza", "frequency"),
+               ("creato_da", "created_by"), ("data_creazione", "created_at"), ("ultima_modifica", "updated_at"))
+
+
+def task_list_json(listed: DataFrame) -> DataFrame:
+    """One JSON document per task (``task_id``, ``json``): nulls written, dates and
+    timestamps as ISO text, ``alert`` only when there is one."""
+    edge = {"due_date": X.iso_date, "created_at": X.iso_timestamp, "updated_at": X.iso_timestamp}
+    fields = [edge.get(c, F.col)(F.col(c) if c in edge else c).alias(k) for k, c in JSON_FIELDS]
+    opts = {"ignoreNullFields": "false"}
+    plain = F.to_json(F.struct(*fields), opts)
+    alerted = F.to_json(F.struct(*fields, F.col("alert")), opts)
+    return listed.select("task_id", F.when(F.col("alert").isNull(), plain).otherwise(alerted).alias("json"))

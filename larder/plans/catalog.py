@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import to_response
 from ..operators import audit, consumption, quality, stock, tasks
+from ..operators.apply import apply_job
+from ..session import scratch_path
 from ..sources import adapters as A
+from ..sources import tables
+from ..sources import unclean as U
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +30,7 @@ TASK_AS_OF = dt.date(1998, 12, 31)         # task reads
 TASK_NOW = dt.datetime(1998, 12, 31)
 CONS_START, CONS_END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
 TASK_START, TASK_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
+TASK_STATS_END = dt.date(1998, 6, 30)
 SEARCH_TEXT = "ring"
 
 QUERIES: dict[str, Query] = {}
@@ -38,18 +43,10 @@ def register(name: str):
     return deco
 
 
-_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def view(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A canonical view over the driver tables, built once per session and folder
-    (the equivalent of a registered temp view; it holds no data)."""
-    key = (id(spark), d, name)
-    df = _VIEWS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = build()
-        _VIEWS[key] = df
-    return df
+    """A canonical view over the driver tables. Nothing is kept between queries: each
+    query lists the files as they are when it is built."""
+    return build()
 
 
 def inv(spark, d):
@@ -85,7 +82,7 @@ def q_stock_list(spark, d):
 @register("stock_alerts")
 def q_stock_alerts(spark, d):
     """Days left and alert of every item in stock (the list without its limit)."""
-    return to_response(stock.list_stock(inv(spark, d), AS_OF, limit=None)
+    return to_response(stock.list_stock(inv(spark, d), AS_OF, limit=None, sort=False)
                        .select("item_id", "days_left", "alert"))
 
 
@@ -134,7 +131,7 @@ def fetch_requests(lineitem: DataFrame) -> DataFrame:
     ln = F.col("l_linenumber")
     return lineitem.select(
         F.when(ln == 6, F.concat(F.lit("item-"), F.col("l_partkey").cast("string")))
-        .when(ln == 7, F.concat(F.lit("alimento-"), (F.col("l_partkey") + 1000000000).cast("string")))
+        .when(ln == 7, F.concat(F.lit("alimento-"), (-F.col("l_partkey")).cast("string")))
         .otherwise(F.concat(F.lit("alimento-"), F.col("l_partkey").cast("string"))).alias("id"))
 
 
@@ -157,6 +154,12 @@ def q_cons_reason(spark, d):
                                                      "motivo"))
 
 
+@register("consumption_default_period")
+def q_cons_default_period(spark, d):
+    """Only the end given: thirty days back from it."""
+    return to_response(consumption.consumption_stats(cons(spark, d), inv(spark, d), end=CONS_END, group_by="motivo"))
+
+
 @register("consumption_total")
 def q_cons_total(spark, d):
     return to_response(consumption.consumption_stats(cons(spark, d), inv(spark, d), CONS_START, CONS_END,
@@ -178,7 +181,7 @@ def q_task_list(spark, d):
 
 @register("task_alerts")
 def q_task_alerts(spark, d):
-    return to_response(tasks.list_tasks(tsk(spark, d), TASK_AS_OF, limit=None)
+    return to_response(tasks.list_tasks(tsk(spark, d), TASK_AS_OF, limit=None, sort=False)
                        .select("task_id", "days_left", "alert"))
 
 
@@ -203,6 +206,12 @@ def q_task_stats_assignee(spark, d):
     return tasks.task_stats(tsk(spark, d), TASK_START, TASK_END, "assegnatario")
 
 
+@register("task_stats_default_period")
+def q_task_stats_default_period(spark, d):
+    """Only the end given: thirty days back from it."""
+    return tasks.task_stats(tsk(spark, d), end=TASK_STATS_END, group_by="stato")
+
+
 @register("task_stats_rollup")
 def q_task_stats_rollup(spark, d):
     """Tasks per status plus the total over the statuses."""
@@ -236,6 +245,22 @@ def q_fk_orphans(spark, d):
     return quality.fk_orphans(inv(spark, d), cons(spark, d), tsk(spark, d))
 
 
+@register("unclean_inventory_violations")
+def q_unclean_inventory_violations(spark, d):
+    """The stock rules over the unclean stock (every code occurs)."""
+    return quality.inventory_violations(U.inventory(inv(spark, d)))
+
+
+@register("unclean_task_violations")
+def q_unclean_task_violations(spark, d):
+    return quality.task_violations(U.tasks(tsk(spark, d)))
+
+
+@register("unclean_fk_orphans")
+def q_unclean_fk_orphans(spark, d):
+    return quality.fk_orphans(inv(spark, d), U.consumption(cons(spark, d)), U.tasks(tsk(spark, d)))
+
+
 @register("duplicate_keys")
 def q_duplicate_keys(spark, d):
     return quality.duplicate_keys({"inventory": inv(spark, d), "task": tsk(spark, d),
@@ -378,10 +403,51 @@ def q_audit_append(spark, d):
     return to_response(audit.append_audit(aud(spark, d), rows))
 
 
+@register("audit_inserts")
+def q_audit_inserts(spark, d):
+    """The audit rows of the two insert jobs in one call-number space."""
+    rows = (job_insert_items(spark, d).audit.withColumn("seq", F.col("seq") * 2)
+            .unionByName(job_insert_tasks(spark, d).audit.withColumn("seq", F.col("seq") * 2 + 1)))
+    return to_response(audit.numbered_audit(aud(spark, d), rows))
+
+
+@register("item_insert_applied")
+def q_item_insert_applied(spark, d):
+    """The insert job applied to the tables (stock and audit log written once), and the
+    stock read back."""
+    root = scratch_path(spark, "tables")
+    cmds = C.insert_items_from_part(A.read_table(spark, d, "part"))
+    apply_job(W.insert_items(inv(spark, d), cmds, C.INSERT_NOW, store=True), root, "inventory", "1", aud(spark, d))
+    return to_response(tables.read(spark, root, "inventory", "1"))
+
+
 @register("stock_list_json")
 def q_stock_list_json(spark, d):
     """The stock list (no limit) as the JSON documents of the list answer."""
-    return stock.stock_list_json(stock.list_stock(inv(spark, d), AS_OF, limit=None))
+    return stock.stock_list_json(stock.list_stock(inv(spark, d), AS_OF, limit=None, sort=False))
+
+
+@register("stock_counts")
+def q_stock_counts(spark, d):
+    """The two counts of the list answer: rows under the filters, rows shown (the page)."""
+    return stock.list_counts(stock.in_stock(inv(spark, d), AS_OF))
+
+
+@register("task_counts")
+def q_task_counts(spark, d):
+    return stock.list_counts(tasks.filter_tasks(tsk(spark, d), TASK_AS_OF))
+
+
+@register("task_list_json")
+def q_task_list_json(spark, d):
+    """The task list (no limit) as the JSON documents of the list answer."""
+    return tasks.task_list_json(tasks.list_tasks(tsk(spark, d), TASK_AS_OF, limit=None, sort=False))
+
+
+@register("expiring_json")
+def q_expiring_json(spark, d):
+    """The expiring items with their band, as JSON documents."""
+    return stock.expiring_json(stock.expiring_bands(inv(spark, d), AS_OF, days=3))
 
 
 # --- ledger --------------------------------------------------------------------------
@@ -398,8 +464,7 @@ def _consume_cmds(spark, d):
 
 
 def job_consume(spark, d):
-    return L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
-                     chunk=A.lineitem_ledger_chunk())
+    return L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER)
 
 
 @register("consume_outcomes")
@@ -410,12 +475,49 @@ def q_consume_outcomes(spark, d):
 
 @register("consume_outcomes_phased")
 def q_consume_outcomes_phased(spark, d):
-    """The same ledger through the skew-safe phased plan (forced, whatever the skew)."""
-    res = L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
-                    chunk=A.lineitem_ledger_chunk(), skew_rows=0)
+    """The same ledger with every item treated as one that exceeds a task: all levels
+    as scans over chunks of the call order."""
+    res = L.consume(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, rows_per_task=0)
+    return to_response(res.outcomes.select(*_OUT_COLS))
+
+
+@register("consume_unclean")
+def q_consume_unclean(spark, d):
+    """Unclean calls (unknown, missing and null items, bad quantities and reasons) on
+    unclean stock: every refusal occurs."""
+    res = L.consume(U.inventory(inv(spark, d)), U.consume_calls(_consume_cmds(spark, d)), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER)
     return to_response(res.outcomes.select(*_OUT_COLS))
 
 
+def job_consume_numbered(spark, d):
+    """The ledger over calls numbered in their order: ids of facts and audit rows."""
+    calls = A.numbered(_consume_cmds(spark, d), (*A.LINEITEM_LEDGER_ORDER, "item_id"))
+    return L.consume(inv(spark, d), calls, LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, consumption=cons(spark, d))
+
+
+@register("consume_facts")
+def q_consume_facts(spark, d):
+    """The consumption facts that the ledger adds (ids unique, above those in use)."""
+    return to_response(job_consume_numbered(spark, d).facts)
+
+
+@register("consume_audit")
+def q_consume_audit(spark, d):
+    """The audit rows that the ledger adds."""
+    return to_response(audit.numbered_audit(aud(spark, d), job_consume_numbered(spark, d).audit))
+
+
+@register("consume_applied_facts")
+def q_consume_applied_facts(spark, d):
+    """The ledger applied to the tables (stock, facts and audit log written once), and the
+    facts read back from their day folders."""
+    root = scratch_path(spark, "tables")
+    calls = A.numbered(_consume_cmds(spark, d), (*A.LINEITEM_LEDGER_ORDER, "item_id"))
+    job = L.consume(inv(spark, d), calls, LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, consumption=cons(spark, d), store=True)
+    apply_job(job, root, "inventory", "1", aud(spark, d))
+    return to_response(tables.read(spark, root, "consumption"))
+
+
 @register("consume_ledger")
 def q_consume_ledger(spark, d):
     """Opening and closing balance, accepted and rejected requests per item."""
@@ -430,19 +532,15 @@ def q_consume_stock_table(spark, d):
 
 @register("consume_forced")
 def q_consume_forced(spark, d):
-    """The same requests all forced: a running sum per item (two-level when an
-    item is hot)."""
-    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
-                           chunk=A.lineitem_ledger_chunk())
+    """The same requests all forced."""
+    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER)
     return to_response(out.select(*_OUT_COLS))
 
 
 @register("consume_forced_chunked")
 def q_consume_forced_chunked(spark, d):
-    """The same forced ledger through the two-level scan over the lineitem chunks,
-    whatever the skew."""
-    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER,
-                           chunk=A.lineitem_ledger_chunk(), skew_rows=0)
+    """The same forced ledger as scans over chunks of the call order for every item."""
+    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, rows_per_task=0)
     return to_response(out.select(*_OUT_COLS))
 
 
@@ -456,13 +554,12 @@ def discard_commands(lineitem: DataFrame) -> DataFrame:
 @register("discard_ledger")
 def q_discard_ledger(spark, d):
     out = L.discard(inv(spark, d), discard_commands(A.read_table(spark, d, "lineitem")), LEDGER_NOW,
-                    A.LINEITEM_LEDGER_ORDER, chunk=A.lineitem_ledger_chunk()).outcomes
+                    A.LINEITEM_LEDGER_ORDER).outcomes
     return to_response(out.select(*_OUT_COLS))
 
 
 # --- streams -------------------------------------------------------------------------
 
-from ..session import scratch_path  # noqa: E402
 from ..streaming import ledger_stream as ST  # noqa: E402
 
 # Arrival waves of the stream tests: calls arrive in three bursts split by call time.
@@ -479,6 +576,8 @@ def _waves(df: DataFrame, col: str, cuts) -> list[DataFrame]:
             cond = cond & (c >= F.lit(lo))
         if hi is not None:
             cond = cond & (c < F.lit(hi))
+        if lo is None:
+            cond = cond | c.isNull()   # rows without a time arrive first
         out.append(df.filter(cond))
         lo = hi
     return out
@@ -495,8 +594,7 @@ def q_stream_ledger(spark, d):
     schema = cmds.schema
     for wave in _waves(cmds, "consumed_at", LEDGER_WAVES):
         wave.write.mode("append").parquet(src)
-        ST.ledger_stream(spark, inv(spark, d), src, schema, out, ckpt, A.LINEITEM_LEDGER_ORDER,
-                         chunk=A.lineitem_ledger_chunk()).awaitTermination()
+        ST.ledger_stream(spark, inv(spark, d), src, schema, out, ckpt, A.LINEITEM_LEDGER_ORDER).awaitTermination()
     return to_response(L.ledger_balances(ST.read_outcomes(spark, out)))
 
 
@@ -509,4 +607,4 @@ def q_stream_audit(spark, d):
     for wave in _waves(rows, "ts", AUDIT_WAVES):
         wave.write.mode("append").parquet(src)
         ST.audit_count_stream(spark, src, rows.schema, out, ckpt).awaitTermination()
-    return spark.read.parquet(out)
+    return ST.read_audit_counts(spark, out)

@@ -156,7 +156,7 @@ def q_item_fetch() -> str:
     return with_views(INVENTORY) + f""",
 req AS (
  SELECT CASE WHEN l_linenumber = 6 THEN 'item-' || CAST(l_partkey AS VARCHAR)
-             WHEN l_linenumber = 7 THEN 'alimento-' || CAST(l_partkey + 1000000000 AS VARCHAR)
+             WHEN l_linenumber = 7 THEN 'alimento-' || CAST(-l_partkey AS VARCHAR)
              ELSE 'alimento-' || CAST(l_partkey AS VARCHAR) END AS request_id
  FROM lineitem),
 parsed AS (
@@ -307,3 +307,63 @@ def q_task_stats_rollup() -> str:
 SELECT group_name, CAST(total AS BIGINT) AS total, false AS is_total FROM g
 UNION ALL
 SELECT NULL, CAST(COALESCE(SUM(total), 0) AS BIGINT), true FROM g"""
+
+
+def q_consumption_default_period() -> str:
+    """Thirty days back from 1998-12-31, both ends included."""
+    return q_consumption("reason").replace("DATE '1996-01-01'", "DATE '1998-12-01'").replace("1096", "31")
+
+
+def q_task_stats_default_period() -> str:
+    return q_task_stats("status").replace("DATE '1998-01-01' AND DATE '1998-12-31'", "DATE '1998-05-31' AND DATE '1998-06-30'")
+
+
+def q_stock_counts() -> str:
+    return with_views(INVENTORY) + """
+SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(least(COUNT(*), 50) AS BIGINT) AS shown FROM inventory WHERE quantity > 0"""
+
+
+def q_task_counts() -> str:
+    return with_views(TASK) + """
+SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(least(COUNT(*), 50) AS BIGINT) AS shown FROM task"""
+
+
+UNCLEAN_INVENTORY = """unclean_inventory AS (SELECT * REPLACE (
+  CASE WHEN item_id % 17 = 0 THEN NULL WHEN item_id % 19 = 0 THEN repeat('n', 256) ELSE name END AS name,
+  CAST(CASE WHEN item_id % 23 = 0 THEN -1 ELSE quantity END AS DECIMAL(10,3)) AS quantity,
+  CASE WHEN item_id % 29 = 0 THEN 'LITRO' ELSE unit END AS unit,
+  CASE WHEN item_id % 31 = 0 THEN 'MEAT' ELSE category END AS category,
+  CASE WHEN item_id % 37 = 0 THEN 'ATTIC' ELSE location END AS location,
+  CASE WHEN item_id % 41 = 0 THEN -1 ELSE price END AS price,
+  CASE WHEN item_id % 43 = 0 THEN repeat('s', 256) ELSE supplier END AS supplier,
+  CASE WHEN item_id % 47 = 0 THEN repeat('l', 101) ELSE lot END AS lot,
+  CASE WHEN item_id % 53 = 0 THEN NULL ELSE updated_by END AS updated_by) FROM inventory)"""
+
+UNCLEAN_TASK = """unclean_task AS (SELECT * REPLACE (
+  CASE WHEN task_id % 17 = 0 THEN NULL WHEN task_id % 19 = 0 THEN repeat('t', 501) ELSE title END AS title,
+  CASE WHEN task_id % 23 = 0 THEN 'HIGH' ELSE priority END AS priority,
+  CASE WHEN task_id % 29 = 0 THEN 'OPEN' ELSE status END AS status,
+  CASE WHEN task_id % 31 = 0 THEN 'ANNUALE' WHEN task_id % 37 = 0 THEN 'MENSILE' WHEN task_id % 41 = 0 THEN NULL
+       ELSE frequency END AS frequency,
+  CASE WHEN task_id % 37 = 0 THEN false WHEN task_id % 41 = 0 THEN true ELSE recurring END AS recurring,
+  CASE WHEN task_id % 43 = 0 THEN repeat('a', 101) ELSE assignee END AS assignee,
+  CASE WHEN task_id % 47 = 0 THEN NULL ELSE created_by END AS created_by,
+  CASE WHEN task_id % 7 = 0 THEN -task_id WHEN task_id % 11 = 0 THEN task_id ELSE parent_task_id END AS parent_task_id) FROM task)"""
+
+UNCLEAN_CONSUMPTION = """unclean_consumption AS (SELECT * REPLACE (
+  CASE WHEN consumption_id % 13 = 0 THEN -item_id ELSE item_id END AS item_id) FROM consumption)"""
+
+
+def q_unclean_inventory_violations() -> str:
+    return (q_inventory_violations().replace(INVENTORY, INVENTORY + ",\n" + UNCLEAN_INVENTORY)
+            .replace("FROM inventory) WHERE", "FROM unclean_inventory) WHERE"))
+
+
+def q_unclean_task_violations() -> str:
+    return (q_task_violations().replace(TASK, TASK + ",\n" + UNCLEAN_TASK)
+            .replace("FROM task) WHERE", "FROM unclean_task) WHERE"))
+
+
+def q_unclean_fk_orphans() -> str:
+    return (q_fk_orphans().replace(TASK, TASK + ",\n" + UNCLEAN_TASK + ",\n" + UNCLEAN_CONSUMPTION)
+            .replace("FROM consumption c", "FROM unclean_consumption c").replace("FROM task ", "FROM unclean_task "))

@@ -79,3 +79,21 @@ ORACLE.update({
     "stream_ledger": OL.q_consume_ledger(),
     "stream_audit": O.q_audit_ops_by_type(),
 })
+
+ORACLE.update({
+    "consumption_default_period": O.q_consumption_default_period(),
+    "task_stats_default_period": O.q_task_stats_default_period(),
+    "stock_counts": O.q_stock_counts(),
+    "task_counts": O.q_task_counts(),
+    "task_list_json": OW.q_task_list_json(),
+    "expiring_json": OW.q_expiring_json(),
+    "unclean_inventory_violations": O.q_unclean_inventory_violations(),
+    "unclean_task_violations": O.q_unclean_task_violations(),
+    "unclean_fk_orphans": O.q_unclean_fk_orphans(),
+    "consume_unclean": OL.q_consume_unclean(),
+    "consume_facts": OL.q_consume_facts(),
+    "consume_audit": OL.q_consume_audit(),
+    "audit_inserts": OW.q_audit_inserts(),
+    "item_insert_applied": OW.q_item_insert_applied(),
+    "consume_applied_facts": OL.q_consume_facts(),
+})

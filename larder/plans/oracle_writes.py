@@ -3,7 +3,7 @@ merge, first-call-wins completion, respawn and audit rows, all in plain SQL."""
 
 from __future__ import annotations
 
-from .oracle import AUDIT, INVENTORY, TASK, iso_date, iso_ts, with_views
+from .oracle import AUDIT, BAND, EXPIRING_3, INVENTORY, TASK, iso_date, iso_ts, with_views
 
 INSERT_NOW = "TIMESTAMP '2024-01-15 10:00:00'"
 TASK_NOW = "TIMESTAMP '1998-12-31 00:00:00'"
@@ -95,7 +95,7 @@ def q_item_insert_rejects() -> str:
 
 UPDATE_ITEM_CMD = """ucmd AS (
  SELECT o_orderkey * 8 + 0 AS seq, 'user_' || CAST(o_custkey % 4 AS VARCHAR) AS actor,
-  CASE WHEN o_orderkey % 41 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS item_id,
+  CASE WHEN o_orderkey % 41 = 0 THEN -o_custkey ELSE o_custkey END AS item_id,
   CASE WHEN o_orderkey % 7 = 0 THEN 'Item ' || CAST(o_orderkey AS VARCHAR) END AS name,
   CASE WHEN o_orderkey % 97 = 0 THEN '-1' WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 50 AS VARCHAR) END AS quantity,
   CASE WHEN o_orderkey % 89 = 0 THEN '2024-13-01' WHEN o_orderkey % 5 = 2 THEN strftime(o_orderdate, '%Y-%m-%d') END
@@ -219,7 +219,7 @@ def q_task_insert_rejects() -> str:
 
 UPDATE_TASK_CMD = """ut AS (
  SELECT o_orderkey * 8 + 4 AS seq, 'user_a' AS actor,
-  CASE WHEN o_orderkey % 43 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS task_id,
+  CASE WHEN o_orderkey % 43 = 0 THEN -o_orderkey ELSE o_orderkey END AS task_id,
   CASE WHEN o_orderkey % 7 = 0 THEN 'Order ' || CAST(o_orderkey AS VARCHAR) || ' (rev)' END AS title,
   CAST(NULL AS VARCHAR) AS description,
   CASE WHEN o_orderkey % 5 = 1 THEN 'ALTA' WHEN o_orderkey % 53 = 0 THEN 'HIGH' END AS priority,
@@ -281,7 +281,7 @@ SELECT seq, CAST(task_id AS BIGINT) AS key, code IS NULL AS ok, COALESCE(code, '
 
 COMPLETE_CMD = """cc AS (
  SELECT o_orderkey * 8 + 1 AS seq, 'user_' || CAST(o_custkey % 3 AS VARCHAR) AS actor,
-  CASE WHEN o_orderkey % 41 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS task_id,
+  CASE WHEN o_orderkey % 41 = 0 THEN -o_orderkey ELSE o_orderkey END AS task_id,
   CASE WHEN o_orderkey % 2 = 0 THEN 'done' END AS note
  FROM orders
  UNION ALL
@@ -332,7 +332,7 @@ UNION ALL
 
 CANCEL_CMD = """xc AS (
  SELECT o_orderkey * 8 + 3 AS seq, 'user_c' AS actor,
-  CASE WHEN o_orderkey % 43 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS task_id,
+  CASE WHEN o_orderkey % 43 = 0 THEN -o_orderkey ELSE o_orderkey END AS task_id,
   CASE WHEN o_orderkey % 2 = 1 THEN 'duplicate' END AS reason
  FROM orders
  UNION ALL
@@ -415,3 +415,46 @@ def q_stock_list_json() -> str:
 SELECT item_id, CASE WHEN {alert} IS NULL THEN json_object({args})::VARCHAR
   ELSE json_object({args}, 'alert', {alert})::VARCHAR END AS json
 FROM inventory WHERE quantity > 0"""
+
+
+def q_task_list_json() -> str:
+    days = "datediff('day', DATE '1998-12-31', due_date)"
+    fields = [("id", "task_id"), ("titolo", "title"), ("descrizione", "description"), ("priorita", "priority"), ("stato", "status"),
+              ("data_scadenza", iso_date("due_date")), ("giorni_alla_scadenza", days), ("assegnatario", "assignee"),
+              ("task_ricorrente", "recurring"), ("frequenza_ricorrenza", "frequency"), ("creato_da", "created_by"),
+              ("data_creazione", iso_ts("created_at")), ("ultima_modifica", iso_ts("updated_at"))]
+    args = ", ".join(f"'{k}', {v}" for k, v in fields)
+    alert = f"CASE WHEN {days} < 0 THEN 'SCADUTO' WHEN {days} <= 1 THEN 'SCADENZA_IMMINENTE' END"
+    return with_views(TASK) + f"""
+SELECT task_id, CASE WHEN {alert} IS NULL THEN json_object({args})::VARCHAR
+  ELSE json_object({args}, 'alert', {alert})::VARCHAR END AS json FROM task"""
+
+
+def q_expiring_json() -> str:
+    fields = [("id", "item_id"), ("nome", "name"), ("quantita", "CAST(quantity AS DOUBLE)"), ("unita_misura", "unit"),
+              ("data_scadenza", iso_date("expiry_date")), ("giorni_alla_scadenza", "datediff('day', DATE '2024-01-15', expiry_date)"),
+              ("categoria", "category"), ("ubicazione", "location"), ("priorita", BAND)]
+    args = ", ".join(f"'{k}', {v}" for k, v in fields)
+    return with_views(INVENTORY) + f"""
+SELECT item_id, json_object({args})::VARCHAR AS json FROM inventory WHERE {EXPIRING_3}"""
+
+
+def q_audit_inserts() -> str:
+    items = W(INVENTORY, INSERT_ITEM_CMD, _insert_items_checked()) + f"""
+SELECT seq * 2 AS n, 'INSERIMENTO_ALIMENTO' AS op_type, 'alimenti' AS table_name, new_id AS record_id,
+ json_object('nome', name, 'quantita', CAST(q3 AS DOUBLE), 'categoria', category, 'ubicazione', location)::VARCHAR AS details,
+ COALESCE(actor, 'unknown') AS actor, {iso_ts(INSERT_NOW)} AS ts FROM chk WHERE code IS NULL"""
+    tasks = W(TASK, INSERT_TASK_CMD, _insert_tasks_checked()) + f"""
+SELECT seq * 2 + 1 AS n, 'INSERIMENTO_TASK' AS op_type, 'task' AS table_name, new_id AS record_id,
+ json_object('titolo', title, 'priorita', COALESCE(priority, 'MEDIA'))::VARCHAR AS details,
+ COALESCE(actor, 'unknown') AS actor, {iso_ts(TASK_NOW)} AS ts FROM chk WHERE code IS NULL"""
+    return f"""SELECT (SELECT max(event_id) FROM events) + n AS log_id, * EXCLUDE n
+FROM (SELECT * FROM ({items}) UNION ALL SELECT * FROM ({tasks}))"""
+
+
+def q_item_insert_applied() -> str:
+    """The whole stock after the insert job."""
+    return f"""SELECT * FROM ({q_item_insert()}) UNION ALL SELECT * FROM ({W(INVENTORY)}
+SELECT item_id, name, CAST(quantity AS DOUBLE) AS quantity, unit, {iso_date('expiry_date')} AS expiry_date,
+  {iso_date('opened_date')} AS opened_date, category, location, CAST(price AS DOUBLE) AS price, supplier, lot,
+  {iso_ts('created_at')} AS created_at, {iso_ts('updated_at')} AS updated_at, updated_by FROM inventory)"""

@@ -4,7 +4,7 @@ Every row of the source table becomes one call; key arithmetic only plants
 faults and picks which optional fields a call sets, it never drops rows. All
 derivations over ``orders`` share one call-order space: ``seq = o_orderkey * 8 +
 j`` with ``j`` naming the kind of call, so their audit rows can be appended
-together.
+together. Ids that must not exist are negative.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from .adapters import category_of, location_of, unit_of
 
 INSERT_NOW = dt.datetime(2024, 1, 15, 10, 0, 0)
 TASK_NOW = dt.datetime(1998, 12, 31, 0, 0, 0)
-MISSING_OFFSET = 1_000_000_000
 
 # j values of the orders-derived call kinds
 J_ITEM_UPDATE, J_COMPLETE_A, J_COMPLETE_B, J_CANCEL_A, J_UPDATE_A, J_UPDATE_B, J_CANCEL_B = 0, 1, 2, 3, 4, 5, 6
@@ -65,7 +64,7 @@ def update_items_from_orders(orders: DataFrame) -> DataFrame:
     return orders.select(
         (ok * 8 + J_ITEM_UPDATE).cast("bigint").alias("seq"),
         F.concat(F.lit("user_"), _s(_m(c, 4))).alias("actor"),
-        F.when(_m(ok, 41) == 0, c + MISSING_OFFSET).otherwise(c).cast("bigint").alias("item_id"),
+        F.when(_m(ok, 41) == 0, -c).otherwise(c).cast("bigint").alias("item_id"),
         F.when(_m(ok, 7) == 0, F.concat(F.lit("Item "), _s(ok))).alias("name"),
         F.when(_m(ok, 97) == 0, "-1").when(_m(ok, 3) == 0, _s(_m(ok, 50))).alias("quantity"),
         F.when(_m(ok, 89) == 0, "2024-13-01").when(_m(ok, 5) == 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -107,7 +106,7 @@ def update_tasks_from_orders(orders: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     a = orders.select(
         (ok * 8 + J_UPDATE_A).cast("bigint").alias("seq"), F.lit("user_a").alias("actor"),
-        F.when(_m(ok, 43) == 0, ok + MISSING_OFFSET).otherwise(ok).cast("bigint").alias("task_id"),
+        F.when(_m(ok, 43) == 0, -ok).otherwise(ok).cast("bigint").alias("task_id"),
         F.when(_m(ok, 7) == 0, F.concat(F.lit("Order "), _s(ok), F.lit(" (rev)"))).alias("title"),
         none.alias("description"),
         F.when(_m(ok, 5) == 1, "ALTA").when(_m(ok, 53) == 0, "HIGH").alias("priority"),
@@ -134,7 +133,7 @@ def complete_tasks_from_orders(orders: DataFrame) -> DataFrame:
     a = orders.select(
         (ok * 8 + J_COMPLETE_A).cast("bigint").alias("seq"),
         F.concat(F.lit("user_"), _s(_m("o_custkey", 3))).alias("actor"),
-        F.when(_m(ok, 41) == 0, ok + MISSING_OFFSET).otherwise(ok).cast("bigint").alias("task_id"),
+        F.when(_m(ok, 41) == 0, -ok).otherwise(ok).cast("bigint").alias("task_id"),
         F.when(_m(ok, 2) == 0, "done").alias("note"),
     )
     b = orders.select(
@@ -149,7 +148,7 @@ def cancel_tasks_from_orders(orders: DataFrame) -> DataFrame:
     ok = F.col("o_orderkey")
     a = orders.select(
         (ok * 8 + J_CANCEL_A).cast("bigint").alias("seq"), F.lit("user_c").alias("actor"),
-        F.when(_m(ok, 43) == 0, ok + MISSING_OFFSET).otherwise(ok).cast("bigint").alias("task_id"),
+        F.when(_m(ok, 43) == 0, -ok).otherwise(ok).cast("bigint").alias("task_id"),
         F.when(_m(ok, 2) == 1, "duplicate").alias("reason"),
     )
     b = orders.select(
