@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import decontaminate, language, near_dups, packing, pii
 from larder.llm.columns import table
-from larder.llm.shared import folder, stored
+from larder.llm.shared import folder
 
 #: No SQL expresses the models, the redaction and the packing; tests hold the stages
 #: against brute-force versions instead.
@@ -28,15 +28,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id is the group's least;
-    of rows repeated under that id, one."""
-    numbered = stored(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "doc_id", "text")
-                      .withColumn("row_no", F.monotonically_increasing_id()), "numbered")
-    found = near_dups.near_duplicates(numbered, carry=["row_no", "doc_id"]).filter("kept or component_id is null")
-    # rows without words are in no group; all others keep one row for each component
-    alone = found.filter("n_shingles = 0 or component_id is null").select("row_no")
-    first = found.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min("row_no").alias("row_no"))
-    return numbered.join(alone.union(first.select("row_no")), "row_no", "left_semi").select("row.*")
+    """One document of each near-duplicate group: the one whose id is the group's least.
+    Rows equal in id and text count once; of several texts under a group's least id the
+    one of least hash stays; rows without words, or in a group without ids, all stay."""
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"),
+                       F.xxhash64("text").alias("t"), "text")
+    found = near_dups.near_duplicates(rows, id_column="i", carry=["i", "t"]).filter("kept")
+    alone = found.filter("n_shingles = 0 or component_id is null").select("i", "t")
+    first = (found.filter("n_shingles > 0 and component_id is not null").groupBy(F.col("component_id").alias("i"))
+             .agg(F.min("t").alias("t")))
+    stay = alone.union(first).distinct().select(F.col("i").alias("si"), F.col("t").alias("st"))
+    once = rows.drop("text").dropDuplicates(["i", "t"])
+    return once.join(stay, once["i"].eqNullSafe(stay["si"]) & (once["t"] == stay["st"]), "left_semi").select("row.*")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

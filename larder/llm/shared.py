@@ -3,27 +3,7 @@ read again after another one is lost."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from larder.session import scratch_path as folder
+from larder.session import stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``. Only a session that has no such
-    setting and runs in one process (tests) gets a temporary folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larder-llm-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, and fixes row
-    order and partitions for whatever numbers rows."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "stored"]
