@@ -115,20 +115,24 @@ def plain(c: str) -> str | None:
 #: Characters that a rewrite can start from: beyond Latin, or invisible or odd spaces.
 STRANGE = re.compile("[\u00a0\u00ad\u0250-\U0010ffff]")
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
-AT = re.compile(rf"(?<!\s)\s*+{OPEN}\s*(?:at|@|ät|arroba|arobase)\s*{SHUT}\s*", re.I)
-DOT = re.compile(rf"(?<!\s)\s*+{OPEN}\s*(?:dot|\.|punkt|point|punto)\s*{SHUT}\s*", re.I)
+AT = re.compile(rf"(?<!\s)\s*+{OPEN}\s*(?:at|@|ät|arroba|arobase)\s*{SHUT}\s*|&(?:#0*64|#x0*40|commat);|(?<=[A-Za-z0-9])%40(?=[A-Za-z0-9])", re.I)
+DOT = re.compile(rf"(?<!\s)\s*+{OPEN}\s*(?:dot|\.|punkt|point|punto)\s*{SHUT}\s*|&(?:#0*46|#x0*2e|period);", re.I)
 #: A whole address in words: `name at host dot tld`, each part on its own; at most eight
 #: more dotted parts on either side.
 SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]++){0,8}?"
                     r"(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]++(?:(?:\s+dot\s+|\s*\.\s*)[A-Za-z0-9-]++){0,8}?"
                     r"(?:\s+dot\s+|\s*\.\s*)[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.I)
 SPOKEN_AT, SPOKEN_DOT = re.compile(r"\s+at\s+|\s*@\s*", re.I), re.compile(r"\s+dot\s+|\s*\.\s*", re.I)
-#: A run of at least four spelled or plain digits with `dot`, `dash`, `plus` between.
-NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?(?:\b(?:{WORD_DIGIT})\b|[0-9])(?:[\s.,-]*(?:(?:dot|point|dash|minus)[\s.,-]*)?(?:\b(?:{WORD_DIGIT})\b|[0-9]))+"
-                    r"(?![A-Za-z0-9])", re.I)
-NUMBER_PART = re.compile(rf"(plus)\s+|[\s,]*\b(dot|point)\b[\s,]*|[\s,]*\b(?:dash|minus)\b[\s,]*|\b({WORD_DIGIT})\b|([0-9.])|(-)|[\s,]+", re.I)
-SPELLED_ANY = re.compile(rf"\b(?:{WORD_DIGIT})\b[\s,.-]+(?:(?:dot|point|dash|minus)\s+)?(?:[0-9]|\b(?:{WORD_DIGIT})\b)"
-                         rf"|[0-9][\s,.-]+(?:(?:dot|point|dash|minus)\s+)?\b(?:{WORD_DIGIT})\b|\bplus\s+[0-9]|[0-9]\s+(?:dot|point)\s+[0-9]", re.I)
+#: A run of spelled or plain digits with `dot`, `dash`, `plus`, `double` and `triple`.
+DIGIT = rf"(?:(?:double|triple)\s+)?(?:\b(?:{WORD_DIGIT})\b|[0-9])"
+BETWEEN = r"[\s.,-]*(?:(?:dot|point|dash|minus)[\s.,-]*)?"
+NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{DIGIT}(?:{BETWEEN}{DIGIT})+(?![A-Za-z0-9])", re.I)
+NUMBER_PART = re.compile(rf"(plus)\s+|[\s,]*\b(dot|point)\b[\s,]*|[\s,]*\b(?:dash|minus)\b[\s,]*"
+                         rf"|(?:(double|triple)\s+)?(?:\b({WORD_DIGIT})\b|([0-9]))|([.-])|[\s,]+", re.I)
+TIMES = {"double": 2, "triple": 3}
+SPELLED_ANY = re.compile(rf"\b(?:{WORD_DIGIT})\b[\s,.-]+(?:(?:dot|point|dash|minus|double|triple)\s+)?(?:[0-9]|\b(?:{WORD_DIGIT})\b)"
+                         rf"|[0-9][\s,.-]+(?:(?:dot|point|dash|minus|double|triple)\s+)?\b(?:{WORD_DIGIT})\b|\bplus\s+[0-9]|[0-9]\s+(?:dot|point)\s+[0-9]"
+                         r"|\b(?:double|triple)\s+[0-9]", re.I)
 
 
 class Rewritten:
@@ -192,9 +196,12 @@ def _digits(r: Rewritten) -> Rewritten:
         whole = m.group()
         if not re.search(r"[A-Za-z]", whole):
             continue
-        parts = [(x.start(), x.end(), "+" if x.group(1) else "." if x.group(2) else SPELLED[x.group(3).lower()] if x.group(3)
-                  else x.group(4) or x.group(5) or "") for x in NUMBER_PART.finditer(whole)]
-        edits += [(m.start() + lo, m.start() + hi, new) for lo, hi, new in parts if whole[lo:hi] != new]
+        for x in NUMBER_PART.finditer(whole):
+            plus, dot, times, word, digit, mark = x.groups()
+            digit = SPELLED[word.lower()] if word else digit
+            new = "+" if plus else "." if dot else digit * TIMES.get((times or "").lower(), 1) if digit else mark or ""
+            if x.group() != new:
+                edits.append((m.start() + x.start(), m.start() + x.end(), new))
     return r.replaced(edits)
 
 
@@ -206,7 +213,7 @@ def hints(text: str) -> tuple[bool, bool, bool]:
     except UnicodeEncodeError:
         strange = True
     low = text.lower()
-    at_dot = "@" in low or " dot " in low or "[" in low or "(" in low or "{" in low or "<" in low
+    at_dot = "@" in low or " dot " in low or "[" in low or "(" in low or "{" in low or "<" in low or "%40" in low or "&#" in low or "&commat" in low
     return strange, at_dot, bool(SPELLED_ANY.search(text))
 
 

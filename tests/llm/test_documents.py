@@ -175,7 +175,8 @@ def test_base_spans_on_documents(spark, smoke_dir):
     ("ｂｏｂ＠ｅｘ．ｃｏｍ", ["email:0:10"]),
     ("call plus four four two zero seven nine four six zero nine five eight ok", ["phone:5:69"]),
     ("four one one one one one one one one one one one one one one one", ["card:0:64"]),
-    ("1 9 2 dot one six eight dot 0 dot 1", ["ip:0:35"]),
+    ("1 9 2 dot one six eight dot 0 dot 1", ["ip:0:35"]), ("bob&#64;example&#46;com", ["email:0:23"]),
+    ("bob%40example.com", ["email:0:17"]), ("call plus four nine double seven one triple two eight six five", ["phone:5:62"]),
     ("we met at noon. Then (at) home, at last. The dot", []), ("one two three four five", []), ("a @ b", [])])
 def test_disguises(text, want):
     assert pii.describe(text)[5].split(",") == (want or [""])
