@@ -119,7 +119,7 @@ def opening_balances(inventory: DataFrame) -> DataFrame:
     """(item_id, _open_k): one row per item. Null or negative stock counts as 0, of
     several rows with one id the least counts."""
     k = F.greatest(F.coalesce(_k(F.col("quantity")), F.lit(0)), F.lit(0))
-    return inventory.select("item_id", k.alias("_open_k")).groupBy("item_id").agg(F.min("_open_k").alias("_open_k"))
+    return inventory.filter(F.col("item_id").isNotNull()).select("item_id", k.alias("_open_k")).groupBy("item_id").agg(F.min("_open_k").alias("_open_k"))
 
 
 def settle(segment: np.ndarray, opening: np.ndarray, q: np.ndarray, force: np.ndarray,
@@ -156,26 +156,26 @@ def settle(segment: np.ndarray, opening: np.ndarray, q: np.ndarray, force: np.nd
 def _settle_batches(batches):
     """Settle one partition, sorted by (item, opening row first, call order). The last
     item's balance is carried to the next Arrow batch; opening rows are dropped."""
-    item = object()
-    balance = None
+    item = balance = None
     for batch in batches:
-        ids = batch.column("item_id").to_pylist()
+        if not batch.num_rows:
+            continue
+        ids = batch.column("item_id").to_numpy()
         is_open = batch.column("_kind").to_numpy() == 0
-        opens = batch.column("_open_k").to_pylist()
-        n = len(ids)
-        new = np.fromiter((i == 0 or ids[i] != ids[i - 1] for i in range(n)), bool, n)
-        segment = np.cumsum(new) - 1
-        starts = np.flatnonzero(new).tolist()
-        known = [opens[i] if is_open[i] else balance if i == 0 and ids[0] == item else None for i in starts]
+        new = np.r_[True, ids[1:] != ids[:-1]] | is_open
+        segment, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        opening = batch.column("_open_k").fill_null(0).to_numpy()[starts]
+        known = is_open[starts]
+        if not known[0] and balance is not None and ids[0] == item:
+            opening, known = np.r_[balance, opening[1:]], np.r_[True, known[1:]]
         keep = np.flatnonzero(~is_open)
         part = batch.take(pa.array(keep))
         before, after = settle(
-            segment[keep], np.array([0 if b is None else b for b in known], np.int64),
-            part.column("_q_k").fill_null(0).to_numpy(), part.column("_force").to_numpy(zero_copy_only=False),
+            segment[keep], opening, part.column("_q_k").fill_null(0).to_numpy(), part.column("_force").to_numpy(zero_copy_only=False),
             part.column("_pre").is_null().to_numpy(zero_copy_only=False) & part.column("_reason_ok").to_numpy(zero_copy_only=False))
-        missing = np.array([b is None for b in known], bool)[segment[keep]]
-        item, balance = ids[-1], known[-1]
-        if len(keep) and segment[keep[-1]] == segment[-1] and balance is not None:
+        missing = ~known[segment[keep]]
+        item, balance = ids[-1], int(opening[-1]) if known[-1] else None
+        if balance is not None and not is_open[-1]:
             balance = int(after[-1])
         for name, values in (("_before_k", before), ("_after_k", after)):
             part = part.append_column(name, pa.array(values, pa.int64(), mask=missing))
