@@ -8,7 +8,7 @@ row. In a bucket every class gets one edge to one centre, so a bucket of k class
 k - 1 candidate pairs; pairs whose sketches agree too little are left out and the rest
 is confirmed on the full sets. Buckets that still hold several components are searched
 once more: each class outside the bucket's largest component is compared with every class
-of another component, inside tasks of bounded size that return only links. So no link
+of another component (the centre, which has met them all, apart), inside tasks of bounded size that return only links. So no link
 between two texts that share a bucket is lost, and no pair rows beyond the stars exist.
 (Two texts at the threshold share none of the 51 buckets with a probability of about one
 in a million.)
@@ -43,6 +43,8 @@ ROWS = 5
 BANDS = SLOTS // ROWS
 #: Sketches of a pair at the threshold agree in 75 % of the slots, give or take 2.7 %.
 LEAST_AGREEMENT = 0.62
+#: Bits of the sieve that keeps unwanted rows out of a shuffle.
+SIEVE_BITS = 1 << 25
 #: Most classes of a bucket that one task compares with each other; larger buckets are cut
 #: into blocks, and every pair of blocks is a task.
 BLOCK = 1024
@@ -114,22 +116,31 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select(F.posexplode(keys).alias("band", "bucket"), "c")
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, band, c, weight) of the buckets with several classes. A class's weight is the
-    sum of the sizes of its buckets: the text that others were derived from agrees with
-    each of them more than they do with each other, so it weighs most."""
+def spokes(classes: DataFrame) -> DataFrame:
+    """(bucket, band, c, centre): in each bucket with several classes, every class but the
+    centre. The centre is the bucket's weightiest class: a class's weight is the sum of the
+    sizes of its buckets, and the text that others were derived from agrees with each of
+    them more than they do with each other, so it weighs most."""
     members = buckets(classes)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
     met = stored(members.join(sizes, "bucket"), "shared-buckets")
     weights = met.groupBy("c").agg(F.sum("k").alias("weight"))
-    return stored(met.drop("k").join(weights, "c"), "members")
+    weighed = met.drop("k").join(weights, "c")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "c")).alias("m")).select("bucket", F.col("m.c").alias("centre"))
+    return stored(met.drop("k").join(centres, "bucket").filter("c <> centre"), "spokes")
 
 
-def first_stars(members: DataFrame) -> DataFrame:
-    """Candidate pairs: every class of a bucket with the bucket's weightiest class."""
-    centres = members.groupBy("bucket").agg(F.max(F.struct("weight", "c")).alias("m")).select("bucket", F.col("m.c").alias("centre"))
-    return (members.join(centres, "bucket").filter("c <> centre")
-            .select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct())
+def sieved(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is in ``wanted``, and a few others: a bitmap of
+    ``SIEVE_BITS`` bits over key hashes (4 MB, whatever the tables' sizes) is broadcast, so
+    that rows which an exact join will not need are not shuffled for it."""
+    hashed = lambda x: x.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS)) + 1)
+    bitmaps = (hashed(wanted).groupBy(F.bitmap_bucket_number("__h").alias("__b"))
+               .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__h")).alias("__bits")))
+    at = F.bitmap_bit_position("__h")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = hashed(df).withColumn("__b", F.bitmap_bucket_number("__h")).join(F.broadcast(bitmaps), "__b")
+    return joined.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -145,10 +156,16 @@ def agreeing(a: Column, b: Column) -> Column:
     return alike(a, b)
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t, text): one copy of each wanted text."""
+    # an inner join: the optimizer would push a semi-join below the sieve
+    return sieved(docs, "t", wanted).join(wanted.distinct(), "t").groupBy("t").agg(F.first("text").alias("text"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are similar enough."""
-    spark = pairs.sparkSession
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("t").alias(f"t{x}"))
+    ends = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
+    side = lambda x: sieved(classes, "c", ends).select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("t").alias(f"t{x}"))
     # sizes alone rule out pairs whose smaller set is below the threshold's share
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized).filter(agreeing(F.col("sa"), F.col("sb")))
@@ -156,8 +173,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     if near.isEmpty():
         return near.select("a", "b")
     wanted = near.select(F.col("ta").alias("t")).union(near.select(F.col("tb").alias("t"))).distinct()
-    texts = docs.join(wanted, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    texts = stored(texts, "near-texts")
+    texts = stored(texts_of(docs, wanted), "near-texts")
     both = (near.join(texts.select(F.col("t").alias("tb"), F.col("text").alias("xb")), "tb")
             .join(texts.select(F.col("t").alias("ta"), F.col("text").alias("xa")), "ta")
             .select("a", "b", "ta", "xa", "xb"))
@@ -175,7 +191,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))],
                                              names=["a", "b"])
 
-    return stored(both.mapInArrow(run, "a binary, b binary"), "links")
+    return stored(both.mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,10 +211,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    return classes.select("c").join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"))
-
-
 def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id", carry: Sequence[str] | None = None,
                     percent: int = PERCENT) -> DataFrame:
     """``df``'s ``carry`` columns with ``n_shingles``, ``component_id`` (the least id that
@@ -208,22 +220,23 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{id_column}`").alias("__doc"),
                        F.xxhash64(content).alias("__t"), content.alias("__x"))
     prints = stored(map_text(source, "__x", FINGERPRINT, lambda: fingerprint, carry=source.columns[:-1]), "fingerprints")
-    classes = stored(prints.filter("n_shingles > 0").groupBy(F.col("__set").alias("c"))
-                     .agg(F.min("__doc").alias("doc"), F.min("__t").alias("t"), F.first("n_shingles").alias("n"),
-                          F.first("__sketch").alias("sketch")), "classes")
+    classes = prints.filter("n_shingles > 0").groupBy("__set").agg(
+        F.min("__doc").alias("doc"), F.min("__t").alias("t"), F.first("n_shingles").alias("n"), F.first("__sketch").alias("sketch"))
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     docs = df.select(F.xxhash64(content).alias("t"), content.alias("text"))
 
-    members = shared_buckets(classes)
-    pairs = stored(first_stars(members), "pairs")
+    members = spokes(classes)
+    # candidate pairs: every class of a bucket with the bucket's centre
+    pairs = stored(members.select(F.least("c", "centre").alias("a"), F.greatest("c", "centre").alias("b")).distinct(), "pairs")
     links = confirmed(pairs, classes, docs, percent)
     labels = components(links)
     more = across(members, labels, classes, docs, percent)
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    groups = labelled(classes, labels).join(classes.select("c", "doc"), "c")
+    groups = classes.select("c", "doc", "__set").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = groups.groupBy("label").agg(F.min("doc").alias("component"))
-    final = groups.join(least, "label").select(F.col("c").alias("__set"), "component")
+    final = groups.join(least, "label").select("__set", "component")
     out = prints.join(final, "__set", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("__doc"))
     return out.select(*[F.col(f"`{c}`") for c in names], "n_shingles", component.alias("component_id"),
@@ -237,17 +250,17 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Data
     split = sizes.groupBy("bucket").agg(F.sum("k").alias("size"), F.count("*").alias("n"), F.max(F.struct("k", "label")).alias("m"))
     split = split.filter("n > 1").select("bucket", "size", F.col("m.label").alias("most"))
     apart = stored(marked.join(split, "bucket"), "apart")
-    wanted = apart.select("c").distinct().join(classes.select("c", "t", "sketch"), "c")
+    met = apart.select("c").distinct()
+    wanted = sieved(classes, "c", met).select("c", "t", "sketch").join(met, "c")
     wanted = stored(wanted, "apart-classes")
-    texts = docs.join(wanted.select("t"), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    full = wanted.join(texts, "t").drop("t")
+    full = wanted.join(texts_of(docs, wanted.select("t")), "t").drop("t")
 
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = apart.withColumn("block", F.pmod(F.xxhash64("c"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "c",
                        "label", (F.col("label") != F.col("most")).alias("query"), "block")
-    pairs = rows.join(full, "c").groupBy("bucket", "i", "j").applyInArrow(lambda t: compared(t, percent), "a binary, b binary")
+    pairs = rows.join(full, "c").groupBy("bucket", "i", "j").applyInArrow(lambda t: compared(t, percent), "a bigint, b bigint")
     return stored(pairs, "links")
 
 
@@ -281,4 +294,4 @@ def compared(group: pa.Table, percent: int) -> pa.Table:
             both = len(np.intersect1d(own, hashes[ends[m] - counts[m]:ends[m]], assume_unique=True))
             if 100 * both >= percent * (counts[k] + counts[m] - both):
                 found.append((names[k], names[m]))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
