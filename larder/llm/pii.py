@@ -94,6 +94,12 @@ SPELLED = dict(zip("zero oh one two three four five six seven eight nine".split(
 WORD_DIGIT = "|".join(SPELLED)
 
 
+def lower(word: str) -> str:
+    """A matched word in plain lower case: without regard to case, i and s also match their
+    dotless, dotted and long forms."""
+    return word.lower().replace("\u0307", "").replace("ı", "i").replace("ſ", "s")
+
+
 def plain(c: str) -> str | None:
     """What a single character stands for; None to leave it."""
     if c in INVISIBLE:
@@ -130,9 +136,12 @@ NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{DIGIT}(?:{BETWEEN}{DIGIT})+(
 NUMBER_PART = re.compile(rf"(plus)\s+|[\s,]*\b(dot|point)\b[\s,]*|[\s,]*\b(?:dash|minus)\b[\s,]*"
                          rf"|(?:(double|triple)\s+)?(?:\b({WORD_DIGIT})\b|([0-9]))|([.-])|[\s,]+", re.I)
 TIMES = {"double": 2, "triple": 3}
-SPELLED_ANY = re.compile(rf"\b(?:{WORD_DIGIT})\b[\s,.-]+(?:(?:dot|point|dash|minus|double|triple)\s+)?(?:[0-9]|\b(?:{WORD_DIGIT})\b)"
-                         rf"|[0-9][\s,.-]+(?:(?:dot|point|dash|minus|double|triple)\s+)?\b(?:{WORD_DIGIT})\b|\bplus\s+[0-9]|[0-9]\s+(?:dot|point)\s+[0-9]"
-                         r"|\b(?:double|triple)\s+[0-9]", re.I)
+#: What a rewrite of NUMBER needs: two digits with a word among or before them. Built from
+#: the same parts, so that it holds wherever NUMBER matches something to rewrite.
+SPELLED_ANY = re.compile(rf"\b(?:{WORD_DIGIT})\b{BETWEEN}(?:\b(?:{WORD_DIGIT})\b|[0-9])|[0-9]{BETWEEN}\b(?:{WORD_DIGIT})\b"
+                         rf"|[0-9][\s.,-]*(?:dot|point|dash|minus)[\s.,-]*[0-9]|(?:plus|double|triple)\s+{DIGIT}", re.I)
+#: What a rewrite of SPOKEN needs if there is no @: both words.
+AT_WORD, DOT_WORD = re.compile(r"\sat\s", re.I), re.compile(r"\sdot\s", re.I)
 
 
 class Rewritten:
@@ -198,22 +207,24 @@ def _digits(r: Rewritten) -> Rewritten:
             continue
         for x in NUMBER_PART.finditer(whole):
             plus, dot, times, word, digit, mark = x.groups()
-            digit = SPELLED[word.lower()] if word else digit
-            new = "+" if plus else "." if dot else digit * TIMES.get((times or "").lower(), 1) if digit else mark or ""
+            digit = SPELLED[lower(word)] if word else digit
+            new = "+" if plus else "." if dot else digit * TIMES.get(lower(times or ""), 1) if digit else mark or ""
             if x.group() != new:
                 edits.append((m.start() + x.start(), m.start() + x.end(), new))
     return r.replaced(edits)
 
 
 def hints(text: str) -> tuple[bool, bool, bool]:
-    """Necessary conditions of the three transducers."""
+    """Necessary conditions of the three transducers: where one is false, its transducer
+    rewrites nothing."""
     try:
         text.encode("latin-1")
         strange = "\u00a0" in text or "\u00ad" in text
     except UnicodeEncodeError:
         strange = True
     low = text.lower()
-    at_dot = "@" in low or " dot " in low or "[" in low or "(" in low or "{" in low or "<" in low or "%40" in low or "&#" in low or "&commat" in low
+    at_dot = (any(x in low for x in ("@", "[", "(", "{", "<", "%40", "&#", "&commat", "&period"))
+              or "dot" in low and bool(DOT_WORD.search(text)) and bool(AT_WORD.search(text)))
     return strange, at_dot, bool(SPELLED_ANY.search(text))
 
 

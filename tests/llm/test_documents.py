@@ -182,6 +182,32 @@ def test_disguises(text, want):
     assert pii.describe(text)[5].split(",") == (want or [""])
 
 
+@pytest.mark.parametrize("text, want", [
+    ("jane at example dot\ncom", "email:0:23"), ("jane at example\tdot com", "email:0:23"), ("a dot b at example.com", "email:0:22"),
+    ("4111 dash 1111 dash 1111 dash 1111", "card:0:34"), ("+49 dash 30 dash 1234567", "phone:0:24"),
+    ("10&period;1&period;2&period;3", "ip:0:29"), ("call plus\nfour 4 2 0 7 9 4 6", "phone:5:28"),
+    ("plus fıve ſix 2 0 7 9 4 6", "phone:0:25")])
+def test_disguises_that_need_no_other_hint(text, want):
+    assert want in pii.describe(text)[5].split(",")
+
+
+DISGUISES = ["4111", "4", "0", "30", "one", "Two", "oh", "dash", "minus", "dot", "point", "plus", "double", "Triple", "at", "jane", "com",
+             "example", "+", "-", ".", ",", " ", "  ", "\n", "\t", "_", "é", "@", "[", "]", "(", ")", "&period;", "&#64;", "%40", "\u00a0", "а", "ſix", "nİne"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(DISGUISES) | st.sampled_from([" ", " dash ", " at ", " dot ", "\ndot "]), max_size=14))
+def test_hints_change_no_span(parts):
+    text = "".join(parts)
+    hints, base = pii.hints, pii.detect(text)
+    found = pii.added(text, base)
+    pii.hints = lambda _: (True, True, True)
+    try:
+        assert pii.added(text, base) == found
+    finally:
+        pii.hints = hints
+
+
 def test_pii_edges(edge_docs, no_docs):
     out = pii.find_pii(edge_docs)
     assert out.count() == edge_docs.count() and pii.find_pii(no_docs).count() == 0
