@@ -232,6 +232,21 @@ def test_ids_are_those_of_the_tokenizers_library(spark, smoke_dir):
         assert encode(text) == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_piece_ids_are_those_of_the_unmodified_tokenizer(spark):
+    from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
+    texts = ["end <|endoftext|> of text", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|EndOfText|> <|endoftext", "no such string",
+             "<|endoftext|>" + "x" * 600, " " * 600 + "<|endoftext|> 你好"]
+    assert 50256 in exact.encode(texts[0], add_special_tokens=False).ids
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pieces(docs, carry=["doc_id"], with_ids=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = [*exact.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert list(r.ids) == ids and r.doc_tokens == r.length == len(ids)
+        assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=40))
 def test_first_fit_matches_a_plain_scan(lengths):
