@@ -39,13 +39,32 @@ CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "caption"}
 ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ITEM_SCOPE = frozenset("ul ol menu dl table tbody thead tfoot article section div body".split())
 
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|adslot|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|"
-    r"\w*footer|foot|\w*header|masthead|topbar|toolbar|cookie\w*|consent\w*|gdpr|notices?|alert\w*|warning|disclaimer|popup\w*|modal\w*|"
-    r"overlay|newsletter\w*|subscri\w*|signup|login|comment\w*|respond|replies|reply|disqus\w*|discussion|shar(?:e|ing)|social\w*|"
-    r"related\w*|recommend\w*|paginat\w*|pager|widgets?|skip|search\w*|hidden|outbrain|taboola|shoutbox|feedback)(?:$|[\s_-])", re.I)
+def names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+# fixed values: whole words of ids and classes
+ADVERT = r"ads?|adv|advert\w*|adbox|adslot|sponsors?|sponsored|promos?|promobox|promotions?|promotional"
+COMMENTS = r"comments?|comment(?:s?list|form|box|area|body|text|section)|respond|replies|reply|disqus\w*"
+#: Left out whatever they hold.
+UNWANTED = names(
+    rf"{ADVERT}|{COMMENTS}|sidebar\w*|side|aside|\w*footer|foot|cookie\w*|consent\w*|gdpr|popup\w*|modal|"
+    r"overlay|newsletter\w*|signup|login|hidden|outbrain|taboola|shoutbox")
+#: Left out whatever they hold if a class says so; an id can be the slug of a heading.
+NOTICE = names(r"notices?|alerts?|warning|disclaimer|discussion|feedback")
+#: Left out unless they hold paragraphs (see ``doubts``).
+DOUBTFUL = names(
+    r"banners?|banner(?:ads?|box|wrap)|nav|navs|navi|navbar|navigation|nav(?:bars?|menu|list|links?|box|wrap|wrapper|container|item)|menus?|menu(?:bar|items?|list|links?|wrap|wrapper|container)|"
+    r"breadcrumbs?|\w*header|masthead|topbar|toolbar|subscri(?:be|bers?|ptions?)|shar(?:e|ing)|share(?:bar|box|buttons?|links?)|"
+    r"socials?|social(?:media|links?|icons?|bar|share)|related|related(?:posts?|articles?|links?|content|stories)|"
+    r"recommend(?:ed|ations?)|paginat(?:ion|e|or)|pager|widgets?|skip|search|search(?:box|form|bar|results?)")
 # an article element is unwanted only as a comment, teaser or advert
-NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comment\w*|repl(?:y|ies)|related|teaser|promo\w*|ads?|advert\w*|sponsor\w*)(?:$|[\s_-])", re.I)
+NO_ARTICLE = names(rf"{ADVERT}|comments?|repl(?:y|ies)|related|teaser")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Inside an article or main element, ids of these are slugs of headings or anchors. Only a
+#: section may still be named for reader comments as a whole.
+SLUGGED = HEADINGS | frozenset("p a span section dt dd li".split())
+READERS = re.compile(r"comments|comments?[_-](?:list|form|area|section)|respond|replies|disqus[_-]thread", re.I)
 LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|with|has|without)[_-]\S+", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WANTED = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
@@ -59,17 +78,21 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|\Z))", re.I)
 SPACE = re.compile(r"\s+")
 
+#: Points and link density at which paragraphs overrule a doubtful name.
+OVERRULE_POINTS, OVERRULE_DENSITY = 10.0, 0.25
 SIBLING_SHARE = 0.2
 SIBLINGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 MENU_LINKS, MENU_DENSITY = 3, 0.6
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "bonus", "score", "length", "linked", "links", "order")
+    __slots__ = ("tag", "parent", "children", "bad", "bonus", "score", "length", "linked", "links", "order", "doubt", "inside")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool, bonus: float, order: int):
         self.tag, self.parent, self.bad, self.bonus, self.order = tag, parent, bad, bonus, order
         self.children: list = []
+        self.doubt = False
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
         self.score = 0.0
         self.length = self.linked = self.links = 0
 
@@ -77,6 +100,7 @@ class Node:
 def parse(source: str) -> Node:
     """The element tree of a page. Text stays raw between elements; the subtrees of
     unwanted elements are marked."""
+    doubtful = False
     root = node = Node("#root", None, False, 0, 0)
     order, at = 0, 0
     for m in TOKEN.finditer(source):
@@ -100,13 +124,17 @@ def parse(source: str) -> Node:
         if tag in VOID:
             continue
         order += 1
-        bad, bonus = judge(tag, m.group(4))
+        bad, bonus, doubt, role = judge(tag, m.group(4), node.inside)
         child = Node(tag, node, bad, bonus, order)
+        child.doubt, child.inside = doubt and not bad, child.inside or role
+        doubtful |= child.doubt
         node.children.append(child)
         if not m.group(4).rstrip().endswith("/") or tag in BLOCK:
             node = child
     if at < len(source):
         node.children.append(source[at:])
+    if doubtful:
+        doubts(root)
     return root
 
 
@@ -135,9 +163,11 @@ def close_in(node: Node, tags: set, scope: frozenset | set) -> Node:
     return node
 
 
-def judge(tag: str, attributes: str) -> tuple[bool, float]:
-    """Whether an element is unwanted with all it holds; the points it starts with."""
-    bad, bonus = tag in DROPPED, 0.0
+def judge(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool, bool]:
+    """Whether an element is unwanted with all it holds; the points it starts with;
+    whether its name alone speaks against it; whether its role is that of the main part.
+    ``inside`` tells that it stands in an article or main element."""
+    bad, bonus, doubt, own_main = tag in DROPPED, 0.0, False, False
     if tag in ("article", "main"):
         bonus += 30
     elif tag in ("div", "section", "td"):
@@ -148,22 +178,67 @@ def judge(tag: str, attributes: str) -> tuple[bool, float]:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape("".join(values))
             if name in ("class", "id"):
-                value = CAMEL.sub("-", LAYOUT.sub("", value))
-                unwanted = NO_ARTICLE if tag == "article" else UNWANTED
-                if tag not in ("html", "body", "main") and unwanted.search(value):
+                whole, value = value, CAMEL.sub("-", LAYOUT.sub("", value))
+                named = tag not in ("html", "body", "main")
+                if name == "id" and (tag in HEADINGS or inside and tag in SLUGGED):
+                    named = False
+                    bad |= tag == "section" and bool(READERS.fullmatch(whole.strip()))
+                if named and (NO_ARTICLE if tag == "article" else UNWANTED).search(value):
                     bad = True
+                elif named and tag != "article" and NOTICE.search(value):
+                    bad, doubt = bad or name == "class", True
+                elif named and tag != "article" and DOUBTFUL.search(value):
+                    doubt = True
                 elif WANTED.search(value):
                     bonus += 15
             elif name == "role":
                 bad |= value.lower() in ROLES
-                bonus += 30 * (value.lower() in ("main", "article"))
+                own_main = value.lower() in ("main", "article")
+                bonus += 30 * own_main
             elif name == "style":
                 bad |= bool(HIDDEN.search(value))
             elif name == "hidden":
                 bad = True
             elif value.lower() == "true":
                 bad = True
-    return bad, bonus
+    return bad, bonus, doubt, own_main
+
+
+def text_length(node: Node) -> int:
+    own = "".join(x if isinstance(x, str) else " " for x in node.children)
+    return len(own) - own.count(" ") // 8 if own.strip() else 0
+
+
+def points(own: str) -> float:
+    """What a paragraph gives for its length and commas."""
+    return 1 + own.count(",") + min(len(own) / 100, 3)
+
+
+def doubts(root: Node) -> None:
+    """Decides on elements with a doubtful name, the inner ones first: they are unwanted
+    unless their paragraphs have many points and few links."""
+    nodes: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack.extend(x for x in node.children if not isinstance(x, str) and not x.bad)
+    sums: dict[int, tuple[float, int, int]] = {}
+    for node in reversed(nodes):
+        found, length, linked = 0.0, text_length(node), 0
+        for x in node.children:
+            if not isinstance(x, str) and not x.bad:
+                more = sums.pop(id(x))
+                found, length, linked = found + more[0], length + more[1], linked + more[2]
+        if node.tag == "a":
+            linked = length
+        own = inline(node) if node.tag in PARAGRAPH and node.tag not in HEADINGS else ""
+        if own.strip():
+            found += points(own)
+        if node.doubt and not (found >= OVERRULE_POINTS and linked < OVERRULE_DENSITY * length):
+            node.bad = True
+        else:
+            sums[id(node)] = found, length, linked
 
 
 def clean(text: str) -> str:
@@ -179,8 +254,7 @@ def scored(root: Node) -> list[Node]:
         nodes.append(node)
         stack.extend(x for x in reversed(node.children) if not isinstance(x, str) and not x.bad)
     for node in reversed(nodes):
-        own = "".join(x if isinstance(x, str) else " " for x in node.children)
-        node.length += len(own) - own.count(" ") // 8 if own.strip() else 0
+        node.length += text_length(node)
         if node.tag == "a":
             node.linked, node.links = node.length, node.links + 1
         if node.parent is not None:
@@ -193,12 +267,12 @@ def scored(root: Node) -> list[Node]:
         own = inline(node)
         if not own.strip():
             continue
-        points = 1 + own.count(",") + min(len(own) / 100, 3)
+        given = points(own)
         # a container with text of its own holds that paragraph itself
         up, share = (node.parent if node.tag not in ("div", "section", "article", "main", "body") else node), 1.0
         level = 0
         while up is not None and level < 4:
-            up.score += points * share
+            up.score += given * share
             level += 1
             share = 1 / (2 * level)
             up = up.parent

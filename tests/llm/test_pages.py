@@ -33,6 +33,27 @@ def test_main_text(body, want):
     assert html_text.main_text(PAGE.format(body=body)) == want
 
 
+LONG = ("It was, as far as anyone knows, a long winter, and the people of the valley, who had little, shared what they had, "
+        "wood, bread, candles and stories, until the thaw came late in April.")
+
+
+@pytest.mark.parametrize("body, want", [
+    ('<article><h2 id="social-history">Social history</h2><p>A, b.</p><h2 id="Naval_warfare">Naval warfare</h2><p>C.</p>'
+     '<h3 id="commentary">Commentary</h3><p id="search">D.</p></article>', "Social history\nA, b.\nNaval warfare\nC.\nCommentary\nD."),
+    ('<article><p>One.</p><section id="discussion"><h2>Discussion</h2><p>Two.</p></section><section id="related-work"><p>Three.</p></section></article>',
+     "One.\nDiscussion\nTwo.\nThree."),
+    ('<main><p>One.</p><p>See <a id="navigation">the chart</a>.</p><section class="commentary"><p>Two.</p></section></main>', "One.\nSee the chart.\nTwo."),
+    (f'<div class="content"><h2 id="related-work">Related work</h2><p>{LONG}</p></div>', f"Related work\n{LONG}"),
+    (f'<article><p>One.</p><div class="social-history"><p>{LONG}</p></div></article>', f"One.\n{LONG}"),
+    # what stays out: names without paragraphs, lists of links, adverts and comments whatever their length
+    ('<article><p>One.</p><div class="social"><p>Tell your friends</p></div><div class="related"><a href=a>A, b</a> <a href=c>C</a></div></article>', "One."),
+    (f'<article><p>One.</p><section id="comments"><p>{LONG}</p></section><div class="ad"><p>{LONG}</p></div><div id="comment-12"><p>{LONG}</p></div></article>',
+     "One."),
+    (f'<article><p>One.</p><div class="related"><p><a href=x>{LONG}</a></p></div><p class="warning">Beware.</p></article>', "One.")])
+def test_names_do_not_drop_the_articles_own_parts(body, want):
+    assert html_text.main_text(PAGE.format(body=body)) == want
+
+
 def test_main_text_of_odd_pages():
     assert [html_text.main_text(x) for x in (None, "", "<nav>x</nav>", "plain < 5", "<p>a", "<p title='>x</p>y")] == ["", "", "", "plain < 5", "a", "xy"]
     assert html_text.main_text("<b>" * 20000 + "deep") == "deep"
