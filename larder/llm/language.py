@@ -11,7 +11,8 @@ The models are fitted on a sample of labelled rows that is bounded for each lang
 (``SAMPLE_CHARS``, ``SAMPLE_DOCS``), chosen by a hash of the text; part of it is kept out
 of the counts and calibrates rejection: a prediction is rejected if its cross-entropy
 lies ``REJECT_SIGMA`` deviations above what texts of that language and length have, and
-no model tells it better than a uniform guess over the alphabet would.
+its model tells it no better than a uniform guess over that language's own letters would,
+or by ``GUESS_MARGIN`` nats worse than the language's mean.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; rows without a label are not learned from; without any labelled row every text
@@ -40,6 +41,8 @@ SAMPLE_CHARS = 4_000_000
 SAMPLE_DOCS = 4_000
 CALIBRATION_SHARE = 5  # one sampled row in so many calibrates rejection
 REJECT_SIGMA = 4.0
+OWN_LETTERS = 0.999  # a language's own letters make up this share of its letters
+GUESS_MARGIN = 2.0
 SCORE_CHARS = 40
 UNDETERMINED = "und"
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
@@ -107,7 +110,8 @@ class Sorted:
 @dataclass
 class Model:
     """The models of all languages; ``limits`` holds mean, and the length-free and
-    per-character part of the variance of each language's cross-entropy."""
+    per-character part of the variance of each language's cross-entropy, ``guesses`` the
+    cross-entropy of a uniform guess over its own letters."""
 
     languages: list[str]
     alphabet: np.ndarray
@@ -116,6 +120,7 @@ class Model:
     contexts: list[Sorted] = field(default_factory=list)
     backoff: list[np.ndarray] = field(default_factory=list)
     limits: np.ndarray | None = None
+    guesses: np.ndarray | None = None
 
     @functools.cached_property
     def symbol_of(self) -> np.ndarray:
@@ -178,7 +183,8 @@ class Model:
         weight = np.exp(-(h - least[:, None]) * np.minimum(np.maximum(counts, 1), SCORE_CHARS)[:, None])
         score = np.where(worded, 1 / weight.sum(axis=1), 0.0)
         mean, fixed, per_char = self.limits[best].T
-        limit = np.maximum(mean + REJECT_SIGMA * np.sqrt(fixed + per_char / np.maximum(counts, 1)), np.log(len(self.alphabet) + 2))
+        floor = np.minimum(self.guesses[best], mean + GUESS_MARGIN)
+        limit = np.maximum(mean + REJECT_SIGMA * np.sqrt(fixed + per_char / np.maximum(counts, 1)), floor)
         names = np.array(self.languages, object)
         return [pa.array(np.where(worded, names[best], UNDETERMINED), pa.string()), pa.array(score),
                 pa.array(np.where(worded, least, np.nan), from_pandas=True), pa.array(~worded | (least > limit))]
@@ -204,6 +210,7 @@ def fit(counts: pd.DataFrame) -> Model:
     rows = np.where(points <= 1, points, np.searchsorted(alphabet, points) + UNKNOWN + 1).astype(np.uint64)
     lang = np.searchsorted(languages, counts["lang"].to_numpy())
     weight = counts["n"].to_numpy(np.float64)
+    model.guesses = np.array([_guess(rows[lang == k, -1], weight[lang == k]) for k in range(len(languages))])
     levels = {ORDER: (rows, lang, weight)}
     for n in range(ORDER - 1, 0, -1):
         # continuation counts: how many distinct (n + 1)-grams end in each n-gram
@@ -244,6 +251,16 @@ def fit(counts: pd.DataFrame) -> Model:
     return model
 
 
+def _guess(codes: np.ndarray, weight: np.ndarray) -> float:
+    """Nats of a uniform guess over the most frequent symbols that make up nearly all
+    letters; the strays of other scripts do not count."""
+    letter = codes > UNKNOWN
+    often = np.sort(np.bincount(codes[letter].astype(np.int64), weight[letter]))[::-1]
+    reached = np.cumsum(often)
+    own = int(np.searchsorted(reached, OWN_LETTERS * reached[-1])) + 1 if len(often) else 0
+    return float(np.log(own + 2))
+
+
 def _row_hash(rows: np.ndarray, n: int) -> np.ndarray:
     """``grams`` for explicit rows of ``ORDER`` symbols: the last ``n`` of each."""
     h = np.zeros(len(rows), np.uint64)

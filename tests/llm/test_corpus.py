@@ -89,6 +89,23 @@ def test_held_out_accuracy_and_edges(spark, edge_docs, no_docs):
     assert {r.lang_pred for r in language.identify(edge_docs, none).collect()} == {"und"}
 
 
+def test_a_large_alphabet_does_not_end_rejection(spark):
+    roll = np.random.default_rng(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang in ('en', 'fr')").select("lang", "text").collect()
+    # 3,000 Chinese letters by Zipf's law, and English texts with a stray of them each
+    share = 1 / np.arange(1, 3001)
+    han = lambda n: "".join(chr(0x4E00 + k) for k in roll.choice(3000, n, p=share / share.sum()))
+    rows = [(r.lang, f"{r.text} {han(3)}" if r.lang == "en" else r.text) for r in docs] + [("zh", han(400)) for _ in range(400)]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.alphabet) > 2500
+    noise = ["".join(x) for x in roll.choice(list("abcdefghijklmnopqrstuvwxyz "), (20, 200))]
+    foreign = ["Il gatto dorme sulla sedia mentre la nonna prepara la cena per tutta la famiglia riunita attorno al grande tavolo.",
+               "De kat slaapt op de stoel terwijl oma het avondeten klaarmaakt voor de hele familie die rond de grote tafel zit."]
+    known = [r.text for r in docs][:200] + [han(200) for _ in range(20)]
+    assert all(model.predict(noise + foreign)[3].to_pylist())
+    assert not any(model.predict(known)[3].to_pylist())
+
+
 # --- near duplicates -----------------------------------------------------------------
 
 def brute_sets(text):
