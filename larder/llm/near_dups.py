@@ -5,7 +5,7 @@ slots, the least hash of each slot is its sketch, and empty slots borrow from fu
 by optimal densification (each empty slot draws its own sequence of slots). Bands of
 sketch slots give buckets. Texts with equal sets are one class, and from there on one
 row. In a bucket every class gets one edge to one centre, so a bucket of k classes gives
-k - 1 candidate pairs; pairs whose sketches agree too little are left out and the rest
+k - 1 candidate pairs; pairs of longer texts whose sketches agree too little are left out and the rest
 is confirmed on the full sets. Buckets that still hold several components are searched
 once more: each class outside the bucket's largest component is compared with every class
 of another component (the centre, which has met them all, apart), inside tasks of bounded size that return only links. So no link
@@ -43,6 +43,9 @@ ROWS = 5
 BANDS = SLOTS // ROWS
 #: Sketches of a pair at the threshold agree in 75 % of the slots, give or take 2.7 %.
 LEAST_AGREEMENT = 0.62
+#: Sets with fewer shingles fill too few slots for that; their pairs are compared on the
+#: full sets whatever their sketches say.
+FEW_SHINGLES = 64
 #: Bits of the sieve that keeps unwanted rows out of a shuffle.
 SIEVE_BITS = 1 << 25
 #: Most classes of a bucket that one task compares with each other; larger buckets are cut
@@ -143,17 +146,18 @@ def sieved(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def agreeing(a: Column, b: Column) -> Column:
+def agreeing(a: Column, b: Column, n: Column) -> Column:
+    """Whether two sketches may be those of similar sets; ``n`` is the smaller set's size."""
     @F.pandas_udf(T.BooleanType())
-    def alike(x, y):
+    def alike(x, y, least):
         import pandas as pd
         if not len(x):
             return pd.Series([], dtype=bool)
         left = np.frombuffer(b"".join(x), np.uint16).reshape(-1, SLOTS)
         right = np.frombuffer(b"".join(y), np.uint16).reshape(-1, SLOTS)
-        return pd.Series((left == right).mean(axis=1) >= LEAST_AGREEMENT)
+        return pd.Series(((left == right).mean(axis=1) >= LEAST_AGREEMENT) | (least.to_numpy() < FEW_SHINGLES))
 
-    return alike(a, b)
+    return alike(a, b, n)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,7 +172,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
     side = lambda x: sieved(classes, "c", ends).select(F.col("c").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("t").alias(f"t{x}"))
     # sizes alone rule out pairs whose smaller set is below the threshold's share
     sized = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized).filter(agreeing(F.col("sa"), F.col("sb")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized)
+    near = near.filter(agreeing(F.col("sa"), F.col("sb"), F.least("na", "nb")))
     near = stored(near.select("a", "b", "ta", "tb"), "near-pairs")
     if near.isEmpty():
         return near.select("a", "b")
@@ -287,10 +292,21 @@ def compared(group: pa.Table, percent: int) -> pa.Table:
         other &= 100 * np.minimum(counts, counts[k]) >= percent * np.maximum(counts, counts[k])
         other = np.flatnonzero(other)
         same = codes[other] == codes[k]
-        other, same = other[near := same.mean(axis=1) >= LEAST_AGREEMENT], same[near]
+        near = (same.mean(axis=1) >= LEAST_AGREEMENT) | (np.minimum(counts[other], counts[k]) < FEW_SHINGLES)
+        other, same = other[near], same[near]
         first = same[:, :BANDS * ROWS].reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
         own = hashes[ends[k] - counts[k]:ends[k]]
-        for m in other[first == band]:
+        other = other[first == band]
+        few = np.minimum(counts[other], counts[k]) < FEW_SHINGLES
+        # short sets are many and small: all of them in one go
+        short = other[few]
+        if len(short):
+            size = counts[short]
+            start = np.cumsum(size) - size
+            theirs = hashes[np.repeat(ends[short] - size - start, size) + np.arange(size.sum())]
+            both = np.add.reduceat(own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs, start, dtype=np.int64)
+            found += [(names[k], names[m]) for m in short[100 * both >= percent * (counts[k] + size - both)]]
+        for m in other[~few]:
             both = len(np.intersect1d(own, hashes[ends[m] - counts[m]:ends[m]], assume_unique=True))
             if 100 * both >= percent * (counts[k] + counts[m] - both):
                 found.append((names[k], names[m]))

@@ -210,6 +210,22 @@ def test_near_duplicates_edges(spark, edge_docs, no_docs):
 
 # --- pipeline and queries --------------------------------------------------------------
 
+def test_short_texts_with_unlike_sketches_are_linked(spark):
+    """Seven and eight words, three of four shingles shared: sketches of few hashes may agree
+    in far less than 75 % of their slots."""
+    roll = random.Random(3)
+    whole = [" ".join(f"w{roll.randrange(10**6)}" for _ in range(8)) for _ in range(6000)]
+    sketch = [near_dups.sketches(*near_dups.shingle_sets(pa.array([x.rsplit(" ", cut)[0] for x in whole]))) if cut else
+              near_dups.sketches(*near_dups.shingle_sets(pa.array(whole))) for cut in (0, 1)]
+    same = sketch[0] == sketch[1]
+    banded = same[:, :near_dups.BANDS * near_dups.ROWS].reshape(len(whole), near_dups.BANDS, near_dups.ROWS).all(axis=2).any(axis=1)
+    odd = [x for x, low, met in zip(whole, same.mean(axis=1) < near_dups.LEAST_AGREEMENT, banded) if low and met]
+    assert odd
+    rows = [(2 * k + side, x.rsplit(" ", 1)[0] if side else x) for k, x in enumerate(odd) for side in (0, 1)]
+    out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_pipeline_stages(spark, smoke_dir):
     docs = spark.read.parquet(f"{smoke_dir}/documents.parquet")
     extra = spark.createDataFrame([(10**6, "12345 --", "en", "s", 8), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "mail bob@example.com today please my friend", "en", "s", 45),
