@@ -1,4 +1,4 @@
-"""One registered query for each of the ten operators, over its whole table, and the
+"""One registered query for each of the thirteen operators, over its whole table, and the
 DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import (decontaminate, html_text, language, near_dups, packing, pii, quality, sharding, url_rules, warc)
+from larder.llm import (collocations, decontaminate, divergence, html_text, language, licenses, near_dups, packing, pii, quality,
+                        sharding, url_rules, warc)
 from larder.llm.columns import table
 
 #: (host, path, verdict) of the URL rules.
@@ -78,9 +79,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and statements in every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words belong together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_main_text, op2_quality, op3_shards, op4_decontamination, op5_warc, op6_pii, op7_url_filter,
-                            op8_language, op9_near_dups, op10_packing)}
+                            op8_language, op9_near_dups, op10_packing, op11_licenses, op12_divergence, op13_collocations)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _GRAMS = [3, *quality.NGRAM_LIMITS]
@@ -126,7 +142,87 @@ failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 SELECT *, NOT base_failed AND 100 * dup_line_chars <= {quality.LINE_LIMIT} * word_chars AND {rules} AS kept FROM failed"""
 
 
+def _licenses_sql() -> str:
+    templates, phrases = [], []
+    for k, (label, wording) in enumerate(licenses.TEMPLATES):
+        words = licenses.words_of(wording)
+        n, half = len(set(words)), licenses.half_block(len(words))
+        templates += [f"({k}, '{label}', '{w}', {n}, {-(-licenses.PERCENT * n // 100)}, {half})" for w in sorted(set(words))]
+    for phrase, label in licenses.PHRASES:
+        words = licenses.words_of(phrase)
+        tests = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(words, 1))
+        phrases.append(f"SELECT rid, i, '{label}' AS label FROM places WHERE {tests}")
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+places AS (SELECT rid, ws, unnest(range(0, len(ws))) AS i FROM docs),
+base AS ({" UNION ALL ".join(phrases)}),
+bases AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM base GROUP BY rid),
+templates(t, label, word, n, need, half) AS (VALUES {", ".join(templates)}),
+words AS (SELECT rid, i, ws[i + 1] AS word FROM places),
+inside AS (SELECT rid, t, label, word, n, need, i // half AS b FROM words JOIN templates USING (word)
+  UNION ALL SELECT rid, t, label, word, n, need, i // half - 1 FROM words JOIN templates USING (word) WHERE i >= half),
+met AS (SELECT rid, label, count(DISTINCT word) / any_value(n) AS found FROM inside GROUP BY rid, t, label, b
+  HAVING count(DISTINCT word) >= any_value(need)),
+base_names AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS names FROM (SELECT DISTINCT rid, label FROM base) GROUP BY rid),
+all_names AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS names
+  FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM met) GROUP BY rid),
+best AS (SELECT rid, max(found) AS found FROM met GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(b.names, '') AS base_labels,
+  coalesce(a.names, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(found, 0) END::DOUBLE AS score
+FROM docs LEFT JOIN bases USING (rid) LEFT JOIN base_names b USING (rid) LEFT JOIN all_names a USING (rid) LEFT JOIN best USING (rid)"""
+
+
+def _collocations_sql() -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, array_to_string(ws[i:i + {n - 1}], ' ') AS phrase, {n} AS size FROM spots "
+                               f"WHERE i + {n - 1} <= len(ws)" for n in (1, 2, 3, 4))
+    return rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM listed),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM listed GROUP BY lang),
+counts AS (SELECT lang, phrase, size, count(*) AS a FROM ({grams}) GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+cuts AS (SELECT c.lang, c.phrase, c.size, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a + r.a) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+least_cuts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
+parts AS (SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, a FROM (
+  SELECT lang, a, size, string_split(phrase, ' ') AS ws, m, unnest(range(1, size - m + 2)) AS s
+  FROM (SELECT *, unnest(range(2, size)) AS m FROM counts WHERE size > 2))),
+absorbing AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL),
+placed AS (SELECT c.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, c.a DESC, phrase) AS rank
+  FROM least_cuts c LEFT JOIN absorbing USING (lang, phrase) WHERE most IS NULL OR 100 * most < {collocations.ABSORBED} * c.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM placed JOIN totals USING (lang) WHERE rank <= {collocations.TOP}"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_licenses": _licenses_sql(),
+    "op12_divergence": rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+terms AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM terms GROUP BY ALL HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCS}),
+kinds AS (SELECT lang, count(*) AS v, sum(lang_n)::HUGEINT AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS c FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 1) // (n + v) AS p,
+  1 + 1000000000::HUGEINT * (lang_n + 1) // (lang_total + v) AS lang_p
+  FROM groups g JOIN kinds USING (lang) JOIN kept k USING (lang) LEFT JOIN counts x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+own AS (SELECT lang, source, 'term' AS part, term AS item, (p - lang_p) * (p - lang_p) // lang_p AS value
+  FROM shares WHERE c > 0 AND p > lang_p),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM placed WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}""",
+    "op13_collocations": _collocations_sql(),
     "op2_quality": _quality_sql(),
     "op4_decontamination": rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id,
