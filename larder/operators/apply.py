@@ -15,10 +15,10 @@ from ..sources import tables
 from .audit import numbered_audit
 
 
-def apply_job(job, root: str, entity: str, version: str, audit_log: DataFrame) -> None:
+def apply_job(job, root: str, entity: str, version: str, audit_log: DataFrame, every: str = "day") -> None:
     """Write the job's new ``entity`` table (``inventory`` or ``task``), its audit rows
-    and, if it has any, its consumption facts below ``root``."""
+    and, if it has any, its consumption facts below ``root`` (a folder for each ``every``)."""
     tables.write_snapshot(job.table, root, entity, version)
     if hasattr(job, "facts"):
-        tables.append_facts(job.facts, root, "consumption", batch=version)
-    tables.append_facts(numbered_audit(audit_log, job.audit), root, "audit_log", batch=version)
+        tables.append_facts(job.facts, root, "consumption", batch=version, every=every)
+    tables.append_facts(numbered_audit(audit_log, job.audit), root, "audit_log", batch=version, every=every)

@@ -82,6 +82,15 @@ def _next_ids(table: DataFrame, key: str) -> Column:
     return F.coalesce(table.select(F.max(key)).scalar(), F.lit(0))
 
 
+def _by_key(table: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """One row per key of a table (``_id`` and the given columns), so that every call finds
+    at most one: of several rows with one id the least, column by column in their order."""
+    if not columns:
+        return table.select(F.col(key).alias("_id")).distinct()
+    found = F.min(F.struct(*columns)).alias("_row")
+    return table.groupBy(F.col(key).alias("_id")).agg(found).select("_id", "_row.*")
+
+
 def _outcomes(df: DataFrame, key: Column) -> DataFrame:
     return df.select("seq", key.cast("bigint").alias("key"), F.col("_code").isNull().alias("ok"),
                      F.coalesce(F.col("_code"), F.lit(OK)).alias("code"))
@@ -150,7 +159,7 @@ def insert_items(inventory: DataFrame, commands: DataFrame, now, store: bool = F
                      lambda: _outcomes(checked, F.when(F.col("_code").isNull(), F.col("_new_id"))), audit, added)
 
 
-# Argument names of the update calls, as the audit payload records them.
+# Argument names of the insert, update, complete and cancel calls, as the audit payload records them.
 ITEM_ARG_NAMES = {"name": "nome", "quantity": "quantita", "expiry_date": "data_scadenza",
                   "opened_date": "data_apertura", "category": "categoria", "location": "ubicazione",
                   "price": "prezzo_acquisto", "supplier": "fornitore", "lot": "lotto_acquisto"}
@@ -196,7 +205,7 @@ def update_items(inventory: DataFrame, commands: DataFrame, now, store: bool = F
                              X.strict_date("expiry_date").alias("_exp"),
                              X.strict_date("opened_date").alias("_opened"))
     q, p, exp, opened = F.col("_qn"), F.col("_pn"), F.col("_exp"), F.col("_opened")
-    inv = inventory.select(F.col("item_id").alias("_id"), F.to_date("created_at").alias("_created"))
+    inv = _by_key(inventory, "item_id", F.to_date("created_at").alias("_created"))
     joined = parsed.join(inv, parsed["item_id"] == inv["_id"], "left")
     code = first_failure([
         ("MISSING_ID", F.col("item_id").isNull() | (F.col("item_id") == 0)),
@@ -288,7 +297,7 @@ def update_tasks(task: DataFrame, commands: DataFrame, now, store: bool = False)
     fields = S.UPDATE_TASK_FIELDS
     parsed = commands.select("*", X.strict_date("due_date").alias("_due"))
     due = F.col("_due")
-    t = task.select(F.col("task_id").alias("_id"))
+    t = _by_key(task, "task_id")
     joined = parsed.join(t, parsed["task_id"] == t["_id"], "left")
     code = first_failure([
         ("MISSING_ID", F.col("task_id").isNull() | (F.col("task_id") == 0)),
@@ -328,8 +337,7 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now, store: bool = Fals
 
     The first call per task is found with a ``min(seq)`` aggregate (combines
     map-side, so skew-proof) rather than a window over each task's calls."""
-    t = task.select(F.col("task_id").alias("_id"), F.col("status").alias("_status"),
-                    F.col("recurring").alias("_rec"))
+    t = _by_key(task, "task_id", F.col("status").alias("_status"), F.col("recurring").alias("_rec"))
     first = (commands.filter(F.col("task_id").isNotNull())
              .groupBy(F.col("task_id").alias("_fid")).agg(F.min("seq").alias("_first")))
     joined = (commands.join(t, commands["task_id"] == t["_id"], "left")
@@ -349,6 +357,8 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now, store: bool = Fals
     def build_added() -> DataFrame:
         src = task.select(*[F.col(c).alias(f"_o_{c}") for c in ("task_id", "title", "description", "priority",
                                                                     "due_date", "assignee", "frequency")])
+        # one old row per id, whatever the table holds
+        src = src.groupBy("_o_task_id").agg(F.min(F.struct(*[c for c in src.columns if c != "_o_task_id"])).alias("_o")).select("_o_task_id", "_o.*")
         spawn = accepted.filter(F.col("_rec")).join(src, F.col("task_id") == F.col("_o_task_id"))
         return spawn.select(
             F.col("_new_id").alias("task_id"), F.col("_o_title").alias("title"),
@@ -383,7 +393,7 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now, store: bool = Fals
 def cancel_tasks(task: DataFrame, commands: DataFrame, now, store: bool = False) -> JobResult:
     """Cancel tasks (soft delete): status ANNULLATO from any status, repeatable;
     a missing task is NOT_FOUND."""
-    t = task.select(F.col("task_id").alias("_id"))
+    t = _by_key(task, "task_id")
     joined = commands.join(t, commands["task_id"] == t["_id"], "left")
     code = first_failure([
         ("MISSING_ID", F.col("task_id").isNull() | (F.col("task_id") == 0)),

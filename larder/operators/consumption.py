@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -65,21 +65,45 @@ def consumption_stats(consumption: DataFrame, inventory: DataFrame, start=None,
     start, end = period(start, end, as_of)
     days = (end - start).days + 1
     facts = in_period(consumption, "consumed_at", start, end)
+    return _by_group(facts, inventory, kind, days, sort, F.count(F.lit(1)))
+
+
+def stats_of_sums(sums: DataFrame, inventory: DataFrame, kind: str, days: int, sort: bool = True) -> DataFrame:
+    """The statistics over rows that are already sums (``qty`` and ``operations`` of an item
+    and reason)."""
+    return _by_group(sums, inventory, kind, days, sort, F.sum("operations"))
+
+
+def _by_group(rows: DataFrame, inventory: DataFrame, kind: str, days: int, sort: bool, operations: Column) -> DataFrame:
+    sums = [F.sum("qty").alias("total_qty"), operations.alias("operations")]
     if kind == "category":
-        per_item = facts.groupBy("item_id").agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n"))
+        per_item = rows.groupBy("item_id").agg(*sums).filter("operations > 0")
         joined = per_item.join(inventory.select("item_id", "category"), "item_id")
         totals = joined.groupBy(F.col("category").alias("group_name")).agg(
-            F.sum("q").alias("total_qty"), F.sum("n").alias("operations"))
+            F.sum("total_qty").alias("total_qty"), F.sum("operations").alias("operations"))
     elif kind == "reason":
-        totals = facts.groupBy(F.col("reason").alias("group_name")).agg(
-            F.sum("qty").alias("total_qty"), F.count(F.lit(1)).alias("operations"))
+        totals = rows.groupBy(F.col("reason").alias("group_name")).agg(*sums).filter("operations > 0")
     else:
-        totals = facts.agg(F.lit(S.TOTAL_GROUP).alias("group_name"),
-                           F.sum("qty").alias("total_qty"), F.count(F.lit(1)).alias("operations"))
+        totals = rows.agg(F.lit(S.TOTAL_GROUP).alias("group_name"), *sums).withColumn("operations", F.coalesce("operations", F.lit(0)))
     out = _stats(totals, days)
     return out.orderBy(F.col("total_qty").desc(), F.col("group_name")) if sort else out
 
 
+def stats_json(stats: DataFrame, start, end, group_by: str) -> DataFrame:
+    """The documents of the statistics answer (``group_name``, ``json``): one for each
+    group, and one without a group that has the parameters and the sum over the groups."""
+    start, end = _as_date(start), _as_date(end)
+    # fixed values: field names of the JSON answer
+    group = F.struct(F.col("group_name").alias("gruppo"), F.col("total_qty").cast("double").alias("totale_consumato"),
+                     F.col("operations").alias("numero_operazioni"), F.col("daily_mean").cast("double").alias("media_giornaliera"))
+    whole = F.struct(F.lit(start.isoformat()).alias("data_inizio"), F.lit(end.isoformat()).alias("data_fine"),
+                     F.lit(group_by).alias("raggruppa_per"), F.lit((end - start).days + 1).alias("giorni_periodo"),
+                     F.coalesce(F.col("total"), F.lit(0)).cast("double").alias("totale_consumi"))
+    nulls = {"ignoreNullFields": "false"}
+    return stats.select("group_name", F.to_json(group, nulls).alias("json")).unionByName(
+        stats.agg(F.sum("total_qty").alias("total")).select(F.lit(None).cast("string").alias("group_name"), F.to_json(whole, nulls).alias("json")))
+
+
 def consumption_rollup(consumption: DataFrame, inventory: DataFrame, start=None, end=None,
                        group_by: str = "categoria", as_of=None) -> DataFrame:
     """The groups of ``consumption_stats`` plus the grand total over them, in one

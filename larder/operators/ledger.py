@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import expressions as X
+from ..functions.running import running_sum
 from ..session import stored
 from .audit import audit_rows, payload
 from .commands import first_failure
@@ -266,29 +267,42 @@ def plan_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence
 
 def _finish(inventory: DataFrame, folded: DataFrame, commands: DataFrame, order_cols: Sequence[str],
             now, consumption: DataFrame | None) -> LedgerResult:
-    cmd_cols = commands.columns
-    outcomes = folded.select(
-        *cmd_cols, F.col("_reason").alias("effective_reason"), F.col("_force").alias("forced"),
-        F.col("_ok").alias("ok"), F.col("_code").alias("code"),
-        _from_k("_before_k").alias("balance_before"), _from_k("_after_k").alias("balance_after"))
+    outcomes = _outcomes(folded, commands.columns)
     accepted = outcomes.filter(F.col("ok"))
     ts = X.ts_lit(now)
-    when_col = F.coalesce(F.col("consumed_at"), ts) if "consumed_at" in cmd_cols else ts
-    note = F.col("note") if "note" in cmd_cols else F.lit(None).cast("string")
     next_id = (F.coalesce(consumption.select(F.max("consumption_id")).scalar(), F.lit(0))
                if consumption is not None else F.lit(0))
-    if "seq" not in cmd_cols:
+    if "seq" not in commands.columns:
         return LedgerResult(outcomes, _new_stock(inventory, accepted, order_cols, ts), None, None)
-    facts = accepted.select(
-        (next_id + F.col("seq")).alias("consumption_id"),
-        "item_id", F.col("qty").cast(S.QTY).alias("qty"), when_col.alias("consumed_at"),
-        F.col("effective_reason").alias("reason"), note.alias("note"))
-    src = accepted if "actor" in cmd_cols else accepted.withColumn("actor", F.lit(None).cast("string"))
-    audit = audit_rows(src, S.OP_CONSUME_ITEM, S.TABLE_ITEMS, F.col("item_id"), payload(
+    return LedgerResult(outcomes, _new_stock(inventory, accepted, order_cols, ts), fact_rows(accepted, next_id, now), consume_audit(accepted, now))
+
+
+def _outcomes(folded: DataFrame, cmd_cols: Sequence[str]) -> DataFrame:
+    """The requests with their codes and balances, as a caller sees them."""
+    return folded.select(
+        *cmd_cols, F.col("_reason").alias("effective_reason"), F.col("_force").alias("forced"),
+        F.col("_ok").alias("ok"), F.col("_code").alias("code"),
+        _from_k("_before_k").alias("balance_before"), _from_k("_after_k").alias("balance_after"))
+
+
+def fact_rows(accepted: DataFrame, base: Column, now) -> DataFrame:
+    """The consumption facts of accepted requests; ids are ``base + seq``."""
+    ts = X.ts_lit(now)
+    when_col = F.coalesce(F.col("consumed_at"), ts) if "consumed_at" in accepted.columns else ts
+    note = F.col("note") if "note" in accepted.columns else F.lit(None).cast("string")
+    return accepted.select(
+        (base + F.col("seq")).alias("consumption_id"), "item_id", F.col("qty").cast(S.QTY).alias("qty"),
+        when_col.alias("consumed_at"), F.col("effective_reason").alias("reason"), note.alias("note"))
+
+
+def consume_audit(accepted: DataFrame, now) -> DataFrame:
+    """The audit rows of accepted requests, numbered by ``seq``."""
+    src = accepted if "actor" in accepted.columns else accepted.withColumn("actor", F.lit(None).cast("string"))
+    # fixed values: field names of the audit payload
+    return audit_rows(src, S.OP_CONSUME_ITEM, S.TABLE_ITEMS, F.col("item_id"), payload(
         quantita_prima=F.col("balance_before").cast("double"), quantita_consumata=F.col("qty").cast("double"),
         quantita_dopo=F.col("balance_after").cast("double"), motivo=F.col("effective_reason"),
         forzato=F.col("forced")), now)
-    return LedgerResult(outcomes, _new_stock(inventory, accepted, order_cols, ts), facts, audit)
 
 
 def _new_stock(inventory: DataFrame, accepted: DataFrame, order_cols: Sequence[str], ts: Column) -> DataFrame:
@@ -332,14 +346,19 @@ def discard(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence
     return _finish(inventory, folded, commands, order_cols, now, consumption)
 
 
-def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",),
-                   rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Outcomes when every request is forced: ``balance_after = max(0, b0 - S_i)`` with
-    ``S_i`` the running sum; the levels of an all-forced ledger."""
-    return consume(inventory, commands.withColumn("force", F.lit(True)), now, order_cols,
-                   rows_per_task=rows_per_task).outcomes.select(
-        *[F.col(c) if c != "force" else F.lit(True).alias("force") for c in commands.columns],
-        "effective_reason", "forced", "ok", "code", "balance_before", "balance_after")
+def consume_forced(inventory: DataFrame, commands: DataFrame, now, order_cols: Sequence[str] = ("seq",)) -> DataFrame:
+    """Outcomes when every request is forced: no request depends on the one before, so the
+    balance after it is ``max(0, b0 - S)`` with ``S`` the item's running sum."""
+    checked = check_requests(commands.withColumn("force", F.lit(True)), order_cols, discard=False)
+    valid = F.col("_pre").isNull() & F.col("_reason_ok")
+    taken = F.when(valid, F.col("_q_k")).otherwise(F.lit(0))
+    named = running_sum(checked.filter(F.col("item_id").isNotNull()), ["item_id"], order_cols, "_sum", taken)
+    named = named.join(opening_balances(inventory), "item_id", "left")
+    left = lambda used: F.when(F.col("_open_k").isNotNull(), F.greatest(F.lit(0), F.col("_open_k") - used))
+    named = named.withColumn("_before_k", left(F.col("_sum") - taken)).withColumn("_after_k", left(F.col("_sum"))).drop("_sum", "_open_k")
+    nameless = checked.filter(F.col("item_id").isNull()).select(
+        "*", *[F.lit(None).cast("bigint").alias(f.name) for f in _BALANCES])
+    return _outcomes(decided(named.unionByName(nameless)), commands.columns)
 
 
 def ledger_balances(outcomes: DataFrame) -> DataFrame:

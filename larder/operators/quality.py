@@ -90,6 +90,9 @@ def duplicate_keys(tables: dict[str, DataFrame]) -> DataFrame:
 def cascade_delete(inventory: DataFrame, consumption: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete the items whose ids are in ``deleted`` (column ``item_id``) and, as the
     foreign key cascades, their consumption facts. Returns the two new tables."""
-    ids = deleted.select("item_id").distinct()
-    return (inventory.join(ids, "item_id", "left_anti"),
-            consumption.join(ids, "item_id", "left_anti"))
+    return without_items(inventory, deleted), without_items(consumption, deleted)
+
+
+def without_items(df: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The rows whose item is not in ``deleted``."""
+    return df.join(deleted.select("item_id").distinct(), "item_id", "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -178,6 +178,33 @@ def fetch_items(inventory: DataFrame, requests: DataFrame, id_col: str = "id") -
                       "name", "quantity", "category", "location", "expiry_date", "created", "modified")
 
 
+def search_counts(inventory: DataFrame, query: str, limit: int | None = S.SEARCH_LIMIT) -> DataFrame:
+    """One row: the items that match a search, and how many of them the answer shows."""
+    return list_counts(search_items(inventory, query, None), limit)
+
+
+# Field names of a search result and of a fetched item in the JSON answers, in order.
+SEARCH_FIELDS = (("id", "search_id"), ("title", "title"), ("category", "category"), ("location", "location"))
+FETCH_FIELDS = (("id", "request_id"), ("name", "name"), ("quantity", "quantity"), ("category", "category"),
+                ("location", "location"), ("expiry_date", "expiry_date"), ("created", "created"), ("modified", "modified"))
+
+
+def _document(fields) -> Column:
+    return F.to_json(F.struct(*[F.col(c).alias(k) for k, c in fields]), {"ignoreNullFields": "false"})
+
+
+def search_json(found: DataFrame) -> DataFrame:
+    """One JSON document per search result (``search_id``, ``json``)."""
+    return found.select("search_id", _document(SEARCH_FIELDS).alias("json"))
+
+
+def fetch_json(fetched: DataFrame) -> DataFrame:
+    """One JSON document per fetch request (``request_id``, ``json``); a request that finds
+    nothing answers with an error code."""
+    error = F.to_json(F.struct(F.lit("NOT_FOUND").alias("error")))
+    return fetched.select("request_id", F.when(F.col("found"), _document(FETCH_FIELDS)).otherwise(error).alias("json"))
+
+
 # Field names of a stock-list entry in the JSON answer, in order.
 JSON_FIELDS = (("id", "item_id"), ("nome", "name"), ("quantita", "quantity"), ("unita_misura", "unit"),
                ("categoria", "category"), ("ubicazione", "location"), ("data_scadenza", "expiry_date"),

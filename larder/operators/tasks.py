@@ -73,6 +73,18 @@ def task_stats(task: DataFrame, start=None, end=None, group_by: str = "stato", a
     return out.orderBy(F.col("total").desc(), F.col("group_name")) if sort else out
 
 
+def stats_json(stats: DataFrame, start, end, group_by: str) -> DataFrame:
+    """The documents of the statistics answer (``group_name``, ``json``): one for each
+    group, and one without a group that has the parameters and the number of tasks."""
+    # fixed values: field names of the JSON answer
+    group = F.struct(F.col("group_name").alias("gruppo"), F.col("total").alias("totale"))
+    whole = F.struct(F.lit(str(start)).alias("data_inizio"), F.lit(str(end)).alias("data_fine"), F.lit(group_by).alias("raggruppa_per"),
+                     F.coalesce(F.col("all"), F.lit(0)).alias("totale_task"))
+    nulls = {"ignoreNullFields": "false"}
+    return stats.select("group_name", F.to_json(group, nulls).alias("json")).unionByName(
+        stats.agg(F.sum("total").alias("all")).select(F.lit(None).cast("string").alias("group_name"), F.to_json(whole, nulls).alias("json")))
+
+
 def tasks_done_last_week(task: DataFrame, now) -> DataFrame:
     """Completed tasks whose last change is at most 7 days before ``now``."""
     since = X.ts_lit(now) - F.expr("INTERVAL 7 DAYS")

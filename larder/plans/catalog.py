@@ -14,12 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions.expressions import to_response
-from ..operators import audit, consumption, quality, stock, tasks
+from ..functions.running import numbered
+from ..operators import audit, consumption, day_sums, deletes, quality, search_index, stock, tasks
 from ..operators.apply import apply_job
 from ..session import scratch_path
 from ..sources import adapters as A
-from ..sources import tables
+from ..sources import bucketed, tables
 from ..sources import unclean as U
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,9 @@ CONS_START, CONS_END = dt.date(1996, 1, 1), dt.date(1998, 12, 31)
 TASK_START, TASK_END = dt.date(1998, 1, 1), dt.date(1998, 12, 31)
 TASK_STATS_END = dt.date(1998, 6, 30)
 SEARCH_TEXT = "ring"
+# Arrival waves: calls and audit rows arrive in three bursts split by time.
+LEDGER_WAVES = (dt.datetime(1997, 1, 1), dt.datetime(1999, 1, 1))
+AUDIT_WAVES = (dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15))
 
 QUERIES: dict[str, Query] = {}
 
@@ -421,6 +426,119 @@ def q_item_insert_applied(spark, d):
     return to_response(tables.read(spark, root, "inventory", "1"))
 
 
+@register("item_update_applied")
+def q_item_update_applied(spark, d):
+    """The update calls applied to the stock table stored by buckets (only buckets of
+    changed items are rewritten), and the table read back."""
+    root = scratch_path(spark, "tables")
+    bucketed.write(inv(spark, d), root, "inventory", buckets=16)
+    bucketed.apply_changes(spark, root, "inventory", C.update_items_from_orders(_orders(spark, d)),
+                           lambda table, calls: W.update_items(table, calls, C.INSERT_NOW, store=True), buckets=16)
+    return to_response(bucketed.read(spark, root, "inventory").drop("bucket"))
+
+
+@register("task_cancel_applied")
+def q_task_cancel_applied(spark, d):
+    """The cancel calls applied to the stored task table."""
+    root = scratch_path(spark, "tables")
+    bucketed.write(tsk(spark, d), root, "task", buckets=16)
+    bucketed.apply_changes(spark, root, "task", C.cancel_tasks_from_orders(_orders(spark, d)),
+                           lambda table, calls: W.cancel_tasks(table, calls, C.TASK_NOW, store=True), buckets=16)
+    return to_response(bucketed.read(spark, root, "task").select("task_id", "status", "updated_by", "updated_at"))
+
+
+def _stored_facts(spark, d) -> str:
+    """The facts in two batches, each with its day sums, below a new folder."""
+    root = scratch_path(spark, "tables")
+    early = F.col("consumed_at") < F.lit(LEDGER_WAVES[0])
+    for batch, part in (("1", F.coalesce(early, F.lit(True))), ("2", ~early)):
+        facts = cons(spark, d).filter(part)
+        tables.append_facts(facts, root, "consumption", every="month")
+        day_sums.add_facts(facts, root, batch)
+    return root
+
+
+@register("cascade_delete_applied")
+def q_cascade_delete_applied(spark, d):
+    """The exhausted items deleted from the stored facts (only folders that hold their
+    facts are rewritten); the facts read back."""
+    root = _stored_facts(spark, d)
+    deletes.delete_facts(spark, root, inv(spark, d).filter("quantity = 0"), "delete-1", every="month")
+    return to_response(tables.read(spark, root, "consumption"))
+
+
+@register("consumption_by_category_maintained")
+def q_consumption_by_category_maintained(spark, d):
+    """Consumption by category from day sums, after two batches of facts and the deletion
+    of the exhausted items."""
+    root = _stored_facts(spark, d)
+    gone = inv(spark, d).filter("quantity = 0")
+    day_sums.take_back(spark, root, gone, "delete-1")
+    left = quality.without_items(inv(spark, d), gone)
+    return to_response(day_sums.consumption_stats(spark, root, left, CONS_START, CONS_END, "categoria"))
+
+
+@register("consumption_by_reason_maintained")
+def q_consumption_by_reason_maintained(spark, d):
+    """Consumption by reason from day sums of two batches of facts."""
+    return to_response(day_sums.consumption_stats(spark, _stored_facts(spark, d), inv(spark, d), CONS_START, CONS_END, "motivo"))
+
+
+@register("item_search_indexed")
+def q_item_search_indexed(spark, d):
+    """The search through trigram postings."""
+    path = scratch_path(spark, "postings")
+    search_index.write(inv(spark, d), path)
+    return search_index.search(spark, path, inv(spark, d), SEARCH_TEXT)
+
+
+@register("item_search_empty")
+def q_item_search_empty(spark, d):
+    """An empty search finds nothing."""
+    return stock.search_items(inv(spark, d), "")
+
+
+@register("search_counts")
+def q_search_counts(spark, d):
+    """Items that match the search, and items shown."""
+    return stock.search_counts(inv(spark, d), SEARCH_TEXT)
+
+
+@register("search_counts_empty")
+def q_search_counts_empty(spark, d):
+    return stock.search_counts(inv(spark, d), "")
+
+
+@register("expiring_counts")
+def q_expiring_counts(spark, d):
+    """The number of expiring items in the answer."""
+    return stock.list_counts(stock.expiring_items(inv(spark, d), AS_OF, days=3, sort=False), None)
+
+
+@register("search_json")
+def q_search_json(spark, d):
+    """All matches of the search as the JSON documents of the answer."""
+    return stock.search_json(stock.search_items(inv(spark, d), SEARCH_TEXT, None))
+
+
+@register("fetch_json")
+def q_fetch_json(spark, d):
+    """Every fetch request's JSON document."""
+    return stock.fetch_json(stock.fetch_items(inv(spark, d), fetch_requests(A.read_table(spark, d, "lineitem"))))
+
+
+@register("consumption_stats_json")
+def q_consumption_stats_json(spark, d):
+    stats = consumption.consumption_stats(cons(spark, d), inv(spark, d), CONS_START, CONS_END, "categoria", sort=False)
+    return consumption.stats_json(stats, CONS_START, CONS_END, "categoria")
+
+
+@register("task_stats_json")
+def q_task_stats_json(spark, d):
+    stats = tasks.task_stats(tsk(spark, d), TASK_START, TASK_END, "assegnatario", sort=False)
+    return tasks.stats_json(stats, TASK_START, TASK_END, "assegnatario")
+
+
 @register("stock_list_json")
 def q_stock_list_json(spark, d):
     """The stock list (no limit) as the JSON documents of the list answer."""
@@ -491,7 +609,7 @@ def q_consume_unclean(spark, d):
 
 def job_consume_numbered(spark, d):
     """The ledger over calls numbered in their order: ids of facts and audit rows."""
-    calls = A.numbered(_consume_cmds(spark, d), (*A.LINEITEM_LEDGER_ORDER, "item_id"))
+    calls = numbered(_consume_cmds(spark, d), (*A.LINEITEM_LEDGER_ORDER, "item_id"))
     return L.consume(inv(spark, d), calls, LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, consumption=cons(spark, d))
 
 
@@ -512,9 +630,9 @@ def q_consume_applied_facts(spark, d):
     """The ledger applied to the tables (stock, facts and audit log written once), and the
     facts read back from their day folders."""
     root = scratch_path(spark, "tables")
-    calls = A.numbered(_consume_cmds(spark, d), (*A.LINEITEM_LEDGER_ORDER, "item_id"))
+    calls = numbered(_consume_cmds(spark, d), (*A.LINEITEM_LEDGER_ORDER, "item_id"))
     job = L.consume(inv(spark, d), calls, LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, consumption=cons(spark, d), store=True)
-    apply_job(job, root, "inventory", "1", aud(spark, d))
+    apply_job(job, root, "inventory", "1", aud(spark, d), every="month")
     return to_response(tables.read(spark, root, "consumption"))
 
 
@@ -539,9 +657,11 @@ def q_consume_forced(spark, d):
 
 @register("consume_forced_chunked")
 def q_consume_forced_chunked(spark, d):
-    """The same forced ledger as scans over chunks of the call order for every item."""
-    out = L.consume_forced(inv(spark, d), _consume_cmds(spark, d), LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, rows_per_task=0)
-    return to_response(out.select(*_OUT_COLS))
+    """The same forced requests through the general ledger, its levels as scans over
+    chunks of the call order for every item."""
+    forced = _consume_cmds(spark, d).withColumn("force", F.lit(True))
+    res = L.consume(inv(spark, d), forced, LEDGER_NOW, A.LINEITEM_LEDGER_ORDER, rows_per_task=0)
+    return to_response(res.outcomes.select(*_OUT_COLS))
 
 
 def discard_commands(lineitem: DataFrame) -> DataFrame:
@@ -562,9 +682,6 @@ def q_discard_ledger(spark, d):
 
 from ..streaming import ledger_stream as ST  # noqa: E402
 
-# Arrival waves of the stream tests: calls arrive in three bursts split by call time.
-LEDGER_WAVES = (dt.datetime(1997, 1, 1), dt.datetime(1999, 1, 1))
-AUDIT_WAVES = (dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15))
 
 
 def _waves(df: DataFrame, col: str, cuts) -> list[DataFrame]:
@@ -598,6 +715,56 @@ def q_stream_ledger(spark, d):
     return to_response(L.ledger_balances(ST.read_outcomes(spark, out)))
 
 
+def _stream_accepted(spark, d) -> str:
+    """The ledger stream with facts and audit rows; returns its folder."""
+    base = scratch_path(spark, "stream-rows")
+    src, out, ckpt = f"{base}/source", f"{base}/ledger", f"{base}/checkpoint"
+    cmds = _consume_cmds(spark, d)
+    rows = ST.AcceptedRows(cons(spark, d), aud(spark, d), LEDGER_NOW, (*A.LINEITEM_LEDGER_ORDER, "item_id"), "month")
+    for wave in _waves(cmds, "consumed_at", LEDGER_WAVES):
+        wave.write.mode("append").parquet(src)
+        ST.ledger_stream(spark, inv(spark, d), src, cmds.schema, out, ckpt, A.LINEITEM_LEDGER_ORDER, rows=rows).awaitTermination()
+    return out
+
+
+@register("stream_facts")
+def q_stream_facts(spark, d):
+    """The consumption facts that the ledger stream writes, ids handed out across
+    micro-batches without a gap."""
+    return to_response(tables.read(spark, _stream_accepted(spark, d), "consumption"))
+
+
+@register("stream_consume_audit")
+def q_stream_consume_audit(spark, d):
+    """The audit rows that the ledger stream writes."""
+    return to_response(tables.read(spark, _stream_accepted(spark, d), "audit_log"))
+
+
+def _audit_sink(spark, d) -> str:
+    """The audit rows in three waves through the append sink; returns its folder."""
+    base = scratch_path(spark, "stream-sink")
+    src, sink, ckpt = f"{base}/source", f"{base}/audit_log", f"{base}/checkpoint"
+    rows = aud(spark, d)
+    for wave in _waves(rows, "ts", AUDIT_WAVES):
+        wave.write.mode("append").parquet(src)
+        ST.audit_sink_stream(spark, src, rows.schema, sink, ckpt, every="month").awaitTermination()
+    return base
+
+
+@register("stream_audit_rows")
+def q_stream_audit_rows(spark, d):
+    """The audit rows that arrived in three waves, read back from the append sink."""
+    return to_response(tables.read(spark, _audit_sink(spark, d), "audit_log"))
+
+
+@register("stream_audit_sink_counts")
+def q_stream_audit_sink_counts(spark, d):
+    """Operations per type, complete mode, over a stream that reads the append sink."""
+    base = _audit_sink(spark, d)
+    ST.audit_count_stream(spark, f"{base}/audit_log", S.AUDIT_LOG, f"{base}/counts", f"{base}/counts-checkpoint").awaitTermination()
+    return ST.read_audit_counts(spark, f"{base}/counts")
+
+
 @register("stream_audit")
 def q_stream_audit(spark, d):
     """The audit rows arriving in three waves; operations per type, complete mode."""

@@ -300,6 +300,64 @@ SELECT consumption_id, item_id, CAST(qty AS DOUBLE) AS qty, {iso_ts('consumed_at
 FROM consumption c WHERE NOT EXISTS (SELECT 1 FROM inventory i WHERE i.item_id = c.item_id AND i.quantity = 0)"""
 
 
+def q_consumption_without_exhausted() -> str:
+    return with_views(INVENTORY, CONSUMPTION) + _cons_stats(
+        "i.category", "consumption c JOIN inventory i ON c.item_id = i.item_id AND i.quantity <> 0", "GROUP BY i.category")
+
+
+def q_search_counts(text: str) -> str:
+    pat = text.replace("'", "''")
+    match = " OR ".join(f"contains(lower({c}), lower('{pat}'))" for c in ("name", "category", "location"))
+    where = f"({match})" if text else "false"
+    return with_views(INVENTORY) + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(least(COUNT(*), 10) AS BIGINT) AS shown FROM inventory WHERE {where}"""
+
+
+def q_search_json(text: str) -> str:
+    match = " OR ".join(f"contains(lower({c}), lower('{text}'))" for c in ("name", "category", "location"))
+    return with_views(INVENTORY) + f"""
+SELECT 'alimento-' || CAST(item_id AS VARCHAR) AS search_id, json_object('id', 'alimento-' || CAST(item_id AS VARCHAR),
+  'title', name || ' (' || CAST(quantity AS VARCHAR) || ' ' || unit || ')', 'category', category, 'location', location)::VARCHAR AS json
+FROM inventory WHERE {match}"""
+
+
+def q_fetch_json() -> str:
+    return f"""
+SELECT request_id, CASE WHEN found THEN json_object('id', request_id, 'name', name, 'quantity', quantity, 'category', category,
+  'location', location, 'expiry_date', expiry_date, 'created', created, 'modified', modified)::VARCHAR
+  ELSE '{{"error":"NOT_FOUND"}}' END AS json FROM ({q_item_fetch()})"""
+
+
+def q_consumption_stats_json() -> str:
+    return f"""
+WITH g AS ({q_consumption("category")})
+SELECT group_name, json_object('gruppo', group_name, 'totale_consumato', total_qty, 'numero_operazioni', operations,
+  'media_giornaliera', daily_mean)::VARCHAR AS json FROM g
+UNION ALL
+SELECT NULL, json_object('data_inizio', '1996-01-01', 'data_fine', '1998-12-31', 'raggruppa_per', 'categoria',
+  'giorni_periodo', {CONS_DAYS}, 'totale_consumi', CAST(sum(total_qty) AS DOUBLE))::VARCHAR FROM g"""
+
+
+def q_task_stats_json() -> str:
+    return f"""
+WITH g AS ({q_task_stats("assignee")})
+SELECT group_name, json_object('gruppo', group_name, 'totale', total)::VARCHAR AS json FROM g
+UNION ALL
+SELECT NULL, json_object('data_inizio', '1998-01-01', 'data_fine', '1998-12-31', 'raggruppa_per', 'assegnatario',
+  'totale_task', CAST(sum(total) AS BIGINT))::VARCHAR FROM g"""
+
+
+def q_expiring_counts() -> str:
+    return with_views(INVENTORY) + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(COUNT(*) AS BIGINT) AS shown FROM inventory
+WHERE expiry_date IS NOT NULL AND expiry_date <= {AS_OF} + INTERVAL 3 DAY AND quantity > 0"""
+
+
+def q_audit_rows() -> str:
+    return with_views(AUDIT) + f"""
+SELECT log_id, op_type, table_name, record_id, details, actor, {iso_ts("ts")} AS ts FROM audit_log"""
+
+
 def q_task_stats_rollup() -> str:
     period = "CAST(created_at AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"
     return with_views(TASK) + f"""

@@ -107,6 +107,19 @@ SELECT (SELECT max(l_orderkey * 16 + l_linenumber) FROM lineitem) + seq AS consu
  CAST(qty AS DOUBLE) AS qty, {iso_ts("l_shipdate")} AS consumed_at, reason, CAST(NULL AS VARCHAR) AS note FROM added"""
 
 
+def _dense(sql: str) -> str:
+    """The same rows with ids that have no gaps: the rank among the accepted calls."""
+    return sql.replace("added AS (SELECT * FROM ranked WHERE ok)", "added AS (SELECT * REPLACE (row_number() OVER (ORDER BY seq) AS seq) FROM ranked WHERE ok)")
+
+
+def q_stream_facts() -> str:
+    return _dense(q_consume_facts())
+
+
+def q_stream_consume_audit() -> str:
+    return _dense(q_consume_audit())
+
+
 def q_consume_audit() -> str:
     k = lambda c: f"CAST({c} AS DOUBLE) / 1000.0"
     return _walk("(l_orderkey % 10 = 0)") + NUMBERED + f"""

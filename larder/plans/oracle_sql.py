@@ -97,3 +97,24 @@ ORACLE.update({
     "item_insert_applied": OW.q_item_insert_applied(),
     "consume_applied_facts": OL.q_consume_facts(),
 })
+
+ORACLE.update({
+    "item_update_applied": OW.q_item_update(),
+    "task_cancel_applied": OW.q_task_cancel(),
+    "cascade_delete_applied": O.q_cascade_delete(),
+    "consumption_by_category_maintained": O.q_consumption_without_exhausted(),
+    "consumption_by_reason_maintained": O.q_consumption("reason"),
+    "item_search_indexed": O.q_item_search("ring"),
+    "item_search_empty": O.q_item_search("ring").replace("WHERE", "WHERE false AND (").replace("ORDER BY", ") ORDER BY"),
+    "search_counts": O.q_search_counts("ring"),
+    "search_counts_empty": O.q_search_counts(""),
+    "expiring_counts": O.q_expiring_counts(),
+    "search_json": O.q_search_json("ring"),
+    "fetch_json": O.q_fetch_json(),
+    "consumption_stats_json": O.q_consumption_stats_json(),
+    "task_stats_json": O.q_task_stats_json(),
+    "stream_facts": OL.q_stream_facts(),
+    "stream_consume_audit": OL.q_stream_consume_audit(),
+    "stream_audit_rows": O.q_audit_rows(),
+    "stream_audit_sink_counts": O.q_audit_ops_by_type(),
+})

@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,35 @@ def read(spark: SparkSession, root: str, name: str, version: str | None = None)
     return spark.read.schema(schema).parquet(path).select(*S.TABLES[name].fieldNames())
 
 
-def append_facts(df: DataFrame, root: str, name: str, batch: str | None = None) -> None:
-    """Append rows to a fact table, one folder per day; with ``batch``, below a folder of
+#: The folder of rows without a time.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def read_days(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A fact table with its ``day``."""
+    return spark.read.schema(T.StructType([*S.TABLES[name].fields, T.StructField("day", T.DateType())])).parquet(f"{root}/{name}")
+
+
+def replace_days(df: DataFrame, root: str, name: str) -> None:
+    """Replace the day folders that ``df`` has rows of; every other folder keeps its files."""
+    (df.select(*S.TABLES[name].fieldNames(), "day").hint("rebalance", "day").sortWithinPartitions(*SORT_KEY[name])
+     .write.mode("overwrite").partitionBy("day").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}"))
+
+
+def empty_day(spark: SparkSession, root: str, name: str, day: str) -> None:
+    """Leave a day folder without rows (an overwrite of partitions replaces only those that
+    get rows)."""
+    spark.createDataFrame([], S.TABLES[name]).write.mode("overwrite").parquet(f"{root}/{name}/day={day}")
+
+
+def folder_day(day: Column, every: str) -> Column:
+    """The first day of the stretch (``day``, ``month``, ``year``) that a folder holds."""
+    return F.to_date(day) if every == "day" else F.trunc(day, every).cast("date")
+
+
+def append_facts(df: DataFrame, root: str, name: str, batch: str | None = None, every: str = "day") -> None:
+    """Append rows to a fact table, one folder per day (or month, for sparse days; the
+    folder is named by the first day); with ``batch``, below a folder of
     that batch, which a rerun of the batch replaces (a table is written either way, not
     both). Rows are first rebalanced by day
     (AQE splits big days and merges small ones), so the number of files follows the days
@@ -44,7 +71,7 @@ def append_facts(df: DataFrame, root: str, name: str, batch: str | None = None)
     if name not in FACT_DAY:
         raise ValueError(f"{name} is not a fact table")
     cols = S.TABLES[name].fieldNames()
-    (df.select(*cols, F.to_date(FACT_DAY[name]).alias("day")).hint("rebalance", "day")
+    (df.select(*cols, folder_day(F.col(FACT_DAY[name]), every).alias("day")).hint("rebalance", "day")
      .sortWithinPartitions(*SORT_KEY[name])
      .write.mode("append" if batch is None else "overwrite").partitionBy("day")
      .parquet(f"{root}/{name}" + (f"/batch={batch}" if batch is not None else "")))

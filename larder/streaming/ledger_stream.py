@@ -16,13 +16,16 @@ for three micro-batches at sf0.1); the Arrow fold pays per row only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions.running import numbered
 from ..operators import ledger as L
+from ..sources import tables
 
 # Micro-batches between two full balance snapshots (see ``ledger_batch``).
 COMPACT_EVERY = 50
@@ -40,6 +43,39 @@ _DELTA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("qu
                        T.StructField("batch_id", T.IntegerType())])
 
 
+class AcceptedRows(NamedTuple):
+    """What a stream needs to write facts and audit rows: the tables whose ids the new ones
+    follow, the job time, the call order inside a micro-batch (total), and the stretch of
+    a fact folder.
+
+    Ids have no gaps: ``ids/batch_id=N`` holds the last ids handed out up to batch N, so a
+    batch reads one row of the batch before it (the tables, at batch 0) and numbers its
+    own accepted calls in their order. All folders belong to a batch and are overwritten
+    as a whole, so a replayed batch hands out the same ids again."""
+
+    consumption: DataFrame
+    audit_log: DataFrame
+    now: object
+    order: Sequence[str]
+    every: str = "day"
+
+    def write(self, spark: SparkSession, outcomes: DataFrame, out_dir: str, batch_id: int) -> None:
+        last = self._last_ids() if batch_id == 0 else spark.read.parquet(f"{out_dir}/ids/batch_id={batch_id - 1}")
+        fact, log = last.select("fact").scalar(), last.select("log").scalar()
+        accepted = numbered(outcomes.filter("ok"), self.order)
+        tables.append_facts(L.fact_rows(accepted, fact, self.now), out_dir, "consumption", str(batch_id), self.every)
+        audit = L.consume_audit(accepted, self.now).select((log + F.col("seq")).alias("log_id"), "*").drop("seq")
+        tables.append_facts(audit, out_dir, "audit_log", str(batch_id), self.every)
+        n = accepted.agg(F.count("*")).scalar()
+        (spark.range(1, numPartitions=1).select((fact + n).alias("fact"), (log + n).alias("log"))
+         .write.mode("overwrite").parquet(f"{out_dir}/ids/batch_id={batch_id}"))
+
+    def _last_ids(self) -> DataFrame:
+        most = lambda df, key: F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint"))
+        return self.consumption.sparkSession.range(1, numPartitions=1).select(
+            most(self.consumption, "consumption_id").alias("fact"), most(self.audit_log, "log_id").alias("log"))
+
+
 def _deltas(spark: SparkSession, out_dir: str, first: int, stop: int) -> DataFrame:
     """The deltas of batches ``first`` to ``stop - 1``, by their paths: batch ids are
     consecutive, so at most ``compact_every`` folders are opened and none is listed."""
@@ -49,8 +85,9 @@ def _deltas(spark: SparkSession, out_dir: str, first: int, stop: int) -> DataFra
 
 def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: str,
                  order_cols: Sequence[str] = ("seq",), rows_per_task: int = L.ROWS_PER_TASK,
-                 compact_every: int = COMPACT_EVERY):
-    """The ``foreachBatch`` function of the ledger stream.
+                 compact_every: int = COMPACT_EVERY, rows: AcceptedRows | None = None):
+    """The ``foreachBatch`` function of the ledger stream. With ``rows`` it also writes the
+    consumption facts and audit rows of the accepted calls.
 
     Balances live as a log: ``delta/batch_id=N`` holds only the items batch ``N``
     changed, and at batch 0 and every ``compact_every`` batches after it
@@ -88,13 +125,16 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
             opening = _latest(opening, deltas.join(items, "item_id", "left_semi"))
         folded = L.plan_outcomes(opening, checked, order_cols, rows_per_task)
         outcomes = folded.select(
-            *command_schema.fieldNames(), F.col("_ok").alias("ok"), F.col("_code").alias("code"),
+            *command_schema.fieldNames(), F.col("_reason").alias("effective_reason"), F.col("_force").alias("forced"),
+            F.col("_ok").alias("ok"), F.col("_code").alias("code"),
             F.col("_before_k").alias("balance_before_k"), F.col("_after_k").alias("balance_after_k"))
         out_path = f"{out_dir}/outcomes/batch_id={batch_id}"
         outcomes.write.mode("overwrite").parquet(out_path)
         delta = (sess.read.parquet(out_path).filter(F.col("ok")).groupBy("item_id")
                  .agg((F.min("balance_after_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("quantity")))
         delta.write.mode("overwrite").parquet(f"{out_dir}/delta/batch_id={batch_id}")
+        if rows is not None:
+            rows.write(sess, _with_balances(sess.read.parquet(out_path)), out_dir, batch_id)
         if batch_id % compact_every == 0:
             _latest(base, _deltas(sess, out_dir, snap_id + 1, batch_id + 1)).write.mode("overwrite").parquet(f"{out_dir}/snapshot/batch_id={batch_id}")
 
@@ -112,7 +152,7 @@ def stream_balances(spark: SparkSession, inventory: DataFrame, out_dir: str) ->
 def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, command_schema: T.StructType,
                   out_dir: str, checkpoint: str, order_cols: Sequence[str] = ("seq",),
                   max_files_per_trigger: int | None = None, rows_per_task: int = L.ROWS_PER_TASK,
-                  compact_every: int = COMPACT_EVERY, batch_fn=None):
+                  compact_every: int = COMPACT_EVERY, batch_fn=None, rows: AcceptedRows | None = None):
     """Start the ledger stream over parquet command files in ``source_dir``; returns
     the ``StreamingQuery`` (``availableNow``: it stops when caught up).
 
@@ -124,14 +164,17 @@ def ledger_stream(spark: SparkSession, inventory: DataFrame, source_dir: str, co
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     commands = reader.parquet(source_dir)
-    run = batch_fn or ledger_batch(inventory, command_schema, out_dir, order_cols, rows_per_task, compact_every)
+    run = batch_fn or ledger_batch(inventory, command_schema, out_dir, order_cols, rows_per_task, compact_every, rows)
     return (commands.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_outcomes(spark: SparkSession, out_dir: str) -> DataFrame:
     """The stream's outcomes with balances back as decimals."""
-    df = spark.read.parquet(f"{out_dir}/outcomes")
+    return _with_balances(spark.read.parquet(f"{out_dir}/outcomes"))
+
+
+def _with_balances(df: DataFrame) -> DataFrame:
     return df.select(
         *[c for c in df.columns if not c.endswith("_k")],
         (F.col("balance_before_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("balance_before"),
@@ -154,6 +197,17 @@ def audit_count_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def audit_sink_stream(spark: SparkSession, source_dir: str, schema: T.StructType, sink_dir: str, checkpoint: str,
+                      every: str = "day"):
+    """Append the audit rows of a stream to a table of day folders (``every`` for sparse
+    days): Structured Streaming's own file sink in append mode. Its commit log in the sink
+    folder names the files of every finished micro-batch, and Spark's readers, batch or
+    stream, read only those, so a replayed batch adds no row."""
+    rows = spark.readStream.schema(schema).parquet(source_dir)
+    return (rows.withColumn("day", tables.folder_day(F.col("ts"), every)).writeStream.format("parquet").outputMode("append")
+            .partitionBy("day").option("path", sink_dir).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def read_audit_counts(spark: SparkSession, out_dir: str) -> DataFrame:
     """The counts of the newest micro-batch; earlier folders are pruned by the partition
     filter before any file is read."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder import schemas as S
+from larder.functions.running import numbered, running_sum
 from larder.operators import ledger as L
 
 NOW = dt.datetime(2024, 1, 15, 10, 0)
@@ -134,7 +135,9 @@ def test_levels_equal_the_fold_on_unclean_stock(spark, rows_per_task):
     want = dict(enumerate(fold(stock, calls), 1))
     assert outcome_tuples(L.consume(inv, cmds, NOW, rows_per_task=rows_per_task).outcomes) == want
     forced = [(i, q, True, ok) for i, q, _, ok in calls]
-    assert outcome_tuples(L.consume_forced(inv, cmds, NOW, rows_per_task=rows_per_task)) == dict(enumerate(fold(stock, forced), 1))
+    want = dict(enumerate(fold(stock, forced), 1))
+    assert outcome_tuples(L.consume(inv, call_frame(spark, forced), NOW, rows_per_task=rows_per_task).outcomes) == want
+    assert outcome_tuples(L.consume_forced(inv, cmds, NOW)) == want
 
 
 @settings(max_examples=300, deadline=None)
@@ -214,10 +217,21 @@ def test_discard_refuses_other_reasons(spark):
     assert [r.effective_reason for r in out] == ["CONSUMATO", "BUTTATO"]
 
 
+def test_running_sum_of_a_hot_key(spark):
+    """Sums are right where one key covers many chunks and where keys share a chunk."""
+    rnd = random.Random(3)
+    rows = [(1 if rnd.random() < 0.6 else rnd.randint(2, 40), s, rnd.randint(-5, 9)) for s in range(3000)]
+    df = spark.createDataFrame(rows, "k long, s long, v long").repartition(7)
+    out = running_sum(df, ["k"], ["s"], "total", F.col("v")).collect()
+    want, sums = {}, {}
+    for k, s, v in rows:
+        want[s] = sums[k] = sums.get(k, 0) + v
+    assert {r.s: r.total for r in out} == want
+
+
 def test_numbered_calls_are_ranked(spark):
-    from larder.sources import adapters as A
     rows = [(random.Random(s).randint(1, 500), s) for s in range(2000)]
-    out = A.numbered(spark.createDataFrame(rows, "a long, b long").repartition(5), ("a", "b")).collect()
+    out = numbered(spark.createDataFrame(rows, "a long, b long").repartition(5), ("a", "b")).collect()
     assert [(r.a, r.b) for r in sorted(out, key=lambda r: r.seq)] == sorted(rows)
     assert sorted(r.seq for r in out) == list(range(1, 2001))
 

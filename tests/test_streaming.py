@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larder import schemas as S
 from larder.operators import ledger as L
 from larder.session import scratch_path
+from larder.sources import tables
 from larder.streaming import ledger_stream as ST
 
 NOW = dt.datetime(2024, 1, 15, 10, 0)
@@ -90,6 +91,71 @@ def test_stream_replays_a_crashed_batch_exactly(spark, crash, compact_every):
     assert table(bal) == table(batch.table)
 
 
+@pytest.mark.parametrize("crash", [None, "before", "partial"])
+def test_stream_facts_and_audit_rows(spark, crash):
+    """The rows of the batch ledger, ids without gaps across micro-batches, also after a
+    micro-batch is replayed."""
+    inv, cmds = data(spark)
+    facts = spark.createDataFrame([(41, 1, Decimal(1), NOW, "CONSUMATO", None)], S.CONSUMPTION)
+    log = spark.createDataFrame([(17, "X", "t", 1, "{}", "a", NOW)], S.AUDIT_LOG)
+    base = scratch_path(spark, "test-rows")
+    src, out, ckpt = f"{base}/source", f"{base}/ledger", f"{base}/checkpoint"
+    fn = ST.ledger_batch(inv, cmds.schema, out, rows=ST.AcceptedRows(facts, log, NOW, ("seq",)))
+    crashed = []
+
+    def crashing(batch, batch_id):
+        if batch_id == 1 and not crashed:
+            crashed.append(batch_id)
+            if crash == "partial":
+                fn(batch, batch_id)
+                # half-written ids and facts of the batch
+                spark.createDataFrame([(999, 999)], "fact long, log long").write.mode("overwrite").parquet(f"{out}/ids/batch_id=1")
+                tables.append_facts(facts, out, "consumption", "1")
+            raise RuntimeError("executor lost")
+        fn(batch, batch_id)
+
+    for lo, hi in CUTS:
+        cmds.filter((F.col("seq") > lo) & (F.col("seq") <= hi)).write.mode("append").parquet(src)
+        q = ST.ledger_stream(spark, inv, src, cmds.schema, out, ckpt, batch_fn=crashing if crash else fn)
+        if crash and lo == 200:
+            with pytest.raises(StreamingQueryException):
+                q.awaitTermination()
+            q = ST.ledger_stream(spark, inv, src, cmds.schema, out, ckpt, batch_fn=fn)
+        q.awaitTermination()
+    want = L.consume(inv, cmds, NOW)
+    listed = lambda df: sorted(tuple(r) for r in df.collect())
+    got = tables.read(spark, out, "consumption")
+    n = got.count()
+    assert sorted(r.consumption_id for r in got.collect()) == list(range(42, 42 + n))
+    assert listed(got.drop("consumption_id")) == listed(want.facts.drop("consumption_id"))
+    # inside and across micro-batches ids follow the call order
+    by_call = want.facts.orderBy("consumption_id").drop("consumption_id").collect()
+    assert [tuple(r) for r in got.orderBy("consumption_id").drop("consumption_id").collect()] == [tuple(r) for r in by_call]
+    rows = tables.read(spark, out, "audit_log")
+    assert sorted(r.log_id for r in rows.collect()) == list(range(18, 18 + n))
+    assert listed(rows.drop("log_id")) == listed(want.audit.drop("seq"))
+
+
+def test_append_sink_takes_a_replayed_batch_once(spark):
+    """A micro-batch whose commit is lost runs again: the sink has its rows already."""
+    import os
+    rows = [(i, f"OP{i % 3}", "t", i, "{}", "a", dt.datetime(2024, 1, 1 + i % 5)) for i in range(60)]
+    base = scratch_path(spark, "test-sink").removeprefix("file:")
+    src, sink, ckpt = f"{base}/source", f"{base}/audit_log", f"{base}/checkpoint"
+    for lo in (0, 30):
+        spark.createDataFrame(rows[lo:lo + 30], S.AUDIT_LOG).write.mode("append").parquet(src)
+        ST.audit_sink_stream(spark, src, S.AUDIT_LOG, sink, ckpt).awaitTermination()
+    assert sorted(d for d in os.listdir(sink) if d.startswith("day=")) == [f"day=2024-01-0{k}" for k in range(1, 6)]
+    os.rename(f"{ckpt}/commits/1", f"{ckpt}/lost-commit")
+    if os.path.exists(f"{ckpt}/commits/.1.crc"):
+        os.rename(f"{ckpt}/commits/.1.crc", f"{ckpt}/lost-crc")
+    ST.audit_sink_stream(spark, src, S.AUDIT_LOG, sink, ckpt).awaitTermination()
+    assert os.path.exists(f"{ckpt}/commits/1")
+    assert sorted(r.log_id for r in tables.read(spark, base, "audit_log").collect()) == list(range(60))
+    ST.audit_count_stream(spark, sink, S.AUDIT_LOG, f"{base}/counts", f"{base}/counts-checkpoint").awaitTermination()
+    assert {r.op_type: r.operations for r in ST.read_audit_counts(spark, f"{base}/counts").collect()} == {f"OP{k}": 20 for k in range(3)}
+
+
 def test_batch_with_no_accepted_call(spark):
     """A micro-batch whose calls are all refused writes an empty delta; later
     batches still read the log (compaction due or not)."""
