@@ -81,8 +81,9 @@ class Automaton:
         self.words, self.begin, self.arcs = words, begin, arcs
 
     @classmethod
-    def from_sorted(cls, words: list[bytes], paths: np.ndarray, counts: np.ndarray) -> Automaton:
-        """From different sequences in order: rows of labels, 0 after the last word."""
+    def from_sorted(cls, words: list[bytes], paths: np.ndarray, counts: np.ndarray, share: bool = True) -> Automaton:
+        """From different sequences in order: rows of labels, 0 after the last word.
+        Without ``share`` equal states stay apart (one that is read once and not sent)."""
         changed = np.zeros(len(paths), bool)
         if len(paths):
             changed[0] = True
@@ -102,9 +103,13 @@ class Automaton:
         begin, arcs = [], []
         target = np.zeros(n_states, np.int64)  # nothing follows the last level
         for start, label, weight in reversed(levels):
-            kept, start, state = _shared(start, label, weight, target)
+            if share:
+                kept, start, state = _shared(start, label, weight, target)
+                label, weight, target = label[kept], weight[kept], target[kept]
+            else:
+                state = np.arange(len(start) - 1)
             begin.insert(0, start)
-            arcs.insert(0, (label[kept], weight[kept], target[kept]))
+            arcs.insert(0, (label, weight, target))
             target = state
         return cls(words, begin, arcs)
 
@@ -198,7 +203,7 @@ def _shared(begin: np.ndarray, label: np.ndarray, weight: np.ndarray, target: np
 
 
 def union(automata: Sequence[Automaton]) -> Automaton:
-    """One automaton of all sequences; counts of equal ones add up."""
+    """One automaton of all sequences; counts of equal ones add up. Its equal states stay apart."""
     words = sorted(set().union(*(a.words for a in automata)))
     at = {w: k + 1 for k, w in enumerate(words)}
     paths, counts = [], []
@@ -207,7 +212,7 @@ def union(automata: Sequence[Automaton]) -> Automaton:
         own, n = a.sequences()
         paths.append(to[own])
         counts.append(n)
-    return Automaton.from_sorted(words, *summed(np.concatenate(paths), np.concatenate(counts)))
+    return Automaton.from_sorted(words, *summed(np.concatenate(paths), np.concatenate(counts)), share=False)
 
 
 def cut(words: list[bytes], paths: np.ndarray, splitters: Sequence[tuple[bytes, ...]]) -> list[int]:

@@ -1,7 +1,12 @@
 """Phrase collocation mining with weighted acyclic automata.
 
-Texts are cut into pieces and words; at every word begins a sequence of up to four words,
-shorter where its piece ends. A task sorts the sequences of a shard (some millions of
+Texts are cut into pieces and words. A first pass counts words by a 64-bit hash; the hashes
+with ``least`` places or more set bits of a bitmap of ``SIEVE_BITS`` bits (4 MB in every
+task, whatever the corpus). A word without its bit is in no frequent phrase, so it ends a
+piece as a full stop does; a word that has the bit by accident costs time and nothing else.
+
+At every other word begins a sequence of up to four words, shorter where its piece ends. A
+task sorts the sequences of a shard (some millions of
 words of one language), sums them and builds a count automaton for each prefix range, a
 stretch of the order of all sequences. The automata of a range meet in one task, which
 unites them, adds their weights and reads the count of every phrase off the prefixes:
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.automata import DEPTH, Automaton, cut, labels, summed, union
-from larder.llm.columns import small_batches
+from larder.llm.columns import Rolling, mix, small_batches
 from larder.llm.divergence import runs
 from larder.llm.ranked import first_per_group
 from larder.llm.shared import stored
@@ -46,13 +51,14 @@ TOP = 2000
 ABSORBED = 80
 SCALE = 2_000_000
 #: Words of a shard, and of all languages together that a task holds.
-SHARD_WORDS = 1_000_000
-HELD_WORDS = 2_500_000
-RANGE_BYTES = 16 << 20
+SHARD_WORDS = 500_000
+HELD_WORDS = 1_000_000
+RANGE_BYTES = 4 << 20
 MAX_RANGES = 1 << 16
 SAMPLE_BYTES = 8 << 20
 #: One in so many of the sample's sequences goes to the driver.
 SAMPLE_STEP = 16
+SIEVE_BITS = 1 << 25
 BUCKET_ROWS = 50_000
 #: A-Z lowered; the ends of pieces become a byte that no UTF-8 text holds.
 BORDER = b"\xff"
@@ -74,28 +80,22 @@ def word_numbers(data: bytes, numbers: Numbers) -> np.ndarray:
     return np.concatenate([*found, np.zeros(1, np.int32)])
 
 
-def sequences(numbers: Numbers, texts: list[np.ndarray], begins: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The sorted words, and the different sequences that begin at the first ``begins``
-    places of the texts with their counts."""
-    words = sorted(w for w in numbers if w != BORDER)
-    label = np.zeros(len(numbers), np.int32)
-    label[[numbers[w] for w in words]] = np.arange(1, len(words) + 1)
-    stream = label[np.concatenate([*texts, np.zeros(DEPTH - 1, np.int32)])]
-    paths = np.stack([stream[k:k + begins] for k in range(DEPTH)], axis=1)
-    for k in range(1, DEPTH):
-        paths[:, k] *= paths[:, k - 1] > 0
-    paths = paths[paths[:, 0] > 0]
-    return words, *summed(paths, np.ones(len(paths), np.int64))
+def hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """A hash for each word of a language."""
+    ends = np.cumsum([len(w) for w in [lang.encode(), *words]])
+    found = Rolling(np.frombuffer(b"".join([lang.encode(), *words]), np.uint8)).of(np.r_[0, ends[:-1]], ends)
+    return mix(found[1:] ^ mix(found[:1] + np.uint64(1)))
 
 
-def shards(batches: Iterator[pa.RecordBatch]):
-    """(language, words, sequences, counts) of one shard after another."""
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Numbers, np.ndarray, int]]:
+    """One shard after another: the language, its words' numbers, the texts as numbers, and
+    at how many of the first places a sequence may begin (a long text goes on behind)."""
     held: dict[str, tuple[Numbers, list]] = {}
     sizes: dict[str, int] = {}
 
     def build(lang: str):
         numbers, texts = held.pop(lang)
-        return lang, *sequences(numbers, texts, sizes.pop(lang))
+        return lang, numbers, np.concatenate(texts), sizes.pop(lang)
 
     for batch in batches:
         texts = batch.column(1)
@@ -107,7 +107,7 @@ def shards(batches: Iterator[pa.RecordBatch]):
                 numbers = Numbers({BORDER: 0})
                 stream = word_numbers(data, numbers)
                 for lo in range(0, len(stream), SHARD_WORDS):
-                    yield lang, *sequences(numbers, [stream[lo:lo + SHARD_WORDS + DEPTH - 1]], min(SHARD_WORDS, len(stream) - lo))
+                    yield lang, numbers, stream[lo:lo + SHARD_WORDS + DEPTH - 1], min(SHARD_WORDS, len(stream) - lo)
                 continue
             if lang not in held:
                 held[lang], sizes[lang] = (Numbers({BORDER: 0}), []), 0
@@ -122,19 +122,74 @@ def shards(batches: Iterator[pa.RecordBatch]):
         yield build(lang)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, words, paths, _ in shards(batches):
-        rows = [b" ".join(words[k - 1] for k in path if k).decode() for path in paths[::SAMPLE_STEP].tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.string())], names=["lang", "phrase"])
-
-
-def borders(docs: DataFrame) -> dict[str, list[tuple[bytes, ...]]]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, lang, n): the places of each word's hash, and without a word all places."""
+    for lang, numbers, stream, begins in shards(batches):
+        counts = np.bincount(stream[:begins], minlength=len(numbers))
+        counts[0] = 0
+        seen = np.flatnonzero(counts)
+        words = list(numbers)
+        yield pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(hashes(lang, [words[k] for k in seen.tolist()]).view(np.int64)), pa.array([None], pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(seen), pa.string()), pa.array([lang], pa.string())]),
+            pa.array(np.r_[counts[seen], counts.sum()], pa.int64())], names=["word", "lang", "n"])
+
+
+def word_counts(docs: DataFrame, least: int) -> DataFrame:
+    """(word, lang, n): the hashes with ``least`` places or more, and each language's words."""
+    counts = docs.mapInArrow(_word_counts, "word bigint, lang string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    return stored(counts.filter(F.col("word").isNull() | (F.col("n") >= least)), "word-counts")
+
+
+class Sieve(NamedTuple):
+    """Which words may be frequent."""
+
+    bits: np.ndarray
+
+    @classmethod
+    def of(cls, counts: DataFrame) -> Sieve:
+        bit = F.pmod("word", F.lit(SIEVE_BITS)) + 1
+        maps = (counts.filter(F.col("word").isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("at"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")))
+        bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        for row in maps.collect():  # SIEVE_BITS / 32,768 rows of 4 KB at most
+            part = np.frombuffer(row["bits"], np.uint8)
+            bits[(row["at"] - 1) * len(part):row["at"] * len(part)] = part
+        return cls(bits)
+
+    def passes(self, found: np.ndarray) -> np.ndarray:
+        at = (found & np.uint64(SIEVE_BITS - 1)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+    def sequences(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+        """For each shard: the language, the words that pass, sorted, and the different
+        sequences of them with their counts."""
+        for lang, numbers, stream, begins in shards(batches):
+            words = np.array(list(numbers), object)
+            pick = np.flatnonzero(self.passes(hashes(lang, words.tolist())))
+            pick = np.array(sorted((k for k in pick.tolist() if k), key=words.__getitem__), np.int64)
+            label = np.zeros(len(words), np.int32)
+            label[pick] = np.arange(1, len(pick) + 1)
+            stream = np.concatenate([label[stream], np.zeros(DEPTH - 1, np.int32)])
+            at = np.flatnonzero(stream[:begins])
+            paths = np.zeros((len(at), DEPTH), np.int32)
+            for k in range(DEPTH):
+                paths[:, k] = stream[at + k] * (paths[:, k - 1] > 0 if k else 1)
+            yield lang, words[pick].tolist(), *summed(paths, np.ones(len(paths), np.int64))
+
+
+def borders(docs: DataFrame, sieve: Sieve) -> dict[str, list[tuple[bytes, ...]]]:
     """The sequences at which each language's ranges begin, but for the first."""
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, paths, _ in sieve.sequences(batches):
+            rows = [b" ".join(words[k - 1] for k in path if k).decode() for path in paths[::SAMPLE_STEP].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.string())], names=["lang", "phrase"])
+
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = min(MAX_RANGES, -(-total // RANGE_BYTES))
     if n <= 1:
         return {}
-    rows = docs.sample(min(1.0, SAMPLE_BYTES / total), seed=13).mapInArrow(_sampled, "lang string, phrase string").collect()
+    rows = docs.sample(min(1.0, SAMPLE_BYTES / total), seed=13).mapInArrow(sampled, "lang string, phrase string").collect()
     ordered = sorted((lang, tuple(phrase.encode().split(b" "))) for lang, phrase in rows)
     out: dict[str, list] = {}
     for k in range(1, n):
@@ -148,12 +203,13 @@ def borders(docs: DataFrame) -> dict[str, list[tuple[bytes, ...]]]:
 class Ranges(NamedTuple):
     """The work of the tasks that make and unite automata."""
 
+    sieve: Sieve
     starts: dict[str, list[tuple[bytes, ...]]]
     least: int
 
     def automata(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(lang, range, automaton)"""
-        for lang, words, paths, counts in shards(batches):
+        for lang, words, paths, counts in self.sieve.sequences(batches):
             ends = [0, *cut(words, paths, self.starts.get(lang, [])), len(paths)]
             for k, (lo, hi) in enumerate(zip(ends, ends[1:])):
                 if lo == hi:
@@ -168,13 +224,13 @@ class Ranges(NamedTuple):
                                                   pa.array([made.dumps()], pa.binary())], names=["lang", "range", "automaton"])
 
     def phrases(self, group: pa.Table) -> pa.Table:
-        """(lang, phrase, n): the frequent phrases of a range, its part of the prefixes of
-        its borders, and without a phrase the number of words that begin in it."""
+        """(lang, phrase, n): the frequent phrases of a range, and its part of the prefixes
+        of its borders."""
         lang, k = group.column("lang")[0].as_py(), group.column("range")[0].as_py()
         united = union([Automaton.loads(x.as_py()) for x in group.column("automaton")])
         starts = self.starts.get(lang, [])
         shared = {at[:n] for at in starts[max(k - 1, 0):k + 1] for n in range(1, len(at) + 1)}
-        rows: list[tuple] = [(None, int(united.arcs[0][1].sum()))]
+        rows: list[tuple] = []
         for d, paths, weight, _ in united.prefixes():
             often = weight >= self.least
             border = labels(united.words, [x for x in shared if len(x) == d + 1])[:, :d + 1]
@@ -188,15 +244,18 @@ class Ranges(NamedTuple):
 
 def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
     """(lang, phrase, n): the number of places of every phrase of one to four words that
-    has at least ``least`` of them; the row without a phrase has the number of all words."""
+    has at least ``least`` of them; rows without a phrase have the number of all words."""
     small_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
                      F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"))
-    work = Ranges(borders(docs), least)
+    words = word_counts(docs, least)
+    sieve = Sieve.of(words)
+    work = Ranges(sieve, borders(docs, sieve), least)
     made = docs.mapInArrow(lambda batches: work.automata(batches), "lang string, range int, automaton binary")
     parts = made.groupBy("lang", "range").applyInArrow(lambda group: work.phrases(group), "lang string, phrase string, n bigint")
-    counted = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") >= least))
-    return stored(counted, "phrase-counts")
+    counted = parts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    totals = words.filter(F.col("word").isNull()).select("lang", F.lit(None).cast("string").alias("phrase"), "n")
+    return stored(counted.unionByName(totals), "phrase-counts")
 
 
 def scored(candidates: pa.Table, answers: pa.Table) -> pa.Table:
