@@ -114,35 +114,53 @@ def distance(p: str, q: str) -> str:
     return f"((({p} - {q}) * ({p} - {q})) div {q})"
 
 
-def common(table: pa.Table) -> pa.Table:
-    """The last sum for the sources that share terms in one block of one language."""
+def common(table: pa.Table) -> pa.RecordBatch:
+    """The last sum for the sources that share terms, over rows of whole terms in order."""
     table = table.combine_chunks()
-    term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
-    encoded = table.column("source").combine_chunks().dictionary_encode()
-    names, source = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
-    order = np.argsort(term, kind="stable")
-    term, source = term[order], source[order]
-    p, p0 = (table.column(c).to_numpy()[order] for c in ("p", "p0"))
+    codes = {c: table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term", "source")}
+    lang, term, source = (codes[c].indices.to_numpy().astype(np.int64) for c in ("lang", "term", "source"))
+    langs, names = codes["lang"].dictionary, codes["source"].dictionary
+    p, p0 = (table.column(c).to_numpy() for c in ("p", "p0"))
     n, gap = len(names), 1
     pairs, sums = [], []
     f = lambda x, y: (x - y) * (x - y) // y
-    while True:
+    while gap < len(term):
         # the rows of a term stand together: each with the one ``gap`` places on
-        i = np.flatnonzero(term[gap:] == term[:len(term) - gap]) if gap < len(term) else np.zeros(0, np.int64)
+        i = np.flatnonzero((term[gap:] == term[:-gap]) & (lang[gap:] == lang[:-gap]))
         if not len(i):
             break
         for a, b in ((i, i + gap), (i + gap, i)):
             value = f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b])
-            pair = source[a] * n + source[b]
+            pair = (lang[a] * n + source[a]) * n + source[b]
             by = np.argsort(pair, kind="stable")
             first = np.flatnonzero(np.r_[True, pair[by][1:] != pair[by][:-1]])
             pairs.append(pair[by][first])
             sums.append(np.add.reduceat(value[by], first))
         gap += 1
-    pair = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-    return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(pair), pa.string()),
-                     "source": pc.take(names, pa.array(pair // n)), "item": pc.take(names, pa.array(pair % n)),
-                     "value": pa.array(np.concatenate(sums) if sums else np.zeros(0, np.int64), pa.int64())})
+    pair = np.concatenate([np.zeros(0, np.int64), *pairs])
+    value = np.concatenate([np.zeros(0, np.int64), *sums])
+    columns = [langs.take(pa.array(pair // (n * n))), names.take(pa.array(pair // n % n)), names.take(pa.array(pair % n))] if len(pair) else \
+        [pa.array([], pa.string())] * 3
+    return pa.RecordBatch.from_arrays([*columns, pa.array(value)], names=["lang", "source", "item", "value"])
+
+
+def _common_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``common`` over blocks of some ten thousand rows of a sorted partition, cut between terms."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= BLOCK_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = table.slice(size - 1)
+            same = pc.and_(pc.equal(table.column("term"), last.column("term")[0]), pc.equal(table.column("lang"), last.column("lang")[0]))
+            cut = size - pc.sum(same).as_py()
+            if cut:
+                yield common(table.slice(0, cut))
+            held, size = table.slice(cut).to_batches(), size - cut
+    if size:
+        yield common(pa.Table.from_batches(held))
 
 
 def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -183,9 +201,8 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
     first = met.select("lang", "source", "item", F.expr(f"n * ({distance('p', 'q0')} - {distance('p0', 'q0')})").alias("value"))
     second = met.select("lang", F.col("item").alias("source"), F.col("source").alias("item"),
                         F.expr(f"n * ({distance('q0', 'p')} - {distance('q0', 'p0')})").alias("value"))
-    blocks = max(1, counts.count() // BLOCK_ROWS)
-    both = (terms.select("lang", "source", "term", "p", "p0", F.pmod(F.xxhash64("term"), F.lit(blocks)).alias("block"))
-            .groupBy("lang", "block").applyInArrow(common, "lang string, source string, item string, value bigint"))
+    both = (terms.select("lang", "source", "term", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
+            .mapInArrow(_common_blocks, "lang string, source string, item string, value bigint"))
     pairs = base.union(first).union(second).union(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     placed = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))))
     columns = lambda x, part: x.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
