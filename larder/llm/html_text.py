@@ -2,9 +2,13 @@
 
 A page becomes a tree of elements. Every paragraph gives its container points for its
 length and its commas (half of them to the grandparent, less further up); a container's
-points are discounted by its link density. The best container and those siblings that
-score near it are kept; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are left out wherever they stand.
+points are discounted by its link density. The best container (the article element around
+it, if any) and those siblings that score near it are kept; menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
+wherever they stand. A form around most of a page's paragraphs is the page itself.
+
+Time is linear in the page: an end tag is looked up only if an element of its name is
+open, and elements are skipped from block to block.
 
 Defined cases: null or empty html gives an empty text; a page without any element is one
 block of text; unclosed, crossed or cut-off markup is closed where HTML would close it;
@@ -32,12 +36,13 @@ RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary "
                   "table tbody td tfoot th thead tr ul dialog".split())
-DROPPED = frozenset("nav header footer aside form button menu dialog head fieldset datalist label noscript template svg "
-                    "math select object canvas audio video".split())
+DROPPED = frozenset("nav header footer aside button menu dialog head fieldset datalist label noscript template svg "
+                    "select object canvas audio video".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "caption"}
 ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-ITEM_SCOPE = frozenset("ul ol menu dl table tbody thead tfoot article section div body".split())
+#: Blocks that an item which a new one ends may be behind.
+THROUGH = frozenset("p tbody thead tfoot section article".split())
 
 def names(words: str) -> re.Pattern:
     return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
@@ -50,6 +55,8 @@ COMMENTS = r"comments?|comment(?:s?list|form|box|area|body|text|section)|respond
 UNWANTED = names(
     rf"{ADVERT}|{COMMENTS}|sidebar\w*|side|aside|\w*footer|foot|cookie\w*|consent\w*|gdpr|popup\w*|modal|"
     r"overlay|newsletter\w*|signup|login|hidden|outbrain|taboola|shoutbox")
+#: The same for paragraphs, headings and quotations, whose classes often tell their looks.
+UNWANTED_TEXT = names(rf"{ADVERT}|{COMMENTS}|cookie\w*|consent\w*|gdpr|newsletter\w*|hidden|outbrain|taboola|shoutbox")
 #: Left out whatever they hold if a class says so; an id can be the slug of a heading.
 NOTICE = names(r"notices?|alerts?|warning|disclaimer|discussion|feedback")
 #: Left out unless they hold paragraphs (see ``doubts``).
@@ -71,9 +78,11 @@ WANTED = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+# a quote opens a quoted value only after the equals sign
+INSIDE_TAG = r"(?:[^<>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)|=)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(" + RAW + r")(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)|</?\Z",
+    r"<!--.*?(?:--!?>|\Z)|<(" + RAW + r")(?=[\s/>])" + INSIDE_TAG + r">.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)(" + INSIDE_TAG + r")>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>|</?[a-zA-Z][^<>]*(?:>|\Z)|</?\Z",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|\Z))", re.I)
 SPACE = re.compile(r"\s+")
@@ -86,14 +95,18 @@ MENU_LINKS, MENU_DENSITY = 3, 0.6
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "bonus", "score", "length", "linked", "links", "order", "doubt", "inside")
+    __slots__ = ("tag", "parent", "children", "bad", "bonus", "score", "plain", "length", "linked", "links", "order", "doubt", "inside",
+                 "block", "open")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool, bonus: float, order: int):
         self.tag, self.parent, self.bad, self.bonus, self.order = tag, parent, bad, bonus, order
         self.children: list = []
         self.doubt = False
         self.inside = tag in ("article", "main") or parent is not None and parent.inside
-        self.score = 0.0
+        # the block that the element is or stands in; a block counts its open inline elements by name
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.open: dict = {}
+        self.score = self.plain = 0.0
         self.length = self.linked = self.links = 0
 
 
@@ -103,6 +116,17 @@ def parse(source: str) -> Node:
     doubtful = False
     root = node = Node("#root", None, False, 0, 0)
     order, at = 0, 0
+    open_blocks: dict[str, int] = {}
+
+    def close_to(up: Node) -> Node:
+        """Closes elements up to a child of ``up``."""
+        nonlocal node
+        while node is not up:
+            counts = open_blocks if node.tag in BLOCK else node.block.open
+            counts[node.tag] -= 1
+            node = node.parent
+        return node
+
     for m in TOKEN.finditer(source):
         if m.start() > at:
             node.children.append(source[at:m.start()])
@@ -112,12 +136,21 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(2):
-            node = close(node, tag)
+            # an inline end tag never closes a block
+            if tag in BLOCK and open_blocks.get(tag) or tag not in BLOCK and node.block.open.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                close_to(up.parent)
             continue
-        if tag in CLOSES_P:
-            node = close_in(node, {"p"}, ITEM_SCOPE | {"li", "td", "th", "blockquote"})
+        if tag in CLOSES_P and node.block.tag == "p":
+            close_to(node.block.parent)  # a block ends an open paragraph, so none is open further out
         if tag in ITEM:
-            node = close_in(node, ITEM[tag], ITEM_SCOPE - {"tbody", "thead", "tfoot", "section", "article", "div"} | {"div"})
+            up = node.block
+            while up.tag in THROUGH and up.tag not in ITEM[tag]:
+                up = up.parent.block
+            if up.tag in ITEM[tag]:
+                close_to(up.parent)
         if tag in ("br", "hr"):
             node.children.append("\n" if tag == "br" else Node("hr", node, False, 0, order))
             continue
@@ -130,6 +163,8 @@ def parse(source: str) -> Node:
         doubtful |= child.doubt
         node.children.append(child)
         if not m.group(4).rstrip().endswith("/") or tag in BLOCK:
+            counts = open_blocks if tag in BLOCK else child.block.open
+            counts[tag] = counts.get(tag, 0) + 1
             node = child
     if at < len(source):
         node.children.append(source[at:])
@@ -138,36 +173,11 @@ def parse(source: str) -> Node:
     return root
 
 
-def close(node: Node, tag: str) -> Node:
-    """The end tag ``tag``: up to the parent of its element, if one is open. An inline
-    end tag never closes a block."""
-    up = node
-    while up.parent is not None:
-        if up.tag == tag:
-            return up.parent
-        if up.tag in BLOCK and tag not in BLOCK:
-            return node
-        up = up.parent
-    return node
-
-
-def close_in(node: Node, tags: set, scope: frozenset | set) -> Node:
-    """An element that a new one ends implicitly (``p``, ``li`` and such)."""
-    up = node
-    while up.parent is not None:
-        if up.tag in tags:
-            return up.parent
-        if up.tag in scope:
-            return node
-        up = up.parent
-    return node
-
-
 def judge(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool, bool]:
     """Whether an element is unwanted with all it holds; the points it starts with;
     whether its name alone speaks against it; whether its role is that of the main part.
     ``inside`` tells that it stands in an article or main element."""
-    bad, bonus, doubt, own_main = tag in DROPPED, 0.0, False, False
+    bad, bonus, doubt, own_main = tag in DROPPED, 0.0, tag == "form", False
     if tag in ("article", "main"):
         bonus += 30
     elif tag in ("div", "section", "td"):
@@ -183,11 +193,12 @@ def judge(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool, b
                 if name == "id" and (tag in HEADINGS or inside and tag in SLUGGED):
                     named = False
                     bad |= tag == "section" and bool(READERS.fullmatch(whole.strip()))
-                if named and (NO_ARTICLE if tag == "article" else UNWANTED).search(value):
+                text = tag in SIBLINGS
+                if named and (NO_ARTICLE if tag == "article" else UNWANTED_TEXT if text else UNWANTED).search(value):
                     bad = True
                 elif named and tag != "article" and NOTICE.search(value):
                     bad, doubt = bad or name == "class", True
-                elif named and tag != "article" and DOUBTFUL.search(value):
+                elif named and tag != "article" and not text and DOUBTFUL.search(value):
                     doubt = True
                 elif WANTED.search(value):
                     bonus += 15
@@ -277,6 +288,7 @@ def scored(root: Node) -> list[Node]:
             share = 1 / (2 * level)
             up = up.parent
     for node in nodes:
+        node.plain = node.score * (1 - density(node))
         node.score = (node.score + node.bonus * (node.score > 0)) * (1 - density(node))
     return nodes
 
@@ -309,23 +321,24 @@ def density(node: Node) -> float:
 
 
 def is_menu(node: Node) -> bool:
-    """A list or box made of links."""
-    return (node.tag in ("ul", "ol", "div", "section", "dl", "table", "p")
+    """A list or box made of links. What an article or main element holds is its own: lists
+    of references are linked texts too."""
+    return (node.tag in ("ul", "ol", "div", "section", "dl", "table") and not node.inside
             and node.links >= MENU_LINKS and density(node) > MENU_DENSITY)
 
 
-def blocks(node: Node, out: list[str]) -> None:
+def blocks(node: Node, out: list[list[str]]) -> None:
     """The texts of an element's blocks in page order; ``out[-1]`` is the open block."""
     stack: list = [node]
     while stack:
         x = stack.pop()
         if x is None:
-            out.append("")
+            out.append([])
         elif isinstance(x, str):
-            out[-1] += x
+            out[-1].append(x)
         elif not x.bad and not is_menu(x):
             if x.tag in BLOCK or x.tag == "hr":
-                out.append("")
+                out.append([])
                 stack.append(None)
             stack.extend(reversed(x.children))
 
@@ -340,15 +353,17 @@ def main_text(source: str | None) -> str:
                key=lambda x: (x.score, -x.order), default=root)
     best = home(best)
     chosen = [best]
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
-        least = max(10.0, SIBLING_SHARE * best.score)
-        chosen = [x for x in best.parent.children if x is best or not isinstance(x, str) and not x.bad and density(x) < 0.25 and (
-            x.score >= least or x.tag in SIBLINGS and x.length)]
-    out = [""]
+    if best.parent is not None and best.tag not in ("main", "body"):
+        # an article element's points for being one say nothing of its siblings
+        own = (lambda x: x.plain) if best.tag == "article" else (lambda x: x.score)
+        least = max(10.0, SIBLING_SHARE * own(best)) if best.tag != "article" else SIBLING_SHARE * own(best)
+        chosen = [x for x in best.parent.children if x is best or not isinstance(x, str) and not x.bad and not is_menu(x)
+                  and density(x) < 0.25 and (own(x) >= least or x.tag in SIBLINGS and x.length)]
+    out: list[list[str]] = [[]]
     for x in chosen:
         blocks(x, out)
-        out.append("")
-    return "\n".join(t for t in map(clean, out) if t)
+        out.append([])
+    return "\n".join(t for t in map(clean, map("".join, out)) if t)
 
 
 def extract(df: DataFrame, source: str = "html", carry: Sequence[str] | None = None) -> DataFrame:
