@@ -39,6 +39,8 @@ ORDER = 4
 DISCOUNT = 0.75
 SAMPLE_CHARS = 4_000_000
 SAMPLE_DOCS = 4_000
+#: Most labels that a model is fitted for.
+MOST_LANGUAGES = 1_000
 CALIBRATION_SHARE = 5  # one sampled row in so many calibrates rejection
 REJECT_SIGMA = 4.0
 OWN_LETTERS = 0.999  # a language's own letters make up this share of its letters
@@ -296,17 +298,22 @@ def count_grams(sample: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_chars: int = SAMPLE_CHARS,
-          sample_docs: int = SAMPLE_DOCS) -> Model:
+          sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
     """The models of all languages of ``labelled``, from a sample of about
-    ``sample_chars`` characters and ``sample_docs`` rows a language at most."""
+    ``sample_chars`` characters and ``sample_docs`` different texts a language at most; more
+    than ``most_languages`` labels are an error, for a model has a column for each."""
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).dropna()
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).collect()
+    # copies of a text count once here and in the sample
+    texts = rows.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).distinct()
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("chars")).limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} language labels")
     if not sizes:
         return Model([], np.zeros(0, np.uint32))
     share = {r["lang"]: min(1.0, sample_chars / max(1, r["chars"]), sample_docs / r["docs"]) for r in sizes}
     limit = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in share]), F.array(*[F.lit(v) for v in share.values()])), F.col("lang"))
     roll = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(roll < limit).withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(CALIBRATION_SHARE)))
+    sample = rows.filter(roll < limit).distinct().withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(CALIBRATION_SHARE)))
     counts = count_grams(sample.filter("fold > 0")).toPandas()
     if counts.empty:
         counts = count_grams(sample).toPandas()
