@@ -23,7 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -93,9 +93,9 @@ def _record(key, url, payload: memoryview, sha1: str, refers_to, name: str) -> I
             f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}",
             f"Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response"]
     if key is not None:
-        head.append(f"Record-Key: {key}")
+        head.append(f"Record-Key: {quote(str(key), safe='')}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {identity(refers_to)}", f"Refers-To-Key: {refers_to}", f"WARC-Profile: {IDENTICAL}",
+        head += [f"WARC-Refers-To: {identity(refers_to)}", f"Refers-To-Key: {quote(str(refers_to), safe='')}", f"WARC-Profile: {IDENTICAL}",
                  f"Content-Length: {len(http)}"]
         return _member(head, iter([http]))
     head.append(f"Content-Length: {len(http) + len(payload)}")
@@ -198,8 +198,9 @@ def chunks(archive: str, source, with_data: bool) -> Iterator[tuple]:
         http = stream.head()
         size = int(head["Content-Length"]) - sum(len(x.encode()) + 2 for x in http) - 2
         sha1, so_far, number = hashlib.sha1(), 0, 0
-        common = (archive, head["WARC-Record-ID"], head["WARC-Type"], head.get("Record-Key"), head["WARC-Target-URI"],
-                  head.get("Refers-To-Key"))
+        # keys are percent-encoded: a line end in one would end its header
+        own, refers_to = (None if x is None else unquote(x) for x in (head.get("Record-Key"), head.get("Refers-To-Key")))
+        common = (archive, head["WARC-Record-ID"], head["WARC-Type"], own, head["WARC-Target-URI"], refers_to)
         full = (int(head["Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"))
         for piece in stream.pieces(size) if size else [b""]:
             sha1.update(piece)
