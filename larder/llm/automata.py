@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
+import zstandard
 
 from larder.llm.columns import mix
 
@@ -169,11 +170,11 @@ class Automaton:
         compact = [(_narrow(np.diff(b)), label.astype(np.min_scalar_type(len(self.words))), _narrow(weight),
                     target.astype(np.min_scalar_type(int(target.max(initial=0)))))
                    for b, (label, weight, target) in zip(self.begin, self.arcs)]
-        return pickle.dumps((b"\xff".join(self.words), compact), protocol=5)
+        return zstandard.compress(pickle.dumps((b"\xff".join(self.words), compact), protocol=5))
 
     @classmethod
     def loads(cls, data: bytes) -> Automaton:
-        words, compact = pickle.loads(data)
+        words, compact = pickle.loads(zstandard.decompress(data))
         begin = [np.concatenate([[0], np.cumsum(_wide(*b))]) for b, *_ in compact]
         arcs = [(label.astype(np.int64), _wide(*weight), target.astype(np.int64)) for _, label, weight, target in compact]
         return cls(words.split(b"\xff") if words else [], begin, arcs)
