@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -205,27 +207,67 @@ def test_near_duplicates_edges(spark, edge_docs, no_docs):
     out = near_dups.near_duplicates(edge_docs)
     assert out.count() == edge_docs.count() and [c.lower() for c in out.columns].count("kept") == 1
     assert near_dups.near_duplicates(no_docs).count() == 0
-    assert near_dups.fingerprint(pa.array([None, "", "x"]))[0].to_pylist() == [0, 0, 1]
+    assert near_dups.fingerprint(pa.array([None, "", "x"]), 75)[0].to_pylist() == [0, 0, 1]
 
 
 # --- pipeline and queries --------------------------------------------------------------
 
-def test_short_texts_with_unlike_sketches_are_linked(spark):
-    """Seven and eight words, three of four shingles shared: sketches of few hashes may agree
-    in far less than 75 % of their slots."""
+def test_sets_of_a_few_shingles_never_miss_a_link(spark):
+    """Seven and eight words, three of four shingles shared: sketches of so few hashes may
+    share no band, the rarest shingles always meet. Some shingles are in a third of the texts."""
     roll = random.Random(3)
-    whole = [" ".join(f"w{roll.randrange(10**6)}" for _ in range(8)) for _ in range(6000)]
-    sketch = [near_dups.sketches(*near_dups.shingle_sets(pa.array([x.rsplit(" ", cut)[0] for x in whole]))) if cut else
-              near_dups.sketches(*near_dups.shingle_sets(pa.array(whole))) for cut in (0, 1)]
-    same = sketch[0] == sketch[1]
-    banded = same[:, :near_dups.BANDS * near_dups.ROWS].reshape(len(whole), near_dups.BANDS, near_dups.ROWS).all(axis=2).any(axis=1)
-    odd = [x for x, low, met in zip(whole, same.mean(axis=1) < near_dups.LEAST_AGREEMENT, banded) if low and met]
-    assert odd
-    rows = [(2 * k + side, x.rsplit(" ", 1)[0] if side else x) for k, x in enumerate(odd) for side in (0, 1)]
+    whole = [" ".join(f"w{roll.randrange(10**6)}" for _ in range(8)) for _ in range(3000)]
+    whole += ["all these texts end the same " + " ".join(f"v{roll.randrange(10**6)}" for _ in range(24)) for _ in range(300)]
+    rows = [(2 * k + side, x.rsplit(" ", 1)[0] if side else x) for k, x in enumerate(whole) for side in (0, 1)]
     out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == {i: i - i % 2 for i, _ in rows}
 
 
+@pytest.mark.parametrize("n", [60, 63, 64, 65, 80, 85, 86])
+def test_sets_on_both_sides_of_few_are_linked(spark, n):
+    roll = random.Random(n)
+    words = [f"w{roll.randrange(10**6)}" for _ in range(n + 4)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-(n // 5)])), (3, " ".join(words[n // 2:] + words[:n // 2]))]
+    check_components(spark, rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=300), st.lists(st.integers(0, 400), max_size=300))
+def test_counts_bound_the_shared_hashes(x, y):
+    """The bound is never below the intersection, whatever the sizes, and 255 is open-ended."""
+    spread = lambda v: np.unique(near_dups.mix(np.array(v, np.uint64) + np.uint64(1)) if len(v) else np.zeros(0, np.uint64))
+    a, b = spread(x), spread(y)
+    most = near_dups.most_shared(near_dups.stretch_counts(a), near_dups.stretch_counts(b))
+    assert most >= len(np.intersect1d(a, b))
+    packed = np.arange(1000, dtype=np.uint64)    # all in one stretch
+    assert near_dups.most_shared(near_dups.stretch_counts(packed), near_dups.stretch_counts(packed)) >= 1000
+
+
+def test_texts_near_the_threshold_against_all_pairs(spark):
+    """Pairs just above and below 75 %, sets of 66 shingles and more."""
+    roll = random.Random(8)
+    rows = []
+    for k in range(150):
+        words = [f"w{roll.randrange(10**6)}" for _ in range(roll.choice([70, 90, 200]))]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:int(len(words) * roll.uniform(0.72, 0.8))])))
+    check_components(spark, rows)
+
+
+def test_long_texts_are_cut_into_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK_BYTES", 2000)
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(30):
+        copy = list(base)
+        for _ in range(rnd.choice([1, 3, 5, 7])):
+            copy[rnd.randrange(len(copy))] = word()
+        rows.append((i, " ".join(copy)))
+    check_components(spark, rows)
+
+
 def test_pipeline_stages(spark, smoke_dir):
     docs = spark.read.parquet(f"{smoke_dir}/documents.parquet")
     extra = spark.createDataFrame([(10**6, "12345 --", "en", "s", 8), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "mail bob@example.com today please my friend", "en", "s", 45),

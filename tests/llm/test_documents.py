@@ -1,6 +1,7 @@
 """Quality, sharding, decontamination, personal data and packing against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -74,7 +75,7 @@ BENCH = [(1, "Two WORDS"), (2, "a b c d"), (3, None), (4, "--"), (10, "1 2 3 4 5
          (1, "Two WORDS"), (5, "the cat sat on the mat the cat sat on the mat the cat sat"), (6, "été")]
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 40])
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 150])
 def test_decontamination_matches_brute_force(spark, edge_docs, block_bytes):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     carry = ["doc_id", "text"]
@@ -87,6 +88,37 @@ def test_decontamination_matches_brute_force(spark, edge_docs, block_bytes):
         assert sum(b - a for a, b in zip(flat[::2], flat[1::2])) == r.n_hit
 
 
+def test_blocks_of_the_benchmark_are_bounded(spark, monkeypatch):
+    """A third of the rows equal and one huge item: ten blocks or more, none above the
+    bound and one piece, one Python worker a task, the same answer."""
+    roll = random.Random(2)
+    word = lambda: "".join(roll.choice("abcdef") for _ in range(4))
+    huge = [word() for _ in range(900)]
+    items = [(7, " ".join(huge)), *[(8, "the same item, " * 6)] * 40, *[(100 + i, " ".join(word() for _ in range(20))) for i in range(30)]]
+    docs = [(i, " ".join(huge[30 * i:30 * i + 25] + [word() for _ in range(30)])) for i in range(25)] + [(99, "the same item, " * 6), (98, None)]
+    sizes, made = [], decontaminate.Tables
+
+    class Watched(made):
+        def __init__(self, own, window=13):
+            super().__init__(own, window)
+            sizes.append((sum(len(t) for _, t in own), self.nbytes() - sum(t.shift.nbytes for t in self.searchers)))
+
+    monkeypatch.setattr(decontaminate, "Tables", Watched)
+    plans = []
+    stored = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df, name))[1])
+    out = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"),
+                                      carry=["doc_id"], block_bytes=600)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(decontaminate, "Tables", made)
+    assert len(sizes) >= 10 and max(n for n, _ in sizes) <= 600 + 150
+    assert all(p.count("MapInArrow") <= 1 for p in plans)
+    assert all(b <= 8 * n for n, b in sizes)    # 26 bytes a word of four letters and a space
+    for r in out.collect():
+        want = brute_contaminated(dict(docs)[r.doc_id], items)
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want, r.doc_id
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(edge_docs, none).filter("contaminated").count() == 0
@@ -98,7 +130,7 @@ def test_decontamination_edges(spark, edge_docs, no_docs):
 def test_word_search_matches_brute_force(text, items):
     import pyarrow as pa
     bench = [(i, " ".join(x)) for i, x in enumerate(items)]
-    n, ranges, found = decontaminate.occurrences(decontaminate.build(bench), pa.array([" ".join(text)]))
+    n, ranges, found = decontaminate.occurrences(decontaminate.Tables(bench), pa.array([" ".join(text)]))
     want = brute_contaminated(" ".join(text), bench)
     assert (int(n[0]), sum(b - a for a, b in decontaminate.merged(ranges[0])), len(found[0])) == want[:3]
 
