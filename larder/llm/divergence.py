@@ -63,7 +63,7 @@ def runs(data: bytes) -> Iterator[list[bytes]]:
         if hi < 0:
             break
         yield data[lo:hi].split()
-        lo = hi
+        lo = hi + 1
     yield data[lo:].split()
 
 
