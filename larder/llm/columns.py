@@ -30,6 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it (whatever its case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with those of its columns renamed that have one of the given names, and how to
+    rename them back (``withColumnsRenamed``)."""
+    clash = [c for c in df.columns if c.lower() in names]
+    renamed: dict[str, str] = {}
+    for c in clash:
+        renamed[c] = free_name(f"{c}_", [*df.columns, *names, *renamed.values()])
+    return df.withColumnsRenamed(renamed) if renamed else df, {v: k for k, v in renamed.items()}
+
+
 def map_text(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Callable[[], Callable],
              carry: Sequence[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``df``'s ``carry`` columns (all by default) with result columns computed from the
@@ -42,7 +60,7 @@ def map_text(df: DataFrame, text: str, fields: Sequence[T.StructField], make: Ca
     small_batches(df.sparkSession)
     taken = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text__"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(free_name("__text__", kept)))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     names, n_kept = schema.names, len(kept)
 

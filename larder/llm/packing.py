@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.columns import SLICE_BYTES, cuts, small_batches
+from larder.llm.columns import SLICE_BYTES, cuts, free_name, set_aside, small_batches
 from larder.llm.shared import stored
 
 CAPACITY = 2048
@@ -88,7 +88,7 @@ def pieces(df: DataFrame, text: str = "text", carry: Sequence[str] | None = None
     fields = [*PIECE, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
     taken = {f.name for f in fields} | {"sequence_id", "offset"}
     kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in taken]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text__"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(free_name("__text__", kept)))
     schema = T.StructType([*source.schema.fields[:-1], *fields])
     types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * with_ids
 
@@ -152,6 +152,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     """The pieces with ``sequence_id`` and the gapless ``offset`` in their sequence. The
     number of groups follows the number of pieces."""
     groups = max(1, -(-parts.count() // group_pieces))
+    parts, back = set_aside(parts, ("__row", "__group"))
     rows = parts.withColumn("__row", F.monotonically_increasing_id())
     rows = rows.withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -160,4 +161,4 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pack_group(group, capacity)[columns]
 
-    return rows.groupBy("__group").applyInPandas(run, schema).drop("__row", "__group")
+    return rows.groupBy("__group").applyInPandas(run, schema).drop("__row", "__group").withColumnsRenamed(back)

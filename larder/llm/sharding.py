@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.columns import set_aside
 from larder.llm.shared import stored
 
 DIGITS = 48  # of a key: 16 hexadecimal digits each for text, id and row number
@@ -45,6 +46,10 @@ class Interval:
     most: str
 
 
+#: Names of columns that only live inside.
+INSIDE = ("__text", "__id", "__row", "__key", "__part", "__rank", "__base")
+
+
 def keyed(df: DataFrame, text: str, id_column: str) -> DataFrame:
     """``df`` with size, crc and sort key; the text itself only if it is a column of the
     caller's choice. Written once, so that row numbers stay as they are."""
@@ -123,7 +128,9 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", id_column: str =
     ``shard`` (0 to ``shards`` - 1, sizes near equal) and the gapless ``slot`` in it."""
     results = {"size", "text_crc32", "shard", "slot"}
     names = [c for c in (df.columns if carry is None else carry) if c.lower() not in results]
-    plain = df.select(*[F.col(f"`{c}`") for c in {*names, text, id_column}])
+    plain, back = set_aside(df.select(*[F.col(f"`{c}`") for c in {*names, text, id_column}]), INSIDE)
+    now = {old: new for new, old in back.items()}
+    names, text, id_column = [now.get(c, c) for c in names], now.get(text, text), now.get(id_column, id_column)
     source = keyed(plain, text, id_column).select(*[F.col(f"`{c}`") for c in names], "size", "text_crc32", "__text", "__id", "__row")
     source = stored(source, "shard-keys")
     keys = source.select(sort_key().alias("key"), "size")
@@ -142,4 +149,4 @@ def shard(df: DataFrame, shards: int = 16, text: str = "text", id_column: str =
     order = Window.partitionBy("__part").orderBy("__key")
     ranked = parted.withColumn("__rank", F.row_number().over(order) - 1)
     return ranked.join(F.broadcast(numbers), "__part").select(
-        *[F.col(f"`{c}`") for c in names], "size", "text_crc32", "shard", (F.col("__base") + F.col("__rank")).alias("slot"))
+        *[F.col(f"`{c}`") for c in names], "size", "text_crc32", "shard", (F.col("__base") + F.col("__rank")).alias("slot")).withColumnsRenamed(back)
