@@ -161,7 +161,7 @@ def test_the_best_container_by_brute_force(data):
 
 
 def test_main_text_of_odd_pages():
-    assert [html_text.main_text(x) for x in (None, "", "<nav>x</nav>", "plain < 5", "<p>a", "<p title='>x</p>y")] == ["", "", "", "plain < 5", "a", "xy"]
+    assert [html_text.main_text(x) for x in (None, "", "<nav>x</nav>", "plain < 5", "<p>a", "<p title='>x</p>y")] == ["", "", "", "plain < 5", "a", "x\ny"]
     assert html_text.main_text("<b>" * 20000 + "deep") == "deep"
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     html_text.main_text("<a " * 30000)
