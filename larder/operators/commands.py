@@ -86,9 +86,15 @@ def _by_key(table: DataFrame, key: str, *columns: Column) -> DataFrame:
     """One row per key of a table (``_id`` and the given columns), so that every call finds
     at most one: of several rows with one id the least, column by column in their order."""
     if not columns:
-        return table.select(F.col(key).alias("_id")).distinct()
-    found = F.min(F.struct(*columns)).alias("_row")
-    return table.groupBy(F.col(key).alias("_id")).agg(found).select("_id", "_row.*")
+        return table.select(F.col(key).alias("_k")).distinct().select(_own_shuffle("_k").alias("_id"))
+    return table.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*columns)).alias("_row")).select(_own_shuffle("_k").alias("_id"), "_row.*")
+
+
+def _own_shuffle(key: str) -> Column:
+    """The key of an aggregate that becomes a side of a join. As a computed value it is
+    shuffled once more (one row per key), and only a join whose sides are plain shuffles
+    is split where one key has most of the calls."""
+    return F.col(key).cast("string").cast("bigint")
 
 
 def _outcomes(df: DataFrame, key: Column) -> DataFrame:
@@ -339,7 +345,8 @@ def complete_tasks(task: DataFrame, commands: DataFrame, now, store: bool = Fals
     map-side, so skew-proof) rather than a window over each task's calls."""
     t = _by_key(task, "task_id", F.col("status").alias("_status"), F.col("recurring").alias("_rec"))
     first = (commands.filter(F.col("task_id").isNotNull())
-             .groupBy(F.col("task_id").alias("_fid")).agg(F.min("seq").alias("_first")))
+             .groupBy(F.col("task_id").alias("_f")).agg(F.min("seq").alias("_first"))
+             .select(_own_shuffle("_f").alias("_fid"), "_first"))
     joined = (commands.join(t, commands["task_id"] == t["_id"], "left")
               .join(first, F.col("task_id") == F.col("_fid"), "left"))
     code = first_failure([

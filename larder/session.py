@@ -48,6 +48,8 @@ def configure(spark: SparkSession) -> SparkSession:
     # split a skewed join also where an aggregate or a second join on the same key follows
     # (at the price of one more shuffle there)
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Spark's own default: queries over long texts lower it for themselves
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return spark
 
 
