@@ -296,19 +296,20 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
 def across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The links between different components of the same bucket."""
     marked = members.select("bucket", "band", "c").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    sizes = marked.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    split = sizes.groupBy("bucket").agg(F.sum("k").alias("size"), F.count("*").alias("n"), F.max(F.struct("k", "label")).alias("m"))
-    split = split.filter("n > 1").select("bucket", "size", F.col("m.label").alias("most"))
-    apart = stored(marked.join(split, "bucket"), "apart")
+    marked = marked.join(classes.select("c", "len"), "c")
+    sizes = marked.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum("len").alias("bytes"))
+    split = sizes.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum("bytes").alias("bytes"), F.count("*").alias("n"),
+                                        F.max(F.struct("k", "label")).alias("m"))
+    split = split.filter("n > 1").select("bucket", "size", "bytes", F.col("m.label").alias("most"))
+    apart = stored(marked.drop("len").join(split, "bucket"), "apart")
     met = apart.select("c").distinct()
-    wanted = sieved(classes, "c", met).select("c", "t", "len", "sketch", "counts").join(met, "c")
+    wanted = sieved(classes, "c", met).select("c", "t", "sketch", "counts").join(met, "c")
     wanted = stored(wanted, "apart-classes")
-    full = wanted.join(texts_of(docs, wanted.select("t")), "t").drop("t", "len")
+    full = wanted.join(texts_of(docs, wanted.select("t")), "t").drop("t")
 
     # as many blocks as keep both the classes and the bytes of each bounded
-    weights = apart.join(wanted.select("c", "len"), "c").groupBy("bucket").agg(F.sum("len").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    rows = apart.join(weights, "bucket").withColumn("block", F.pmod(F.xxhash64("c"), blocks))
+    rows = apart.withColumn("block", F.pmod(F.xxhash64("c"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "c",
                        "label", (F.col("label") != F.col("most")).alias("query"), "block")
