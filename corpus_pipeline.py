@@ -20,7 +20,9 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined and not rejected."""
+    """Documents whose language is determined and not rejected. A null or empty text and
+    one without letters are rejected; repeated rows are judged one by one; without a
+    labelled row to learn from nothing is determined, and an empty table stays empty."""
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
     # the verdicts go into columns of their own, whatever the documents have
     judged = language.identify(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text"), model)
@@ -43,18 +45,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more of the benchmark than the rule allows."""
+    """Documents that hold no more of the benchmark than the rule allows. Null and empty
+    texts are clean, repeated rows are judged one by one, and with an empty benchmark, or
+    an empty table, every row stays."""
     rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "text")
     return decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark")).filter("not contaminated").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by the kind."""
+    """Every document, its personal data replaced by the kind. A null text stays null; an
+    empty one, one without personal data and repeated rows stay as they are."""
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document and their places in training sequences."""
+    """The pieces of every document and their places in training sequences. A null or
+    empty text is one piece, its end token; repeated rows are pieces of their own, pieces
+    of one length go by row and start; an empty table gives no pieces."""
     return packing.pack(packing.pieces(docs, carry=["doc_id"]))
 
 
