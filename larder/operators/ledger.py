@@ -17,9 +17,11 @@ levels.
 
 Every item takes the same levels. Items whose requests fit a task (``rows_per_task``
 rows) are settled side by side in numpy after one shuffle by item; the requests of
-heavier items are range-partitioned by call order into chunks, and each level is a
-two-level scan (totals per chunk, offsets over an item's chunks, running sum inside
-a chunk) over the rows still open, so no task holds more than a chunk of any item.
+heavier items are range-partitioned by call order into chunks. A chunk takes all
+levels of the items that begin in it; for items that go on into further chunks each
+level is a two-level scan (totals per chunk, offsets over an item's chunks, running
+sum inside a chunk) over the rows still open, so no task holds more than a chunk of
+any item.
 Both work on the same opening balances and the same rules, and tests hold both
 against a sequential fold, on unclean stock too.
 
@@ -186,26 +188,60 @@ def _settle_batches(batches):
 _BALANCES = [T.StructField("_before_k", T.LongType()), T.StructField("_after_k", T.LongType())]
 
 
+def _with_opening(opening: DataFrame, checked: DataFrame) -> DataFrame:
+    """The requests and, as rows of ``_kind`` 0, the opening balances."""
+    req = checked.select(F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_open_k"), "*")
+    return req.unionByName(opening.select(F.lit(0).alias("_kind"), "_open_k", "item_id"), allowMissingColumns=True)
+
+
 def _by_item(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
     """The requests with their balances, settled item by item after one shuffle."""
-    req = checked.select(F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_open_k"), "*")
-    both = req.unionByName(opening.select(F.lit(0).alias("_kind"), "_open_k", "item_id"), allowMissingColumns=True)
-    ordered = both.repartition("item_id").sortWithinPartitions("item_id", "_kind", *order_cols)
+    ordered = _with_opening(opening, checked).repartition("item_id").sortWithinPartitions("item_id", "_kind", *order_cols)
     return ordered.mapInArrow(_settle_batches, T.StructType([*ordered.schema.fields, *_BALANCES])).drop("_kind", "_open_k")
 
 
+def _settle_chunk(batches):
+    """Settle one chunk as ``_settle_batches`` does. ``_begun`` marks the requests of an item
+    that began in an earlier chunk: their balances are still open."""
+    begun = []
+
+    def watched():
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun.append(batch.column("item_id")[0].as_py() if batch.column("_kind")[0].as_py() else None)
+            yield batch
+
+    for part in _settle_batches(watched()):
+        ids = part.column("item_id").to_numpy()
+        yield part.append_column("_begun", pa.array(np.full(len(ids), False) if begun[0] is None else ids == begun[0]))
+
+
 def _by_level(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str]) -> DataFrame:
-    """The requests with their balances, one level of all items at a time over chunks
-    of the call order. Settled rows of a level go to the shared folder; the next level
-    reads only the rows that are still open."""
-    columns = checked.columns
-    placed = (checked.repartitionByRange("item_id", *order_cols).sortWithinPartitions("item_id", *order_cols)
+    """The requests with their balances, settled over chunks of the call order. The pass
+    that cuts the chunks takes all levels of every item as far as the chunk in which it
+    begins; it moves and writes each request once. Only items that go on into the next
+    chunks are left (a chunk begins with one such item at most): they take one level at
+    a time over their chunks, in narrow rows and with one row per chunk to join. Settled
+    rows of a level go to the shared folder; the next level reads only the rows that are
+    still open."""
+    columns, order = checked.columns, ("item_id", "_kind", *order_cols)
+    placed = (_with_opening(opening, checked).repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_chunk", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id()))
-    placed = stored(placed, "ledger-placed")
-    level = placed.join(opening.withColumnRenamed("_open_k", "_u"), "item_id", "left")
-    settled: list[DataFrame] = []
+    placed = stored(placed.mapInArrow(_settle_chunk, T.StructType(
+        [*placed.schema.fields, *_BALANCES, T.StructField("_begun", T.BooleanType())])).drop("_kind", "_open_k"), "ledger-placed")
+    out = placed.filter(~F.col("_begun")).select(*columns, "_before_k", "_after_k")
+    going_on = placed.filter("_begun")
+    items = going_on.select("item_id").distinct()
+    if items.isEmpty():
+        return out
+    # the balance never rises: the least one of an item's first chunk is the one it goes on with
+    so_far = out.join(F.broadcast(items), "item_id", "left_semi").groupBy("item_id").agg(F.min("_after_k").alias("_so_far"))
+    start = (items.join(opening.join(F.broadcast(items), "item_id", "left_semi"), "item_id", "left").join(so_far, "item_id", "left")
+             .select("item_id", F.coalesce("_so_far", "_open_k").alias("_u")))
     valid = F.col("_pre").isNull() & F.col("_reason_ok")
-    u, q, here, left = F.col("_u"), F.col("_q_k"), F.col("_here"), F.col("_left")
+    level = going_on.select("item_id", "_chunk", "_pos", "_q_k", "_force", valid.alias("_valid")).join(F.broadcast(start), "item_id")
+    settled: list[DataFrame] = []
+    valid, u, q, here, left = F.col("_valid"), F.col("_u"), F.col("_q_k"), F.col("_here"), F.col("_left")
     small = valid & (F.col("_force") | (2 * q <= u))
     inside = Window.partitionBy("item_id", "_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     chunks_before = Window.partitionBy("item_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -214,24 +250,24 @@ def _by_level(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str])
         rows = level.withColumn("_taken", F.when(small & (u > 0), q).otherwise(F.lit(0)))
         totals = rows.groupBy("item_id", "_chunk").agg(F.sum("_taken").alias("_t"))
         offsets = totals.select("item_id", "_chunk", F.coalesce(F.sum("_t").over(chunks_before), F.lit(0)).alias("_offset"))
-        scanned = (rows.join(offsets, ["item_id", "_chunk"])
+        scanned = (rows.join(F.broadcast(offsets), ["item_id", "_chunk"])
                    .withColumn("_left", u - F.col("_offset") - F.sum("_taken").over(inside))
                    .withColumn("_here", F.col("_left") + F.col("_taken")))
         ends = (u > 0) & ((small & (2 * left < u)) | (valid & ~small & (q <= here)))
         first = (scanned.filter(ends).groupBy("item_id")
                  .agg(F.min(F.struct("_pos", F.greatest(F.lit(0), here - q).alias("after"))).alias("_end")))
-        step = stored(scanned.join(first, "item_id", "left").drop("_taken", "_offset"), "ledger-level")
+        step = stored(scanned.join(F.broadcast(first), "item_id", "left").drop("_taken", "_offset"), "ledger-level")
         stop = F.col("_end._pos")
         now = step.filter(stop.isNull() | (F.col("_pos") <= stop))
-        settled.append(now.select(*columns, here.alias("_before_k"),
+        settled.append(now.select("_pos", here.alias("_before_k"),
                                   F.when(F.col("_pos") == stop, F.col("_end.after")).otherwise(left).alias("_after_k")))
         level = step.filter(F.col("_pos") > stop).withColumn("_u", F.col("_end.after")).drop("_here", "_left", "_end")
         if level.isEmpty():
             break
-    out = settled[0]
+    found = settled[0]
     for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
+        found = found.unionByName(part)
+    return out.unionByName(going_on.select(*columns, "_pos").join(found, "_pos").drop("_pos"))
 
 
 def decided(balances: DataFrame) -> DataFrame:
@@ -254,6 +290,8 @@ def plan_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence
     nameless = checked.filter(F.col("item_id").isNull()).select(
         "*", *[F.lit(None).cast("bigint").alias(f.name) for f in _BALANCES])
     checked = checked.filter(F.col("item_id").isNotNull())
+    if rows_per_task < 1:   # every item has more
+        return decided(_by_level(opening, checked, order_cols).unionByName(nameless))
     heavy = checked.groupBy("item_id").count().filter(F.col("count") > rows_per_task).select("item_id")
     heavy = stored(heavy, "ledger-heavy")
     if heavy.isEmpty():

@@ -169,6 +169,36 @@ def test_hot_item_is_spread_over_tasks(spark):
     assert got == dict(enumerate(fold(stock, calls), 1))
 
 
+@pytest.mark.parametrize("forced", [False, True])
+def test_only_items_across_chunks_take_further_passes(spark, monkeypatch, forced):
+    """Chunked requests are moved and written once; rows are written again only for items
+    that go on into a further chunk, here a known and an unknown hot one."""
+    rnd = random.Random(23)
+    calls = [(rnd.choice([7, 5000] + list(range(1, 400)) * 2) if s % 4 else rnd.choice([7, 5000]), rnd.choice([0] + [rnd.randint(1, 900)] * 9),
+              forced or rnd.random() < 0.1, rnd.random() < 0.95) for s in range(4000)]
+    stock = [(i, 60_000 if i == 7 else rnd.randint(0, 4000)) for i in range(1, 400)]
+    inv, cmds = stock_frame(spark, stock), call_frame(spark, calls)
+    written, real = {}, L.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stored", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # it would merge chunks as small as these
+    try:
+        got = outcome_tuples(L.consume(inv, cmds, NOW, rows_per_task=0).outcomes)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == dict(enumerate(fold(stock, calls), 1))
+    hot = sum(1 for c in calls if c[0] in (7, 5000))
+    chunks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(sum(1 for c in calls if c[0] == i) for i in range(1, 400) if i != 7)
+    assert written["ledger-placed"] == [4000]
+    assert 0 < written["ledger-level"][0] <= hot + chunks * most < 2000
+
+
 def test_carry_over_arrow_batches(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
