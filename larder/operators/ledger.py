@@ -281,18 +281,25 @@ def decided(balances: DataFrame) -> DataFrame:
     return balances.withColumn("_code", code).withColumn("_ok", F.col("_code").isin("EXHAUSTED", "OK"))
 
 
+def requests_per_item(checked: DataFrame) -> DataFrame:
+    """(item_id, count) over the requests that name an item."""
+    return checked.filter(F.col("item_id").isNotNull()).groupBy("item_id").count()
+
+
 def plan_outcomes(inventory: DataFrame, checked: DataFrame, order_cols: Sequence[str],
-                  rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+                  rows_per_task: int = ROWS_PER_TASK, counts: DataFrame | None = None) -> DataFrame:
     """Every request with ``_before_k``, ``_after_k``, ``_ok`` and ``_code``. Which items
-    exceed a task is counted over all requests (one partial row per item and task)."""
+    exceed a task is counted over all requests (one partial row per item and task), or
+    taken from ``counts`` (``requests_per_item``) where the caller has them."""
     opening = opening_balances(inventory)
+    counts = requests_per_item(checked) if counts is None else counts
     # calls without an item have no balance; however many, they need no shuffle
     nameless = checked.filter(F.col("item_id").isNull()).select(
         "*", *[F.lit(None).cast("bigint").alias(f.name) for f in _BALANCES])
     checked = checked.filter(F.col("item_id").isNotNull())
     if rows_per_task < 1:   # every item has more
         return decided(_by_level(opening, checked, order_cols).unionByName(nameless))
-    heavy = checked.groupBy("item_id").count().filter(F.col("count") > rows_per_task).select("item_id")
+    heavy = counts.filter(F.col("count") > rows_per_task).select("item_id")
     heavy = stored(heavy, "ledger-heavy")
     if heavy.isEmpty():
         return decided(_by_item(opening, checked, order_cols).unionByName(nameless))

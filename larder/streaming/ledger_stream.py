@@ -15,7 +15,8 @@ for three micro-batches at sf0.1); the Arrow fold pays per row only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.running import numbered
 from ..operators import ledger as L
+from ..session import stored
 from ..sources import tables
 
 # Micro-batches between two full balance snapshots (see ``ledger_batch``).
@@ -43,6 +45,15 @@ _DELTA = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("qu
                        T.StructField("batch_id", T.IntegerType())])
 
 
+def _together(*writes: Callable[[], None]) -> None:
+    """Run writes that do not need one another side by side: tasks of one fill the cores
+    that the last tasks of another leave idle. All have ended when this returns or raises."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        running = [pool.submit(write) for write in writes]
+    for done in running:
+        done.result()
+
+
 class AcceptedRows(NamedTuple):
     """What a stream needs to write facts and audit rows: the tables whose ids the new ones
     follow, the job time, the call order inside a micro-batch (total), and the stretch of
@@ -63,12 +74,17 @@ class AcceptedRows(NamedTuple):
         last = self._last_ids() if batch_id == 0 else spark.read.parquet(f"{out_dir}/ids/batch_id={batch_id - 1}")
         fact, log = last.select("fact").scalar(), last.select("log").scalar()
         accepted = numbered(outcomes.filter("ok"), self.order)
-        tables.append_facts(L.fact_rows(accepted, fact, self.now), out_dir, "consumption", str(batch_id), self.every)
         audit = L.consume_audit(accepted, self.now).select((log + F.col("seq")).alias("log_id"), "*").drop("seq")
-        tables.append_facts(audit, out_dir, "audit_log", str(batch_id), self.every)
-        n = accepted.agg(F.count("*")).scalar()
-        (spark.range(1, numPartitions=1).select((fact + n).alias("fact"), (log + n).alias("log"))
-         .write.mode("overwrite").parquet(f"{out_dir}/ids/batch_id={batch_id}"))
+
+        def ids() -> None:
+            n = accepted.agg(F.count("*")).scalar()
+            (spark.range(1, numPartitions=1).select((fact + n).alias("fact"), (log + n).alias("log"))
+             .write.mode("overwrite").parquet(f"{out_dir}/ids/batch_id={batch_id}"))
+
+        _together(
+            lambda: tables.append_facts(L.fact_rows(accepted, fact, self.now), out_dir, "consumption", str(batch_id), self.every),
+            lambda: tables.append_facts(audit, out_dir, "audit_log", str(batch_id), self.every),
+            ids)
 
     def _last_ids(self) -> DataFrame:
         most = lambda df, key: F.coalesce(df.select(F.max(key)).scalar(), F.lit(0).cast("bigint"))
@@ -114,7 +130,9 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
     def run(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
         checked = L.check_requests(batch, order_cols, discard=False)
-        items = checked.select("item_id").distinct()
+        # one pass over the calls tells their items and which of them exceed a task
+        counts = stored(L.requests_per_item(checked), "ledger-counts")
+        items = counts.select("item_id")
         snap_id = -1 if batch_id == 0 else ((batch_id - 1) // compact_every) * compact_every
         base = inv_bal if snap_id < 0 else sess.read.parquet(f"{out_dir}/snapshot/batch_id={snap_id}")
         deltas = None
@@ -123,20 +141,25 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
         opening = base.join(items, "item_id", "left_semi")
         if deltas is not None:
             opening = _latest(opening, deltas.join(items, "item_id", "left_semi"))
-        folded = L.plan_outcomes(opening, checked, order_cols, rows_per_task)
+        folded = L.plan_outcomes(opening, checked, order_cols, rows_per_task, counts)
         outcomes = folded.select(
             *command_schema.fieldNames(), F.col("_reason").alias("effective_reason"), F.col("_force").alias("forced"),
             F.col("_ok").alias("ok"), F.col("_code").alias("code"),
             F.col("_before_k").alias("balance_before_k"), F.col("_after_k").alias("balance_after_k"))
         out_path = f"{out_dir}/outcomes/batch_id={batch_id}"
         outcomes.write.mode("overwrite").parquet(out_path)
-        delta = (sess.read.parquet(out_path).filter(F.col("ok")).groupBy("item_id")
-                 .agg((F.min("balance_after_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("quantity")))
-        delta.write.mode("overwrite").parquet(f"{out_dir}/delta/batch_id={batch_id}")
-        if rows is not None:
-            rows.write(sess, _with_balances(sess.read.parquet(out_path)), out_dir, batch_id)
-        if batch_id % compact_every == 0:
-            _latest(base, _deltas(sess, out_dir, snap_id + 1, batch_id + 1)).write.mode("overwrite").parquet(f"{out_dir}/snapshot/batch_id={batch_id}")
+
+        def balances() -> None:
+            delta = (sess.read.parquet(out_path).filter(F.col("ok")).groupBy("item_id")
+                     .agg((F.min("balance_after_k").cast("decimal(20,0)") / 1000).cast(S.QTY).alias("quantity")))
+            delta.write.mode("overwrite").parquet(f"{out_dir}/delta/batch_id={batch_id}")
+            if batch_id % compact_every == 0:
+                _latest(base, _deltas(sess, out_dir, snap_id + 1, batch_id + 1)).write.mode("overwrite").parquet(f"{out_dir}/snapshot/batch_id={batch_id}")
+
+        if rows is None:
+            balances()
+        else:
+            _together(balances, lambda: rows.write(sess, _with_balances(sess.read.parquet(out_path)), out_dir, batch_id))
 
     return run
 

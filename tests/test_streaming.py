@@ -3,6 +3,7 @@ after a crash inside a micro-batch (replay from the checkpoint)."""
 
 import datetime as dt
 import random
+import threading
 from decimal import Decimal
 
 import pytest
@@ -136,6 +137,50 @@ def test_stream_facts_and_audit_rows(spark, crash):
     assert listed(rows.drop("log_id")) == listed(want.audit.drop("seq"))
 
 
+def _stream_once(spark, inv, cmds):
+    """One micro-batch of the stream with facts and audit rows; its folder."""
+    facts, log = spark.createDataFrame([], S.CONSUMPTION), spark.createDataFrame([], S.AUDIT_LOG)
+    base = scratch_path(spark, "test-once")
+    cmds.write.parquet(f"{base}/source")
+    ST.ledger_stream(spark, inv, f"{base}/source", cmds.schema, f"{base}/ledger", f"{base}/checkpoint",
+                     rows=ST.AcceptedRows(facts, log, NOW, ("seq",))).awaitTermination()
+    return f"{base}/ledger"
+
+
+def test_stream_counts_a_batch_once(spark, monkeypatch):
+    """The items of a micro-batch and the requests of each come from one pass over its calls."""
+    inv, cmds = data(spark)
+    asked, real = [], L.requests_per_item
+    monkeypatch.setattr(L, "requests_per_item", lambda checked: asked.append(1) or real(checked))
+    out = _stream_once(spark, inv, cmds)
+    assert len(asked) == 1
+    assert balances(ST.read_outcomes(spark, out)) == balances(L.consume(inv, cmds, NOW).outcomes)
+
+
+def test_stream_writes_facts_and_audit_side_by_side(spark, monkeypatch):
+    """Neither table waits for the other one; a failed write still fails the batch."""
+    inv, cmds = data(spark)
+    both, real = threading.Barrier(2, timeout=120), tables.append_facts
+
+    def meeting(*args):
+        both.wait()
+        real(*args)
+
+    monkeypatch.setattr(tables, "append_facts", meeting)
+    out = _stream_once(spark, inv, cmds)
+    want = L.consume(inv, cmds, NOW)
+    assert tables.read(spark, out, "consumption").count() == tables.read(spark, out, "audit_log").count() == want.facts.count()
+
+    def failing(df, root, name, *more):
+        if name == "audit_log":
+            raise RuntimeError("disk full")
+        real(df, root, name, *more)
+
+    monkeypatch.setattr(tables, "append_facts", failing)
+    with pytest.raises(StreamingQueryException):
+        _stream_once(spark, inv, cmds)
+
+
 def test_append_sink_takes_a_replayed_batch_once(spark):
     """A micro-batch whose commit is lost runs again: the sink has its rows already."""
     import os
