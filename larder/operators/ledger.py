@@ -235,11 +235,11 @@ def _by_level(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str])
     if items.isEmpty():
         return out
     # the balance never rises: the least one of an item's first chunk is the one it goes on with
-    so_far = out.join(F.broadcast(items), "item_id", "left_semi").groupBy("item_id").agg(F.min("_after_k").alias("_so_far"))
-    start = (items.join(opening.join(F.broadcast(items), "item_id", "left_semi"), "item_id", "left").join(so_far, "item_id", "left")
+    so_far = out.join(items, "item_id", "left_semi").groupBy("item_id").agg(F.min("_after_k").alias("_so_far"))
+    start = (items.join(opening.join(items, "item_id", "left_semi"), "item_id", "left").join(so_far, "item_id", "left")
              .select("item_id", F.coalesce("_so_far", "_open_k").alias("_u")))
     valid = F.col("_pre").isNull() & F.col("_reason_ok")
-    level = going_on.select("item_id", "_chunk", "_pos", "_q_k", "_force", valid.alias("_valid")).join(F.broadcast(start), "item_id")
+    level = going_on.select("item_id", "_chunk", "_pos", "_q_k", "_force", valid.alias("_valid")).join(start, "item_id")
     settled: list[DataFrame] = []
     valid, u, q, here, left = F.col("_valid"), F.col("_u"), F.col("_q_k"), F.col("_here"), F.col("_left")
     small = valid & (F.col("_force") | (2 * q <= u))
@@ -250,13 +250,13 @@ def _by_level(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str])
         rows = level.withColumn("_taken", F.when(small & (u > 0), q).otherwise(F.lit(0)))
         totals = rows.groupBy("item_id", "_chunk").agg(F.sum("_taken").alias("_t"))
         offsets = totals.select("item_id", "_chunk", F.coalesce(F.sum("_t").over(chunks_before), F.lit(0)).alias("_offset"))
-        scanned = (rows.join(F.broadcast(offsets), ["item_id", "_chunk"])
+        scanned = (rows.join(offsets, ["item_id", "_chunk"])
                    .withColumn("_left", u - F.col("_offset") - F.sum("_taken").over(inside))
                    .withColumn("_here", F.col("_left") + F.col("_taken")))
         ends = (u > 0) & ((small & (2 * left < u)) | (valid & ~small & (q <= here)))
         first = (scanned.filter(ends).groupBy("item_id")
                  .agg(F.min(F.struct("_pos", F.greatest(F.lit(0), here - q).alias("after"))).alias("_end")))
-        step = stored(scanned.join(F.broadcast(first), "item_id", "left").drop("_taken", "_offset"), "ledger-level")
+        step = stored(scanned.join(first, "item_id", "left").drop("_taken", "_offset"), "ledger-level")
         stop = F.col("_end._pos")
         now = step.filter(stop.isNull() | (F.col("_pos") <= stop))
         settled.append(now.select("_pos", here.alias("_before_k"),
