@@ -231,7 +231,8 @@ def _by_level(opening: DataFrame, checked: DataFrame, order_cols: Sequence[str])
         [*placed.schema.fields, *_BALANCES, T.StructField("_begun", T.BooleanType())])).drop("_kind", "_open_k"), "ledger-placed")
     out = placed.filter(~F.col("_begun")).select(*columns, "_before_k", "_after_k")
     going_on = placed.filter("_begun")
-    items = going_on.select("item_id").distinct()
+    # at most one item per chunk: a table of its own, whose size shows that nothing else need move to meet it
+    items = stored(going_on.select("item_id").distinct(), "ledger-going-on")
     if items.isEmpty():
         return out
     # the balance never rises: the least one of an item's first chunk is the one it goes on with

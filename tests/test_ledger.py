@@ -199,6 +199,39 @@ def test_only_items_across_chunks_take_further_passes(spark, monkeypatch, forced
     assert 0 < written["ledger-level"][0] <= hot + chunks * most < 2000
 
 
+@pytest.mark.parametrize("forced", [False, True])
+def test_settled_requests_stay_where_they_are(spark, monkeypatch, forced):
+    """The items that go on into a further chunk, one per chunk at most, are sent to the
+    settled requests: these, however many, are not shuffled to meet them."""
+    rnd = random.Random(29)
+    calls = [(rnd.choice([7, *range(1, 400)]) if s % 4 else 7, rnd.randint(1, 900), forced or rnd.random() < 0.1, rnd.random() < 0.95) for s in range(12_000)]
+    stock = [(i, 60_000 if i == 7 else rnd.randint(0, 4000)) for i in range(1, 400)]
+    plans, items, real = [], [], L.stored
+
+    def watched(df, name):
+        if name == "ledger-level":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = real(df, name)
+        if name == "ledger-going-on":
+            items.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "stored", watched)
+    changed = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "12k"}
+    old = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        got = outcome_tuples(L.consume(stock_frame(spark, stock), call_frame(spark, calls), NOW, rows_per_task=0).outcomes)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(fold(stock, calls), 1))
+    semi = [line for line in plans[0].splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert 0 < items[0] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_carry_over_arrow_batches(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
