@@ -61,7 +61,8 @@ class AcceptedRows(NamedTuple):
 
     Ids have no gaps: ``ids/batch_id=N`` holds the last ids handed out up to batch N, so a
     batch reads one row of the batch before it (the tables, at batch 0) and numbers its
-    own accepted calls in their order. All folders belong to a batch and are overwritten
+    own accepted calls in their order, as the outcomes folder holds them: balances become
+    decimals only in the audit rows. All folders belong to a batch and are overwritten
     as a whole, so a replayed batch hands out the same ids again."""
 
     consumption: DataFrame
@@ -73,7 +74,7 @@ class AcceptedRows(NamedTuple):
     def write(self, spark: SparkSession, outcomes: DataFrame, out_dir: str, batch_id: int) -> None:
         last = self._last_ids() if batch_id == 0 else spark.read.parquet(f"{out_dir}/ids/batch_id={batch_id - 1}")
         fact, log = last.select("fact").scalar(), last.select("log").scalar()
-        accepted = numbered(outcomes.filter("ok"), self.order)
+        accepted = _with_balances(numbered(outcomes.filter("ok"), self.order))
         audit = L.consume_audit(accepted, self.now).select((log + F.col("seq")).alias("log_id"), "*").drop("seq")
 
         def ids() -> None:
@@ -159,7 +160,7 @@ def ledger_batch(inventory: DataFrame, command_schema: T.StructType, out_dir: st
         if rows is None:
             balances()
         else:
-            _together(balances, lambda: rows.write(sess, _with_balances(sess.read.parquet(out_path)), out_dir, batch_id))
+            _together(balances, lambda: rows.write(sess, sess.read.parquet(out_path), out_dir, batch_id))
 
     return run
 

@@ -181,6 +181,25 @@ def test_stream_writes_facts_and_audit_side_by_side(spark, monkeypatch):
         _stream_once(spark, inv, cmds)
 
 
+def test_stream_numbers_calls_as_stored(spark, monkeypatch):
+    """Accepted calls go through the passes that number them as the outcomes folder holds
+    them; their balances become decimals once, in the rows that need them."""
+    inv, cmds = data(spark)
+    seen, real = [], ST.numbered
+
+    def watched(df, order):
+        seen.append(dict(df.dtypes))
+        return real(df, order)
+
+    monkeypatch.setattr(ST, "numbered", watched)
+    out = _stream_once(spark, inv, cmds)
+    assert [d["balance_before_k"] for d in seen] == [d["balance_after_k"] for d in seen] == ["bigint"]
+    listed = lambda df: sorted(tuple(r) for r in df.collect())
+    want = L.consume(inv, cmds, NOW)
+    assert listed(tables.read(spark, out, "audit_log").drop("log_id")) == listed(want.audit.drop("seq"))
+    assert listed(tables.read(spark, out, "consumption").drop("consumption_id")) == listed(want.facts.drop("consumption_id"))
+
+
 def test_append_sink_takes_a_replayed_batch_once(spark):
     """A micro-batch whose commit is lost runs again: the sink has its rows already."""
     import os
